@@ -1,0 +1,35 @@
+"""Reusable pipeline stages over the fixture tables (scan -> dedup -> route ->
+resolve -> legs).  Every stage is lazy; Catalyst sees one plan per query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.dedup import first_delivery
+from ..operators.joins import resolve_token, token_map
+from ..operators.positions import position_legs
+from ..sources import fixtures as fx
+
+TOKEN_EVENTS = ("Mint", "Burn", "BalanceTransfer")
+COLLATERAL_EVENTS = ("ReserveUsedAsCollateralEnabled", "ReserveUsedAsCollateralDisabled")
+
+
+def delivered_token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token and collateral events, one copy per (tx_hash, log_index)."""
+    return first_delivery(fx.fx_token_events(spark, sf_dir), ("tx_hash", "log_index"),
+                          order="arrival").drop("arrival")
+
+
+def resolved_token_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = events if events is not None else delivered_token_events(spark, sf_dir)
+    tm = token_map(fx.fx_reserves(spark, sf_dir))
+    return resolve_token(ev.where(F.col("event").isin(*TOKEN_EVENTS)), tm)
+
+
+def ledger_legs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = events if events is not None else delivered_token_events(spark, sf_dir)
+    tokens = resolved_token_events(spark, sf_dir, ev)
+    coll = ev.where(F.col("event").isin(*COLLATERAL_EVENTS))
+    legs = position_legs(tokens, coll)
+    return legs.where(F.col("d_supply").isNotNull() & F.col("d_debt").isNotNull())
