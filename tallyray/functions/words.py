@@ -85,7 +85,7 @@ def word_to_address(w) -> Column:
 
 def topic_word(topics, i: int) -> Column:
     """Topic i (0-based) of an ``array<string>`` column as a bare hex word."""
-    return hex_body(F.element_at(_c(topics), i + 1))
+    return hex_body(F.get(_c(topics), i))
 
 
 def uint_to_word(x) -> Column:
@@ -117,8 +117,11 @@ def string_from_words(data, offset_word_index: int) -> Column:
     body = hex_body(data)
     off = word_to_long(data_word(data, offset_word_index))
     start = (off * 2 + 1).cast("int")
-    length = F.conv(F.substring(body, start + F.lit(32), 32), 16, 10).cast("int")
-    return F.decode(F.unhex(F.substring(body, start + F.lit(64), length * 2)), "UTF-8")
+    len_word = body.substr(start, F.lit(64))
+    length = F.when(F.substring(len_word, 1, 48) == F.lit("0" * 48),
+                    F.conv(F.substring(len_word, 49, 16), 16, 10).cast("int"))
+    text = body.substr(start + F.lit(64), length * 2)
+    return F.when(F.length(text) == length * 2, F.decode(F.unhex(text), "UTF-8"))
 
 
 @F.pandas_udf(T.StringType())

@@ -113,3 +113,398 @@ def q_burn_delta(spark, sf):
     return present(ev.select("tx_hash", "log_index",
                              burn_delta("value", "balance_increase", "idx").alias("delta")),
                    bigint=("delta",))
+
+
+# ---------------------------------------------------------------- scan, route, decode
+
+from ..functions.address import address_of, normalize_address  # noqa: E402
+from ..functions.text import PROVIDER_PATTERNS, RETRYABLE_PATTERNS, first_match, is_provider_error, is_retryable  # noqa: E402,E501
+from ..functions.topics import tracked_topics  # noqa: E402
+from ..functions.words import config_bit, data_word, word_to_uint  # noqa: E402
+from ..operators import decode as dec  # noqa: E402
+from ..operators import dedup as dd  # noqa: E402
+from ..operators import folds as fo  # noqa: E402
+from ..operators import joins as jn  # noqa: E402
+from ..operators import reports as rp  # noqa: E402
+from ..operators.order import asof_join, guard_newer  # noqa: E402
+from ..sources import snapshot as sn  # noqa: E402
+
+POOL = fx.POOL_ID
+CONFIGURATOR = fx.POOL_ID + 1
+
+
+def all_raw_logs(spark, sf):
+    tok = fx.fx_raw_token_logs_with_faults(spark, sf).drop("arrival")
+    return tok.unionByName(fx.fx_raw_reserve_logs(spark, sf))
+
+
+def _fixed_contracts(spark):
+    return spark.range(1).select(F.explode(F.array(address_of(F.lit(POOL)),
+                                                   address_of(F.lit(CONFIGURATOR)))).alias("address"))
+
+
+@query("tracked_addresses")
+def q_tracked_addresses(spark, sf):
+    toks = jn.tracked_addresses(fx.fx_reserves(spark, sf))
+    return toks.unionByName(_fixed_contracts(spark)).distinct()
+
+
+@query("scan_logs")
+def q_scan_logs(spark, sf, lo: int = 1000, hi: int = 12000):
+    logs = all_raw_logs(spark, sf)
+    addrs = q_tracked_addresses(spark, sf)
+    topics = tracked_topics(spark).select("topic0")
+    sel = logs.where(F.col("block_number").between(lo, hi)) \
+        .withColumn("topic0", F.lower(F.get(F.col("topics"), 0)))
+    sel = jn.dim_join(sel, addrs, "address", "left_semi")
+    sel = jn.dim_join(sel, topics, "topic0", "left_semi")
+    return sel.select("address", "block_number", "log_index", "tx_hash", "topic0")
+
+
+@query("tracked_topics")
+def q_tracked_topics(spark, sf):
+    logs = all_raw_logs(spark, sf).select(F.lower(F.get(F.col("topics"), 0)).alias("topic0"))
+    counts = logs.groupBy("topic0").agg(F.count(F.lit(1)).alias("n_logs"))
+    return jn.dim_join(counts, tracked_topics(spark), "topic0", "inner") \
+        .select("event", "family", "topic0", "n_logs")
+
+
+@query("confirmation_lag")
+def q_confirmation_lag(spark, sf, confirmations: int = 20):
+    logs = fx.fx_raw_token_logs_with_faults(spark, sf).drop("arrival")
+    head = logs.select(F.max("block_number")).scalar()
+    return logs.where(F.col("block_number") <= head - confirmations) \
+        .select("tx_hash", "log_index", "block_number")
+
+
+@query("route_events")
+def q_route_events(spark, sf):
+    return dec.route_events(all_raw_logs(spark, sf)).select("tx_hash", "log_index", "event", "family")
+
+
+@query("decode_token_events")
+def q_decode_token_events(spark, sf):
+    raw = fx.fx_raw_token_logs_with_faults(spark, sf).drop("arrival")
+    d = dec.decode_logs(raw, dec.TOKEN_FAMILY)
+    return present(d.select("tx_hash", "log_index", "block_number", "address", "event",
+                            "from_address", "to_address", "value", "balance_increase",
+                            "reserve", "user_address"),
+                   bigint=("value", "balance_increase"))
+
+
+@query("decode_reserve_events")
+def q_decode_reserve_events(spark, sf):
+    d = dec.decode_logs(fx.fx_raw_reserve_logs(spark, sf), dec.RESERVE_FAMILY)
+    return present(d.select("tx_hash", "log_index", "block_number", "event", "asset",
+                            "new_amount", "flag", "ltv", "liquidation_threshold",
+                            "liquidation_bonus", "liquidity_rate", "stable_borrow_rate",
+                            "variable_borrow_rate", "liquidity_index", "variable_borrow_index",
+                            "category_id", "oracle", "label"),
+                   bigint=("new_amount", "liquidity_rate", "stable_borrow_rate",
+                           "variable_borrow_rate", "liquidity_index", "variable_borrow_index"))
+
+
+@query("decode_emode_events")
+def q_decode_emode_events(spark, sf):
+    d = dec.decode_logs(fx.fx_raw_reserve_logs(spark, sf), dec.USER_EMODE_FAMILY)
+    return d.select("tx_hash", "log_index", "block_number", "user_address", "category_id")
+
+
+@query("decode_rejects")
+def q_decode_rejects(spark, sf):
+    return dec.decode_rejects(all_raw_logs(spark, sf)).select("tx_hash", "log_index", "event", "reason")
+
+
+@query("word_to_uint")
+def q_word_to_uint(spark, sf):
+    raw = fx.fx_raw_logs(spark, sf).where(F.length("data") >= 2 + 64 * 2)
+    return raw.select("tx_hash", "log_index",
+                      word_to_uint(data_word("data", 0)).cast("string").alias("word0"),
+                      word_to_uint(data_word("data", 1)).cast("string").alias("word1"))
+
+
+@query("config_bit")
+def q_config_bit(spark, sf):
+    reads = fx.fx_reserve_reads(spark, sf)
+    return reads.select("asset_address", config_bit(F.col("configuration"), 60).alias("is_paused"))
+
+
+@query("normalize_address")
+def q_normalize_address(spark, sf):
+    c = fx.read_table(spark, sf, "customer").select("c_custkey")
+    body = F.lpad(F.upper(F.hex("c_custkey")), F.when(F.col("c_custkey") % 7 == 0, 39).otherwise(40), "0")
+    messy = F.concat(F.lit("  0X"), body, F.lit(" "))
+    return c.select("c_custkey", normalize_address(messy).alias("address"))
+
+
+# ---------------------------------------------------------------- dedup table
+
+def processed_events(spark, sf):
+    ev = fx.fx_token_events(spark, sf)
+    return ev.select("tx_hash", "log_index", "block_number")
+
+
+@query("insert_if_absent")
+def q_insert_if_absent(spark, sf, split: int = 7500):
+    incoming = processed_events(spark, sf)
+    existing = dd.first_delivery(incoming.where(F.col("block_number") < split), ("tx_hash", "log_index"))
+    return dd.insert_if_absent(existing, incoming, ("tx_hash", "log_index"))
+
+
+@query("new_deliveries")
+def q_new_deliveries(spark, sf, split: int = 7500):
+    incoming = dd.first_delivery(processed_events(spark, sf), ("tx_hash", "log_index"))
+    existing = incoming.where(F.col("block_number") < split)
+    return dd.new_deliveries(existing, incoming)
+
+
+@query("delete_older_than")
+def q_delete_older_than(spark, sf, retention: int = 100):
+    pe = dd.first_delivery(processed_events(spark, sf), ("tx_hash", "log_index"))
+    last = pe.select(F.max("block_number")).scalar()
+    return dd.delete_older_than(pe, last - retention)
+
+
+@query("logs_per_range")
+def q_logs_per_range(spark, sf, blocks: int = 10):
+    logs = fx.fx_raw_logs(spark, sf)
+    g = logs.groupBy(F.floor(F.col("block_number") / blocks).cast("bigint").alias("range_start")) \
+        .agg(F.count(F.lit(1)).alias("n_logs"))
+    return g.select((F.col("range_start") * blocks).alias("range_start"), "n_logs",
+                    F.when(F.col("n_logs") > 1000, "halve").when(F.col("n_logs") < 250, "double")
+                    .otherwise("keep").alias("chunk_action"))
+
+
+# ---------------------------------------------------------------- reserves
+
+def reserve_events(spark, sf):
+    ev = fx.fx_config_events(spark, sf)
+    return dd.first_delivery(ev, ("tx_hash", "log_index"))
+
+
+RESERVE_BIGINT = ("supply_cap", "borrow_cap", "debt_ceiling", "unbacked_mint_cap")
+STATE_BIGINT = ("liquidity_index", "variable_borrow_index", "current_liquidity_rate",
+                "current_variable_borrow_rate", "current_stable_borrow_rate", "total_liquidity",
+                "total_variable_debt", "total_stable_debt", "accrued_to_treasury", "unbacked",
+                "isolation_mode_total_debt")
+
+
+@query("fold_reserves")
+def q_fold_reserves(spark, sf):
+    out = fo.fold_reserves(reserve_events(spark, sf), fx.fx_reserves(spark, sf))
+    return present(out, bigint=RESERVE_BIGINT)
+
+
+@query("fold_reserve_state")
+def q_fold_reserve_state(spark, sf):
+    out = fo.fold_reserve_state(reserve_events(spark, sf), fx.fx_reserve_state(spark, sf))
+    return present(out, bigint=STATE_BIGINT)
+
+
+@query("guard_newer")
+def q_guard_newer(spark, sf, split: int = 10000):
+    ev = fx.fx_user_emode(spark, sf)
+    stored = fo.fold_user_emode(ev.where(F.col("block_number") < split))
+    s = stored.select("user_address", F.col("last_updated_block").alias("sb"),
+                      F.col("last_updated_log_index").alias("sl"))
+    j = ev.join(s, "user_address", "left")
+    passed = j.where(F.col("sb").isNull() | guard_newer("sb", "sl", "block_number", "log_index"))
+    return passed.select("user_address", "block_number", "log_index", "category_id")
+
+
+@query("fold_user_emode")
+def q_fold_user_emode(spark, sf):
+    return fo.fold_user_emode(fx.fx_user_emode(spark, sf))
+
+
+@query("active_emode_users")
+def q_active_emode_users(spark, sf):
+    return fo.active_emode_users(fo.fold_user_emode(fx.fx_user_emode(spark, sf)))
+
+
+@query("load_reserve_snapshot")
+def q_load_reserve_snapshot(spark, sf):
+    res, _ = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    return present(res, bigint=RESERVE_BIGINT)
+
+
+@query("load_reserve_state_snapshot")
+def q_load_reserve_state_snapshot(spark, sf):
+    _, st = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    return present(st, bigint=STATE_BIGINT[2:], text=STATE_BIGINT[:2])
+
+
+@query("merge_overwrite")
+def q_merge_overwrite(spark, sf):
+    res, _ = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    out = fo.merge_overwrite(fx.fx_reserves(spark, sf), res)
+    return present(out, bigint=RESERVE_BIGINT)
+
+
+@query("known_reserves")
+def q_known_reserves(spark, sf):
+    ev = reserve_events(spark, sf)
+    return jn.known_reserves(ev, fx.fx_reserves(spark, sf)).select("tx_hash", "log_index", "asset")
+
+
+@query("missing_reserves")
+def q_missing_reserves(spark, sf):
+    return jn.missing_reserves(reserve_events(spark, sf), fx.fx_reserves(spark, sf))
+
+
+@query("count_by_key")
+def q_count_by_key(spark, sf):
+    ev = reserve_events(spark, sf).select("asset").distinct()
+    res = fx.fx_reserves(spark, sf).groupBy(F.col("asset_address").alias("asset")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return ev.join(res, "asset", "left").select("asset", F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- eMode
+
+def emode_flag_events(spark, sf):
+    return fx.fx_emode_assets(spark, sf)
+
+
+@query("fold_categories")
+def q_fold_categories(spark, sf):
+    return fo.fold_categories(fx.fx_emode_category_events(spark, sf))
+
+
+@query("fold_bitmaps")
+def q_fold_bitmaps(spark, sf):
+    return fo.fold_bitmaps(emode_flag_events(spark, sf), fx.fx_reserves(spark, sf))
+
+
+@query("bitmap_members")
+def q_bitmap_members(spark, sf):
+    return fo.bitmap_members(emode_flag_events(spark, sf), fx.fx_reserves(spark, sf))
+
+
+@query("missing_categories")
+def q_missing_categories(spark, sf):
+    cats = fo.fold_categories(fx.fx_emode_category_events(spark, sf)).select("category_id")
+    flags = emode_flag_events(spark, sf).withColumn("category_id", F.col("category_id") + 4)
+    miss = flags.join(cats, "category_id", "left_anti")
+    return miss.groupBy("category_id").agg(F.min("block_number").alias("first_block"),
+                                           F.count(F.lit(1)).alias("n_events"))
+
+
+@query("load_emode_snapshot")
+def q_load_emode_snapshot(spark, sf):
+    ev = fx.fx_emode_category_events(spark, sf)
+    nxt = ((F.col("category_id") + 1) % 8).cast("int")
+    reads = ev.select("block_number", "log_index", F.array(
+        F.struct(F.col("category_id").alias("id"), "ltv", "liquidation_threshold",
+                 "liquidation_bonus", "oracle", "label"),
+        F.struct(nxt.alias("id"), (F.col("ltv") + 1).alias("ltv"), "liquidation_threshold",
+                 "liquidation_bonus", "oracle", F.concat(F.col("label"), F.lit("+")).alias("label")))
+        .alias("emodes"))
+    return sn.load_emode_snapshot(reads)
+
+
+# ---------------------------------------------------------------- snapshots, reports
+
+@query("load_position_snapshot")
+def q_load_position_snapshot(spark, sf):
+    return present_positions(sn.load_position_snapshot(fx.fx_snapshot_pages(spark, sf),
+                                                       fx.SNAPSHOT_BLOCK))
+
+
+@query("orphan_check")
+def q_orphan_check(spark, sf):
+    rej = sn.snapshot_rejects(fx.fx_snapshot_pages(spark, sf), fx.fx_reserves(spark, sf))
+    return rej
+
+
+def folded_positions(spark, sf):
+    return pos.fold_positions(pl.ledger_legs(spark, sf))
+
+
+def seeded_positions(spark, sf):
+    return pos.fold_positions(pl.ledger_legs(spark, sf), seed=fx.fx_position_snapshot(spark, sf),
+                              stale_before=(fx.SNAPSHOT_BLOCK, -1))
+
+
+@query("positions_with_tokens")
+def q_positions_with_tokens(spark, sf):
+    p = rp.positions_with_tokens(folded_positions(spark, sf), fx.fx_reserves(spark, sf))
+    return present(p.select("user_address", "asset_address", "scaled_atoken_balance",
+                            "scaled_variable_debt", "last_updated_block", "atoken_address",
+                            "v_debt_token_address"),
+                   bigint=("scaled_atoken_balance", "scaled_variable_debt"))
+
+
+@query("above_dust")
+def q_above_dust(spark, sf):
+    return present_positions(rp.above_dust(folded_positions(spark, sf)))
+
+
+@query("changed_after")
+def q_changed_after(spark, sf):
+    return present_positions(rp.changed_after(seeded_positions(spark, sf), 7500))
+
+
+@query("snapshot_only")
+def q_snapshot_only(spark, sf):
+    return present_positions(rp.snapshot_only(seeded_positions(spark, sf)))
+
+
+@query("nonzero_positions")
+def q_nonzero_positions(spark, sf):
+    return present_positions(rp.nonzero_positions(seeded_positions(spark, sf)))
+
+
+@query("lookup_keys")
+def q_lookup_keys(spark, sf):
+    users = fo.active_emode_users(fo.fold_user_emode(fx.fx_user_emode(spark, sf)))
+    return present_positions(rp.lookup_keys(folded_positions(spark, sf), users, ["user_address"]))
+
+
+@query("oldest_positions")
+def q_oldest_positions(spark, sf, n: int = 100):
+    p = rp.above_dust(folded_positions(spark, sf))
+    return present_positions(rp.oldest(p, n, ["last_updated_block", "user_address", "asset_address"]))
+
+
+@query("systematic_sample")
+def q_systematic_sample(spark, sf, k: int = 30):
+    pairs = pos.touched_pairs(pl.resolved_token_events(spark, sf))
+    return rp.systematic_sample(pairs, k, ["user_address", "asset_address"])
+
+
+def raw_path_positions(spark, sf):
+    """The same ledger, but from raw logs: decode (faulty copies go to the
+    rejects) -> first delivery -> resolve -> legs -> fold."""
+    raw = fx.fx_raw_token_logs_with_faults(spark, sf)
+    typed = dec.decode_logs(raw, dec.TOKEN_FAMILY, keep=("arrival",))
+    ev = dd.first_delivery(typed, ("tx_hash", "log_index"), order="arrival").drop("arrival")
+    return pos.fold_positions(pl.ledger_legs(spark, sf, ev))
+
+
+@query("reconcile")
+def q_reconcile(spark, sf):
+    rec = rp.reconcile(raw_path_positions(spark, sf), folded_positions(spark, sf))
+    return present(rec, bigint=("computed_supply", "computed_debt", "expected_supply",
+                                "expected_debt", "diff_supply", "diff_debt"))
+
+
+@query("pass_fail_summary")
+def q_pass_fail_summary(spark, sf):
+    return rp.pass_fail_summary(rp.reconcile(raw_path_positions(spark, sf), folded_positions(spark, sf)))
+
+
+@query("classify_error_text")
+def q_classify_error_text(spark, sf):
+    m = fx.fx_messages(spark, sf)
+    return m.select("source", "message_id", is_retryable("message").alias("is_retryable"),
+                    is_provider_error("message").alias("is_provider_error"),
+                    first_match("message", RETRYABLE_PATTERNS).alias("retryable_match"),
+                    first_match("message", PROVIDER_PATTERNS).alias("provider_match"))
+
+
+@query("asof_contract_read")
+def q_asof_contract_read(spark, sf):
+    probes = fx.fx_read_probes(spark, sf)
+    reads = fx.fx_contract_reads(spark, sf)
+    return asof_join(probes, reads, "entity", ["value"])

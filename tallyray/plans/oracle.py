@@ -295,3 +295,535 @@ FROM tev WHERE event = 'Mint'"""
 SQL["burn_delta"] = "WITH " + TOKEN_EVENTS + f"""
 SELECT tx_hash, log_index, CAST({raydiv('v + inc', 'idx')} AS BIGINT) AS delta
 FROM tev WHERE event = 'Burn'"""
+
+
+# ------------------------------------------------------------- raw logs
+
+from ..functions.text import PROVIDER_PATTERNS, RETRYABLE_PATTERNS  # noqa: E402
+from ..functions.topics import EVENTS, TOPIC  # noqa: E402
+
+POOL = addr(0xA11CE)
+CONFIGURATOR = addr(0xA11CF)
+ZERO = "'0x0000000000000000000000000000000000000000'"
+
+TOPIC_DIM = "topic_dim(event, family, topic0) AS (VALUES " + ", ".join(
+    f"('{n}', '{f}', '{TOPIC[n]}')" for n, _, f in EVENTS) + ")"
+
+EVX = """
+evx AS (
+  SELECT event_id, event_type, user_id, value,
+         CAST(floor(epoch(ts) / 12) AS BIGINT) AS block_number,
+         CAST(event_id AS BIGINT) AS log_index,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         CAST(round(value * 100) AS BIGINT) AS amount,
+         user_id % 50 AS r
+  FROM events)"""
+
+CFG = f"""
+cfg AS (
+  SELECT block_number, log_index, {txh('event_id')} AS tx_hash, {addr('r')} AS asset, r, k, amount,
+    CASE WHEN event_type = 'purchase' THEN 'SupplyCapChanged'
+         WHEN event_type = 'signup' AND k % 2 = 0 THEN 'ReserveFrozen'
+         WHEN event_type = 'signup' THEN 'ReserveUnfrozen'
+         WHEN event_type = 'view' THEN 'ReservePaused'
+         WHEN event_type = 'click' THEN 'CollateralConfigurationChanged'
+         WHEN event_type = 'error' THEN 'ReserveDataUpdated' END AS event,
+    event_type
+  FROM evx)"""
+
+EMA = f"""
+ema AS (
+  SELECT block_number, log_index + 1000000 AS log_index, {txh('event_id')} AS tx_hash,
+    {addr('r')} AS asset, r, CAST(k % 8 AS INTEGER) AS category_id, event_id % 2 = 1 AS flag,
+    log_index AS raw_log,
+    CASE event_type WHEN 'click' THEN 'collateral' WHEN 'view' THEN 'borrowable' ELSE 'ltvzero' END AS bitmap,
+    CASE event_type WHEN 'click' THEN 'AssetCollateralInEModeChanged'
+                    WHEN 'view' THEN 'AssetBorrowableInEModeChanged'
+                    ELSE 'AssetLtvzeroInEModeChanged' END AS event
+  FROM evx WHERE event_type IN ('click', 'view', 'signup'))"""
+
+CAT = f"""
+cat AS (
+  SELECT block_number, log_index + 2000000 AS log_index, log_index AS raw_log, {txh('event_id')} AS tx_hash,
+    CAST(k % 8 AS INTEGER) AS category_id, 9000 + k AS ltv, 9300 + k AS liquidation_threshold,
+    10100 + k AS liquidation_bonus, {addr('5000 + k % 8')} AS oracle,
+    'category-' || CAST(k % 8 AS VARCHAR) || '-v' || CAST(event_id % 3 AS VARCHAR) AS label
+  FROM evx WHERE event_type = 'purchase')"""
+
+UE = f"""
+ue AS (
+  SELECT datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS block_number,
+    CAST(o_orderkey AS BIGINT) AS log_index, {txh('o_orderkey')} AS tx_hash,
+    {addr('o_custkey')} AS user_address,
+    CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS INTEGER) AS category_id
+  FROM orders)"""
+
+RAW_TOKEN = f"""
+rawtok AS (
+  SELECT l_orderkey AS block_number, CAST(l_linenumber AS BIGINT) AS log_index,
+    {txh('l_orderkey')} AS tx_hash, l_quantity, l_returnflag || l_linestatus AS kind,
+    CASE WHEN l_returnflag || l_linestatus IN ('RF', 'RO', 'AF') THEN {addr('1000 + 2 * (l_partkey % 50)')}
+         WHEN l_returnflag || l_linestatus = 'AO' THEN {POOL}
+         ELSE {addr('1001 + 2 * (l_partkey % 50)')} END AS address,
+    CASE WHEN l_returnflag || l_linestatus IN ('RF', 'NF') THEN 'Mint'
+         WHEN l_returnflag || l_linestatus IN ('RO', 'NO') THEN 'Burn'
+         WHEN l_returnflag || l_linestatus = 'AF' THEN 'BalanceTransfer'
+         WHEN l_discount >= 0.05 THEN 'ReserveUsedAsCollateralEnabled'
+         ELSE 'ReserveUsedAsCollateralDisabled' END AS event
+  FROM lineitem)"""
+
+RAW_ALL = f"""
+rawall AS (
+  SELECT address, block_number, log_index, tx_hash, event,
+    l_quantity = 49 AS no_topics, l_quantity = 50 AND kind <> 'AO' AS malformed
+  FROM rawtok
+  UNION ALL
+  SELECT CASE WHEN event = 'ReserveDataUpdated' THEN {POOL} ELSE {CONFIGURATOR} END,
+    block_number, log_index, tx_hash, event, false, false FROM cfg
+  UNION ALL SELECT {CONFIGURATOR}, block_number, log_index, tx_hash, event, false, false FROM ema
+  UNION ALL SELECT {CONFIGURATOR}, block_number, log_index, tx_hash, 'EModeCategoryAdded', false, false FROM cat
+  UNION ALL SELECT {POOL}, block_number, log_index, tx_hash, 'UserEModeSet', false, false FROM ue)"""
+
+
+def raw_ctes() -> str:
+    return "WITH " + ",".join([TOPIC_DIM, EVX, CFG, EMA, CAT, UE, RAW_TOKEN, RAW_ALL])
+
+
+SQL["tracked_addresses"] = "WITH " + RESERVES + f"""
+SELECT DISTINCT address FROM (
+  SELECT atoken_address AS address FROM res UNION ALL SELECT v_debt_token_address FROM res
+  UNION ALL SELECT {POOL} UNION ALL SELECT {CONFIGURATOR})"""
+
+SQL["scan_logs"] = raw_ctes() + "," + RESERVES + f""",
+tracked AS (
+  SELECT atoken_address AS address FROM res UNION ALL SELECT v_debt_token_address FROM res
+  UNION ALL SELECT {POOL} UNION ALL SELECT {CONFIGURATOR})
+SELECT r.address, r.block_number, r.log_index, r.tx_hash, t.topic0
+FROM rawall r JOIN topic_dim t ON r.event = t.event
+WHERE NOT r.no_topics AND r.block_number BETWEEN 1000 AND 12000
+  AND r.address IN (SELECT address FROM tracked)"""
+
+SQL["tracked_topics"] = raw_ctes() + """
+SELECT t.event, t.family, t.topic0, count(*) AS n_logs
+FROM rawall r JOIN topic_dim t ON r.event = t.event
+WHERE NOT r.no_topics GROUP BY t.event, t.family, t.topic0"""
+
+SQL["confirmation_lag"] = "WITH " + RAW_TOKEN + """
+SELECT tx_hash, log_index, block_number FROM rawtok
+WHERE block_number <= (SELECT max(block_number) FROM rawtok) - 20"""
+
+SQL["route_events"] = raw_ctes() + """
+SELECT r.tx_hash, r.log_index, r.event, t.family
+FROM rawall r JOIN topic_dim t ON r.event = t.event WHERE NOT r.no_topics"""
+
+SQL["decode_token_events"] = "WITH " + TOKEN_EVENTS.replace(
+    "FROM lineitem),", "FROM lineitem),", 1) + f""",
+y AS (
+  SELECT l.*, l.l_returnflag || l.l_linestatus AS kind2 FROM lineitem l)
+SELECT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index,
+  l_orderkey AS block_number,
+  CASE WHEN kind2 IN ('RF', 'RO', 'AF') THEN {addr('1000 + 2 * (l_partkey % 50)')}
+       WHEN kind2 = 'AO' THEN {POOL} ELSE {addr('1001 + 2 * (l_partkey % 50)')} END AS address,
+  CASE WHEN kind2 IN ('RF', 'NF') THEN 'Mint' WHEN kind2 IN ('RO', 'NO') THEN 'Burn'
+       WHEN kind2 = 'AF' THEN 'BalanceTransfer'
+       WHEN l_discount >= 0.05 THEN 'ReserveUsedAsCollateralEnabled'
+       ELSE 'ReserveUsedAsCollateralDisabled' END AS event,
+  CASE WHEN kind2 <> 'AO' THEN {addr('l_suppkey')} END AS from_address,
+  CASE WHEN kind2 = 'AO' THEN NULL WHEN kind2 = 'AF' THEN {addr('(l_suppkey * 7 + l_partkey) % 100')}
+       ELSE {addr('l_suppkey')} END AS to_address,
+  CASE WHEN kind2 <> 'AO' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS value,
+  CASE WHEN kind2 NOT IN ('AO', 'AF') THEN
+    CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) // 5 END
+    AS balance_increase,
+  CASE WHEN kind2 = 'AO' THEN {addr('l_partkey % 50')} END AS reserve,
+  CASE WHEN kind2 = 'AO' THEN {addr('l_suppkey')} END AS user_address
+FROM y WHERE NOT (l_quantity = 49 OR (l_quantity = 50 AND kind2 <> 'AO'))"""
+
+SQL["decode_reserve_events"] = "WITH " + ",".join([EVX, CFG, EMA, CAT]) + """
+SELECT tx_hash, log_index, block_number, event, asset,
+  CASE WHEN event = 'SupplyCapChanged' THEN amount END AS new_amount,
+  CASE WHEN event = 'ReservePaused' THEN k % 2 = 0 END AS flag,
+  CASE WHEN event = 'CollateralConfigurationChanged' THEN amount END AS ltv,
+  CASE WHEN event = 'CollateralConfigurationChanged' THEN amount + 500 END AS liquidation_threshold,
+  CASE WHEN event = 'CollateralConfigurationChanged' THEN k + 10000 END AS liquidation_bonus,
+  CASE WHEN event = 'ReserveDataUpdated' THEN amount END AS liquidity_rate,
+  CASE WHEN event = 'ReserveDataUpdated' THEN amount * 2 END AS stable_borrow_rate,
+  CASE WHEN event = 'ReserveDataUpdated' THEN amount * 3 END AS variable_borrow_rate,
+  CASE WHEN event = 'ReserveDataUpdated' THEN k + 1000000 END AS liquidity_index,
+  CASE WHEN event = 'ReserveDataUpdated' THEN 2 * k + 1000000 END AS variable_borrow_index,
+  CAST(NULL AS INTEGER) AS category_id, CAST(NULL AS VARCHAR) AS oracle, CAST(NULL AS VARCHAR) AS label
+FROM cfg
+UNION ALL
+SELECT tx_hash, log_index, block_number, event, asset, NULL, flag, NULL, NULL, NULL, NULL, NULL, NULL,
+  NULL, NULL, category_id, NULL, NULL FROM ema
+UNION ALL
+SELECT tx_hash, log_index, block_number, 'EModeCategoryAdded', NULL, NULL, NULL, ltv,
+  liquidation_threshold, liquidation_bonus, NULL, NULL, NULL, NULL, NULL, category_id, oracle, label
+FROM cat"""
+
+SQL["decode_emode_events"] = "WITH " + UE + """
+SELECT tx_hash, log_index, block_number, user_address, category_id FROM ue"""
+
+SQL["decode_rejects"] = raw_ctes() + """
+SELECT tx_hash, log_index, CASE WHEN no_topics THEN NULL ELSE event END AS event,
+  CASE WHEN no_topics THEN 'no_topics' ELSE 'malformed' END AS reason
+FROM rawall WHERE no_topics OR malformed"""
+
+SQL["word_to_uint"] = "WITH " + TOKEN_EVENTS.replace(
+    "WHERE rn = 1", "WHERE rn >= 1") + """
+SELECT tx_hash, log_index, CAST(v AS VARCHAR) AS word0,
+  CASE WHEN kind = 'AF' THEN CAST(idx AS VARCHAR) ELSE CAST(inc AS VARCHAR) END AS word1
+FROM tev WHERE kind <> 'AO'"""
+
+SQL["config_bit"] = f"""
+SELECT {addr('p_partkey')} AS asset_address, p_partkey % 3 = 0 AS is_paused
+FROM part WHERE p_partkey < 50"""
+
+SQL["normalize_address"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL
+  ELSE '0x' || lpad(lower(hex(c_custkey)), 40, '0') END AS address FROM customer"""
+
+# ------------------------------------------------------------- dedup table
+
+SQL["insert_if_absent"] = f"""
+SELECT DISTINCT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index,
+  l_orderkey AS block_number FROM lineitem"""
+
+SQL["new_deliveries"] = f"""
+SELECT DISTINCT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index,
+  l_orderkey AS block_number FROM lineitem WHERE l_orderkey >= 7500"""
+
+SQL["delete_older_than"] = f"""
+SELECT DISTINCT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index,
+  l_orderkey AS block_number FROM lineitem
+WHERE l_orderkey >= (SELECT max(l_orderkey) FROM lineitem) - 100"""
+
+SQL["logs_per_range"] = """
+SELECT CAST(floor(l_orderkey / 10) AS BIGINT) * 10 AS range_start, count(*) AS n_logs,
+  CASE WHEN count(*) > 1000 THEN 'halve' WHEN count(*) < 250 THEN 'double' ELSE 'keep' END AS chunk_action
+FROM lineitem GROUP BY 1"""
+
+# ------------------------------------------------------------- reserves
+
+RES_FULL = f"""
+resf AS (
+  SELECT {addr('p_partkey')} AS asset_address, p_name AS symbol, CAST(p_size AS BIGINT) AS decimals,
+    CAST(p_partkey AS INTEGER) AS reserve_id, CAST(8500 AS BIGINT) AS liquidation_threshold,
+    CAST(10500 AS BIGINT) AS liquidation_bonus, CAST(8000 AS BIGINT) AS ltv, true AS is_active,
+    false AS is_frozen, false AS is_paused, true AS is_borrowing_enabled, false AS is_dropped,
+    CAST(round(p_retailprice * 100) AS BIGINT) AS supply_cap, CAST(500000 AS BIGINT) AS borrow_cap,
+    CAST(1000 AS BIGINT) AS reserve_factor, true AS is_collateral_enabled,
+    false AS is_stable_borrow_enabled, true AS is_flash_loan_enabled, CAST(0 AS BIGINT) AS debt_ceiling,
+    CAST(1000 AS BIGINT) AS liquidation_protocol_fee, false AS is_siloed_borrowing,
+    CAST(0 AS BIGINT) AS unbacked_mint_cap,
+    {addr('1000 + 2 * p_partkey')} AS atoken_address, {addr('1001 + 2 * p_partkey')} AS v_debt_token_address,
+    {addr(3)} AS s_debt_token_address, {addr(4)} AS interest_rate_strategy_address,
+    CAST(0 AS BIGINT) AS last_updated_block, CAST(-1 AS BIGINT) AS last_updated_log_index
+  FROM part WHERE p_partkey < 45)"""
+
+RESERVE_COLS = ["asset_address", "symbol", "decimals", "reserve_id", "liquidation_threshold",
+                "liquidation_bonus", "ltv", "is_active", "is_frozen", "is_paused",
+                "is_borrowing_enabled", "is_dropped", "supply_cap", "borrow_cap", "reserve_factor",
+                "is_collateral_enabled", "is_stable_borrow_enabled", "is_flash_loan_enabled",
+                "debt_ceiling", "liquidation_protocol_fee", "is_siloed_borrowing",
+                "unbacked_mint_cap", "atoken_address", "v_debt_token_address",
+                "s_debt_token_address", "interest_rate_strategy_address", "last_updated_block",
+                "last_updated_log_index"]
+
+SQL["fold_reserves"] = "WITH " + ",".join([EVX, CFG, RES_FULL]) + f""",
+ce AS (
+  SELECT c.*, {ordk('block_number', 'log_index')} AS ok FROM cfg c
+  WHERE event IN ('SupplyCapChanged', 'ReserveFrozen', 'ReserveUnfrozen', 'ReservePaused',
+                  'CollateralConfigurationChanged')
+    AND asset IN (SELECT asset_address FROM resf)),
+agg AS (
+  SELECT asset,
+    arg_max(amount, ok) FILTER (WHERE event = 'SupplyCapChanged') AS supply_cap,
+    arg_max(event = 'ReserveFrozen', ok) FILTER (WHERE event IN ('ReserveFrozen', 'ReserveUnfrozen')) AS is_frozen,
+    arg_max(k % 2 = 0, ok) FILTER (WHERE event = 'ReservePaused') AS is_paused,
+    arg_max(amount, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS ltv,
+    arg_max(amount + 500, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS liquidation_threshold,
+    arg_max(k + 10000, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS liquidation_bonus,
+    max(ok) AS last_ok
+  FROM ce GROUP BY asset)
+SELECT r.asset_address, r.symbol, r.decimals, r.reserve_id,
+  coalesce(a.liquidation_threshold, r.liquidation_threshold) AS liquidation_threshold,
+  coalesce(a.liquidation_bonus, r.liquidation_bonus) AS liquidation_bonus,
+  coalesce(a.ltv, r.ltv) AS ltv, r.is_active, coalesce(a.is_frozen, r.is_frozen) AS is_frozen,
+  coalesce(a.is_paused, r.is_paused) AS is_paused, r.is_borrowing_enabled, r.is_dropped,
+  coalesce(a.supply_cap, r.supply_cap) AS supply_cap, r.borrow_cap, r.reserve_factor,
+  r.is_collateral_enabled, r.is_stable_borrow_enabled, r.is_flash_loan_enabled, r.debt_ceiling,
+  r.liquidation_protocol_fee, r.is_siloed_borrowing, r.unbacked_mint_cap, r.atoken_address,
+  r.v_debt_token_address, r.s_debt_token_address, r.interest_rate_strategy_address,
+  coalesce({ok_block('a.last_ok')}, r.last_updated_block) AS last_updated_block,
+  coalesce({ok_log('a.last_ok')}, r.last_updated_log_index) AS last_updated_log_index
+FROM resf r LEFT JOIN agg a ON r.asset_address = a.asset"""
+
+SQL["fold_reserve_state"] = "WITH " + ",".join([EVX, CFG, RES_FULL]) + f""",
+ce AS (
+  SELECT c.*, {ordk('block_number', 'log_index')} AS ok FROM cfg c
+  WHERE event = 'ReserveDataUpdated' AND asset IN (SELECT asset_address FROM resf)),
+agg AS (
+  SELECT asset, arg_max(k + 1000000, ok) AS li, arg_max(2 * k + 1000000, ok) AS vi,
+    arg_max(amount, ok) AS lr, arg_max(amount * 3, ok) AS vr, arg_max(amount * 2, ok) AS sr,
+    max(ok) AS last_ok
+  FROM ce GROUP BY asset)
+SELECT r.asset_address, coalesce(a.li, 1) AS liquidity_index, coalesce(a.vi, 1) AS variable_borrow_index,
+  coalesce(a.lr, 0) AS current_liquidity_rate, coalesce(a.vr, 0) AS current_variable_borrow_rate,
+  coalesce(a.sr, 0) AS current_stable_borrow_rate, 0 AS total_liquidity, 0 AS total_variable_debt,
+  0 AS total_stable_debt, 0 AS accrued_to_treasury, 0 AS unbacked, 0 AS isolation_mode_total_debt,
+  coalesce({ok_block('a.last_ok')}, 0) AS last_updated_block,
+  coalesce({ok_log('a.last_ok')}, -1) AS last_updated_log_index
+FROM resf r LEFT JOIN agg a ON r.asset_address = a.asset"""
+
+SQL["guard_newer"] = "WITH " + UE + f""",
+st AS (
+  SELECT user_address, max({ordk('block_number', 'log_index')}) AS sok
+  FROM ue WHERE block_number < 10000 GROUP BY user_address)
+SELECT u.user_address, u.block_number, u.log_index, u.category_id
+FROM ue u LEFT JOIN st s USING (user_address)
+WHERE s.sok IS NULL OR {ordk('u.block_number', 'u.log_index')} > s.sok"""
+
+USER_EMODE_FOLD = f"""
+uef AS (
+  SELECT user_address, arg_max(category_id, ok) AS emode_category_id, max(ok) AS last_ok
+  FROM (SELECT *, {ordk('block_number', 'log_index')} AS ok FROM ue) GROUP BY user_address)"""
+
+SQL["fold_user_emode"] = "WITH " + UE + "," + USER_EMODE_FOLD + f"""
+SELECT user_address, emode_category_id, {ok_block('last_ok')} AS last_updated_block,
+  {ok_log('last_ok')} AS last_updated_log_index FROM uef"""
+
+SQL["active_emode_users"] = SQL["fold_user_emode"] + " WHERE emode_category_id > 0"
+
+SNAP_RES = f"""
+snapres AS (
+  SELECT {addr('p_partkey')} AS asset_address,
+    CASE WHEN p_partkey % 5 = 0 THEN 'UNKNOWN' ELSE p_name END AS symbol,
+    CAST(p_size AS BIGINT) AS decimals, CAST(p_partkey AS INTEGER) AS reserve_id,
+    7000 + p_partkey AS ltv, 7500 + p_partkey AS liquidation_threshold, 10500 + p_partkey AS liquidation_bonus,
+    p_partkey % 9 <> 8 AS is_active, p_partkey % 11 = 10 AS is_frozen, p_partkey % 3 = 0 AS is_paused,
+    p_partkey % 2 = 1 AS is_borrowing_enabled, false AS is_dropped,
+    CAST(round(p_retailprice * 100) AS BIGINT) AS supply_cap,
+    CAST(round(p_retailprice * 50) AS BIGINT) AS borrow_cap, CAST(1000 AS BIGINT) AS reserve_factor,
+    p_partkey % 4 <> 1 AS is_collateral_enabled, false AS is_stable_borrow_enabled,
+    CASE WHEN p_partkey % 7 = 0 THEN true ELSE p_partkey % 2 = 0 END AS is_flash_loan_enabled,
+    CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 1000 END AS debt_ceiling,
+    CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 10 END AS liquidation_protocol_fee,
+    CASE WHEN p_partkey % 7 = 0 THEN false ELSE p_partkey % 2 = 1 END AS is_siloed_borrowing,
+    CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 100 END AS unbacked_mint_cap,
+    {addr('1000 + 2 * p_partkey')} AS atoken_address, {addr('1001 + 2 * p_partkey')} AS v_debt_token_address,
+    CASE WHEN p_partkey % 2 = 0 THEN {ZERO} ELSE {addr('2000 + p_partkey')} END AS s_debt_token_address,
+    {addr('4000 + p_partkey')} AS interest_rate_strategy_address,
+    CAST(5000 AS BIGINT) AS last_updated_block, CAST(-1 AS BIGINT) AS last_updated_log_index,
+    p_partkey AS r, p_size, p_retailprice
+  FROM part WHERE p_partkey < 50)"""
+
+SQL["load_reserve_snapshot"] = "WITH " + SNAP_RES + "\nSELECT " + ", ".join(RESERVE_COLS) + " FROM snapres"
+
+SQL["load_reserve_state_snapshot"] = "WITH " + SNAP_RES + f"""
+SELECT asset_address,
+  CAST({RAY} + CAST(r AS HUGEINT) * {E21} AS VARCHAR) AS liquidity_index,
+  CAST({RAY} + CAST(2 * r AS HUGEINT) * {E21} AS VARCHAR) AS variable_borrow_index,
+  p_size * 1000 AS current_liquidity_rate, p_size * 3000 AS current_variable_borrow_rate,
+  p_size * 5000 AS current_stable_borrow_rate,
+  CAST(round(p_retailprice * 1000) AS BIGINT) AS total_liquidity,
+  CAST(round(p_retailprice * 400) AS BIGINT) AS total_variable_debt,
+  CASE WHEN r % 2 = 0 THEN 0 ELSE CAST(round(p_retailprice * 7) AS BIGINT) END AS total_stable_debt,
+  r * 11 AS accrued_to_treasury, 0 AS unbacked, r * 13 AS isolation_mode_total_debt,
+  last_updated_block, last_updated_log_index
+FROM snapres"""
+
+SQL["merge_overwrite"] = "WITH " + SNAP_RES + "," + RES_FULL + "\nSELECT " + ", ".join(
+    [f"CASE WHEN e.asset_address IS NOT NULL THEN e.{c} ELSE n.{c} END AS {c}"
+     if c.startswith("last_updated") else f"n.{c} AS {c}" for c in RESERVE_COLS]) + \
+    "\nFROM snapres n FULL OUTER JOIN resf e ON n.asset_address = e.asset_address"
+
+SQL["known_reserves"] = "WITH " + ",".join([EVX, CFG]) + """
+SELECT tx_hash, log_index, asset FROM cfg WHERE r < 45"""
+
+SQL["missing_reserves"] = "WITH " + ",".join([EVX, CFG]) + """
+SELECT asset AS asset_address, min(block_number) AS first_block, count(*) AS n_events
+FROM cfg WHERE r >= 45 GROUP BY asset"""
+
+SQL["count_by_key"] = "WITH " + ",".join([EVX, CFG]) + """
+SELECT asset, CASE WHEN r < 45 THEN 1 ELSE 0 END AS n_rows FROM (SELECT DISTINCT asset, r FROM cfg)"""
+
+# ------------------------------------------------------------- eMode
+
+CAT_FOLD = f"""
+catf AS (
+  SELECT category_id, arg_max(ltv, ok) AS ltv, arg_max(liquidation_threshold, ok) AS liquidation_threshold,
+    arg_max(liquidation_bonus, ok) AS liquidation_bonus, arg_max(oracle, ok) AS oracle,
+    arg_max(label, ok) AS label, max(ok) AS last_ok
+  FROM (SELECT *, {ordk('block_number', 'raw_log')} AS ok FROM cat) GROUP BY category_id)"""
+
+SQL["fold_categories"] = "WITH " + ",".join([EVX, CAT, CAT_FOLD]) + f"""
+SELECT category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label,
+  {ok_block('last_ok')} AS last_updated_block, {ok_log('last_ok')} AS last_updated_log_index FROM catf"""
+
+FLAGS = f"""
+flags AS (
+  SELECT category_id, asset, bitmap, r,
+    arg_max(flag, {ordk('block_number', 'raw_log')}) AS flag
+  FROM ema GROUP BY category_id, asset, bitmap, r),
+members AS (SELECT category_id, bitmap, CAST(r AS INTEGER) AS reserve_id FROM flags WHERE flag AND r < 45)"""
+
+
+def _bm(b: str) -> str:
+    lo = f"bit_or(CASE WHEN bitmap = '{b}' AND reserve_id < 64 THEN CAST(1 AS BIGINT) << reserve_id END)"
+    hi = f"bit_or(CASE WHEN bitmap = '{b}' AND reserve_id >= 64 THEN CAST(1 AS BIGINT) << (reserve_id - 64) END)"
+    return (f"'0x' || lpad(lower(hex(coalesce({hi}, 0))), 16, '0') || "
+            f"lpad(lower(hex(coalesce({lo}, 0))), 16, '0') AS {b}_bitmap, "
+            f"count(*) FILTER (WHERE bitmap = '{b}') AS {b}_members")
+
+
+SQL["fold_bitmaps"] = "WITH " + ",".join([EVX, EMA, FLAGS]) + f"""
+SELECT category_id, {_bm('collateral')}, {_bm('borrowable')}, {_bm('ltvzero')}
+FROM members GROUP BY category_id"""
+
+SQL["bitmap_members"] = "WITH " + ",".join([EVX, EMA, FLAGS]) + """
+SELECT category_id, bitmap, reserve_id FROM members"""
+
+SQL["missing_categories"] = "WITH " + ",".join([EVX, EMA, CAT]) + """
+SELECT category_id + 4 AS category_id, min(block_number) AS first_block, count(*) AS n_events
+FROM ema WHERE category_id + 4 NOT IN (SELECT DISTINCT category_id FROM cat)
+GROUP BY category_id + 4"""
+
+SQL["load_emode_snapshot"] = "WITH " + ",".join([EVX, CAT]) + f""",
+x AS (
+  SELECT block_number, raw_log, category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label
+  FROM cat
+  UNION ALL
+  SELECT block_number, raw_log, CAST((category_id + 1) % 8 AS INTEGER), ltv + 1, liquidation_threshold,
+    liquidation_bonus, oracle, label || '+' FROM cat),
+f AS (
+  SELECT category_id, arg_max(ltv, ok) AS ltv, arg_max(liquidation_threshold, ok) AS liquidation_threshold,
+    arg_max(liquidation_bonus, ok) AS liquidation_bonus, arg_max(oracle, ok) AS oracle,
+    arg_max(label, ok) AS label, max(ok) AS last_ok
+  FROM (SELECT *, {ordk('block_number', 'raw_log')} AS ok FROM x) GROUP BY category_id)
+SELECT category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label,
+  {ok_block('last_ok')} AS last_updated_block, {ok_log('last_ok')} AS last_updated_log_index FROM f"""
+
+# ------------------------------------------------------------- snapshots, reports
+
+PAGES = f"""
+pg AS (
+  SELECT {addr('s_suppkey')} AS user_address, {addr('r')} AS asset_address, r,
+    (s_suppkey * 31 + r * 17) % 1000 * 100 AS supply, (s_suppkey * 13 + r * 29) % 700 * 100 AS debt,
+    (s_suppkey + r) % 2 = 0 AS coll,
+    CAST({RAY} + CAST(r AS HUGEINT) * {E21} AS VARCHAR) AS idx
+  FROM supplier, range(0, 50) t(r))"""
+
+SQL["load_position_snapshot"] = "WITH " + PAGES + """
+SELECT user_address, asset_address, CAST(supply AS BIGINT) AS scaled_atoken_balance,
+  CAST(debt AS BIGINT) AS scaled_variable_debt, coll AS use_as_collateral, idx AS atoken_last_index,
+  idx AS debt_last_index, CAST(5000 AS BIGINT) AS last_updated_block,
+  CAST(-1 AS BIGINT) AS last_updated_log_index, true AS is_active, CAST(5000 AS BIGINT) AS created_at_block
+FROM pg WHERE supply > 0 OR debt > 0"""
+
+SQL["orphan_check"] = "WITH " + PAGES + """
+SELECT user_address || asset_address AS id, 'unknown_reserve' AS reason
+FROM pg WHERE (supply > 0 OR debt > 0) AND r >= 45"""
+
+FOLD_SQL = ledger_ctes() + "," + FOLD_UNSEEDED
+SEEDED_SQL = ledger_ctes() + "," + SNAPSHOT + "," + FOLD_SEEDED + f""",
+sfold AS (SELECT {POSITION_COLS} FROM seeded UNION ALL SELECT {POSITION_COLS} FROM unseeded)"""
+
+SQL["positions_with_tokens"] = FOLD_SQL + """
+SELECT f.user_address, f.asset_address, f.scaled_atoken_balance, f.scaled_variable_debt,
+  f.last_updated_block, r.atoken_address, r.v_debt_token_address
+FROM fold f JOIN res r ON f.asset_address = r.asset_address"""
+
+SQL["above_dust"] = FOLD_SQL + f"""
+SELECT {POSITION_COLS} FROM fold WHERE scaled_atoken_balance > 5 OR scaled_variable_debt > 5"""
+
+SQL["changed_after"] = SEEDED_SQL + f"""
+SELECT {POSITION_COLS} FROM sfold
+WHERE last_updated_block > 7500 AND last_updated_block > created_at_block"""
+
+SQL["snapshot_only"] = SEEDED_SQL + f"""
+SELECT {POSITION_COLS} FROM sfold
+WHERE created_at_block = last_updated_block AND last_updated_log_index = -1"""
+
+SQL["nonzero_positions"] = SEEDED_SQL + f"""
+SELECT {POSITION_COLS} FROM sfold WHERE scaled_atoken_balance > 0 OR scaled_variable_debt > 0"""
+
+SQL["lookup_keys"] = FOLD_SQL + "," + UE + "," + USER_EMODE_FOLD + f"""
+SELECT {POSITION_COLS} FROM fold
+WHERE user_address IN (SELECT user_address FROM uef WHERE emode_category_id > 0)"""
+
+SQL["oldest_positions"] = FOLD_SQL + f"""
+SELECT {POSITION_COLS} FROM fold WHERE scaled_atoken_balance > 5 OR scaled_variable_debt > 5
+ORDER BY last_updated_block, user_address, asset_address LIMIT 100"""
+
+SQL["systematic_sample"] = SQL["touched_pairs"].replace(
+    "SELECT DISTINCT user_address, asset_address FROM (",
+    "SELECT user_address, asset_address FROM (SELECT *, row_number() OVER (ORDER BY user_address, asset_address) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_address, asset_address FROM (",
+    1) + """)) WHERE (rn - 1) % greatest(n // 30, 1) = 0 AND rn <= greatest(n // 30, 1) * 29 + 1"""
+
+FAULT_FILTER = "NOT (l_quantity = 49 OR (l_quantity = 50 AND l_returnflag || l_linestatus <> 'AO'))"
+
+
+def _fold_as(alias: str, fault_filter: str | None) -> str:
+    """The unseeded fold with every CTE name prefixed, optionally over the
+    fault-filtered lineitem copies."""
+    body = ",".join([TOKEN_EVENTS, RESERVES, TOKEN_MAP, RESOLVED, LEGS, FOLD_UNSEEDED])
+    if fault_filter:
+        body = body.replace("FROM lineitem),", f"FROM lineitem WHERE {fault_filter}),", 1)
+    for name in ["li", "dd", "tev", "res", "tmap", "rtev", "legs0", "legs", "hdr", "kl", "rl", "ev", "fold"]:
+        import re
+        body = re.sub(rf"\b{name}\b(?= AS \()", f"{alias}_{name}", body)
+        body = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {alias}_{name}", body)
+    return body
+
+
+REC_SQL = "WITH " + _fold_as("c", FAULT_FILTER) + "," + _fold_as("e", None) + """,
+rec AS (
+  SELECT coalesce(c.user_address, e.user_address) AS user_address,
+    coalesce(c.asset_address, e.asset_address) AS asset_address,
+    coalesce(c.scaled_atoken_balance, 0) AS computed_supply, coalesce(c.scaled_variable_debt, 0) AS computed_debt,
+    coalesce(e.scaled_atoken_balance, 0) AS expected_supply, coalesce(e.scaled_variable_debt, 0) AS expected_debt
+  FROM c_fold c FULL OUTER JOIN e_fold e ON c.user_address = e.user_address AND c.asset_address = e.asset_address),
+rec2 AS (
+  SELECT *, abs(computed_supply - expected_supply) AS diff_supply, abs(computed_debt - expected_debt) AS diff_debt
+  FROM rec)"""
+
+SQL["reconcile"] = REC_SQL + """
+SELECT *, diff_supply <= 5 AND diff_debt <= 5 AS within_tolerance FROM rec2"""
+
+SQL["pass_fail_summary"] = REC_SQL + """
+SELECT count(*) AS n_pairs,
+  CAST(sum(CASE WHEN diff_supply <= 5 AND diff_debt <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_pass,
+  CAST(sum(CASE WHEN NOT (diff_supply <= 5 AND diff_debt <= 5) THEN 1 ELSE 0 END) AS BIGINT) AS n_fail,
+  CAST(sum(CASE WHEN diff_supply > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_supply_diff,
+  CAST(sum(CASE WHEN diff_debt > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_debt_diff
+FROM rec2"""
+
+
+def _contains_any(patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"coalesce(contains(lower(message), '{p}'), false)" for p in patterns) + ")"
+
+
+def _first(patterns: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower(message), '{p}') THEN '{p}'" for p in patterns) + " END"
+
+
+SQL["classify_error_text"] = f"""
+WITH m AS (
+  SELECT 'conversations' AS source, CAST(conv_id * 1000 + turn AS BIGINT) AS message_id, text AS message
+  FROM conversations
+  UNION ALL SELECT 'documents', CAST(doc_id AS BIGINT), text FROM documents)
+SELECT source, message_id, {_contains_any(RETRYABLE_PATTERNS)} AS is_retryable,
+  {_contains_any(PROVIDER_PATTERNS)} AS is_provider_error,
+  {_first(RETRYABLE_PATTERNS)} AS retryable_match, {_first(PROVIDER_PATTERNS)} AS provider_match
+FROM m"""
+
+SQL["asof_contract_read"] = "WITH " + EVX + """,
+reads AS (
+  SELECT CAST(user_id % 10 AS INTEGER) AS entity, block_number, arg_max(k, log_index) AS value
+  FROM evx WHERE event_type = 'click' GROUP BY 1, 2),
+probes AS (
+  SELECT event_id AS probe_id, CAST(user_id % 10 AS INTEGER) AS entity, block_number, log_index
+  FROM evx WHERE event_type = 'view')
+SELECT p.entity, p.probe_id, p.block_number, p.log_index, r.value
+FROM probes p ASOF LEFT JOIN reads r ON p.entity = r.entity AND p.block_number >= r.block_number"""

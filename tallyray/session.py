@@ -30,6 +30,7 @@ def get_spark(master: str | None = None, app: str = "tallyray",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.ui.enabled", "false")
+    conf.setdefault("spark.driver.memory", os.environ.get("TALLYRAY_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.address import address_of
 from ..functions.topics import TOPIC
 from ..functions.words import D38, address_to_word, dlit, uint_to_word
+from ..session import checkpoint_dir
 from .tables import read_table
 
 RAY = 10 ** 27
@@ -122,8 +123,8 @@ def fx_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.concat(F.lit("0x"), uint_to_word("value"), uint_to_word("idx")))
             .otherwise(F.concat(F.lit("0x"), uint_to_word("value"),
                                 uint_to_word("balance_increase"), uint_to_word("idx"))))
-    return ev.select("address", topics.alias("topics"), data.alias("data"), "block_number",
-                     "log_index", "tx_hash", "arrival")
+    return materialize(ev.select("address", topics.alias("topics"), data.alias("data"),
+                                 "block_number", "log_index", "tx_hash", "arrival"))
 
 
 # ---------------------------------------------------------------- reserves
@@ -415,3 +416,93 @@ def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         dec(F.round(F.col("p_retailprice") * 400).cast("bigint")).alias("vdebt_total_supply"),
         dec(F.round(F.col("p_retailprice") * 7).cast("bigint")).alias("sdebt_total_supply"),
     )
+
+
+# ---------------------------------------------------------------- raw encodings
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived fixture table once (reliable checkpoint in the shared
+    checkpoint folder) so later plans scan it like a stored log table instead
+    of re-deriving (and inlining) its encoding expressions."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _enc_word(col: Column, typ: str) -> Column:
+    if typ == "address":
+        return address_to_word(col)
+    if typ == "bool":
+        return uint_to_word(col.cast("int"))
+    return uint_to_word(col)
+
+
+def encode_logs(typed: DataFrame, emitter: Column, events: list[str]) -> DataFrame:
+    """Typed events (``event`` + the decoder's field columns) -> raw logs.
+
+    The inverse of :func:`tallyray.operators.decode.decode_logs`: indexed
+    fields become topics, the others 32-byte data words; a string argument is
+    an offset word plus a length-prefixed, zero-padded tail.
+    """
+    from ..operators.decode import SPECS
+    ev = F.col("event")
+    topics, data = None, None
+    for name in events:
+        spec = SPECS[name]
+        tws = [F.lit(TOPIC[name])] + [
+            F.concat(F.lit("0x"), _enc_word(F.col(f), t)) for f, loc, t in spec if loc[0] == "t"]
+        words, tail = [], []
+        n_static = sum(1 for _, loc, _ in spec if loc[0] == "w")
+        for f, loc, t in spec:
+            if loc[0] != "w":
+                continue
+            if t == "string":
+                hx = F.lower(F.hex(F.encode(F.col(f), "UTF-8")))
+                padded = F.rpad(hx, (F.ceil(F.length(hx) / 64) * 64).cast("int"), "0")
+                words.append(uint_to_word(F.lit(32 * n_static)))
+                tail += [uint_to_word(F.length(hx) / 2), padded]
+            else:
+                words.append(_enc_word(F.col(f), t))
+        d = F.concat(F.lit("0x"), *words, *tail) if words else F.lit("0x")
+        t_arr = F.array(*tws)
+        topics = F.when(ev == name, t_arr) if topics is None else topics.when(ev == name, t_arr)
+        data = F.when(ev == name, d) if data is None else data.when(ev == name, d)
+    return typed.select(emitter.alias("address"), topics.alias("topics"), data.alias("data"),
+                        "block_number", "log_index", "tx_hash")
+
+
+def fx_raw_reserve_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration, eMode and user-eMode events encoded as raw logs."""
+    cfg = fx_config_events(spark, sf_dir).withColumn("old_amount", F.lit(0).cast(D38))
+    cfg_logs = encode_logs(cfg, F.when(F.col("event") == "ReserveDataUpdated", pool_address())
+                           .otherwise(address_of(F.lit(POOL_ID + 1))),
+                           ["SupplyCapChanged", "ReserveFrozen", "ReserveUnfrozen", "ReservePaused",
+                            "CollateralConfigurationChanged", "ReserveDataUpdated"])
+    em = fx_emode_assets(spark, sf_dir).select(
+        "block_number", "log_index", "tx_hash", "asset", "category_id", "flag",
+        F.when(F.col("bitmap") == "collateral", "AssetCollateralInEModeChanged")
+         .when(F.col("bitmap") == "borrowable", "AssetBorrowableInEModeChanged")
+         .otherwise("AssetLtvzeroInEModeChanged").alias("event"))
+    # the same events row also drives a configuration event: shift the log index
+    em = em.withColumn("log_index", F.col("log_index") + 1_000_000)
+    em_logs = encode_logs(em, address_of(F.lit(POOL_ID + 1)),
+                          ["AssetCollateralInEModeChanged", "AssetBorrowableInEModeChanged",
+                           "AssetLtvzeroInEModeChanged"])
+    cat = fx_emode_category_events(spark, sf_dir).withColumn("event", F.lit("EModeCategoryAdded")) \
+        .withColumn("log_index", F.col("log_index") + 2_000_000)
+    cat_logs = encode_logs(cat, address_of(F.lit(POOL_ID + 1)), ["EModeCategoryAdded"])
+    ue = fx_user_emode(spark, sf_dir).withColumn("event", F.lit("UserEModeSet")) \
+        .withColumn("tx_hash", tx_hash_of("log_index"))
+    ue_logs = encode_logs(ue, pool_address(), ["UserEModeSet"])
+    return materialize(cfg_logs.unionByName(em_logs).unionByName(cat_logs).unionByName(ue_logs))
+
+
+def fx_raw_token_logs_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw token logs where quantity 50 loses its last data word and quantity
+    49 loses its topics (degenerate deliveries for the reject path)."""
+    raw = fx_raw_logs(spark, sf_dir)
+    q = F.col("arrival.q")
+    data = F.when((q == 50) & (F.length("data") > 2),
+                  F.expr("substring(data, 1, length(data) - 64)")).otherwise(F.col("data"))
+    topics = F.when(q == 49, F.array().cast("array<string>")).otherwise(F.col("topics"))
+    return materialize(raw.select("address", topics.alias("topics"), data.alias("data"),
+                                  "block_number", "log_index", "tx_hash", "arrival"))
