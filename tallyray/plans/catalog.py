@@ -508,3 +508,45 @@ def q_asof_contract_read(spark, sf):
     probes = fx.fx_read_probes(spark, sf)
     reads = fx.fx_contract_reads(spark, sf)
     return asof_join(probes, reads, "entity", ["value"])
+
+
+@query("diagnose_drift")
+def q_diagnose_drift(spark, sf, tolerance: int = rp.TOLERANCE):
+    """Failing reconcile rows: was the mismatch already there at the creation
+    block, did it arise later, or is it within tolerance?"""
+    comp = raw_path_positions(spark, sf)
+    rec = rp.reconcile(comp, folded_positions(spark, sf), tolerance)
+    failing = rec.where(~F.col("within_tolerance")).join(
+        comp.select("user_address", "asset_address", "created_at_block", "last_updated_block"),
+        ["user_address", "asset_address"], "inner")
+    pair = F.concat_ws("|", "user_address", "asset_address")
+    hist = pos.leg_effects(pl.ledger_legs(spark, sf)).where(F.col("kept")).select(
+        pair.alias("pair"), "block_number", (F.col("log_index") * 10 + F.col("leg")).alias("log_index"),
+        F.col("run_s").alias("exp_s"), F.col("run_d").alias("exp_d"))
+    f = failing.select(pair.alias("pair"), "user_address", "asset_address", "computed_supply",
+                       "computed_debt", "diff_supply", "diff_debt", "created_at_block",
+                       "last_updated_block")
+    at_c = asof_join(f.withColumn("block_number", F.col("created_at_block")), hist, "pair",
+                     ["exp_s", "exp_d"]).withColumnRenamed("exp_s", "c_s").withColumnRenamed("exp_d", "c_d")
+    both = asof_join(at_c.drop("block_number").withColumn("block_number", F.col("last_updated_block")),
+                     hist, "pair", ["exp_s", "exp_d"]).withColumnRenamed("exp_s", "u_s") \
+        .withColumnRenamed("exp_d", "u_d")
+    z = F.lit(0).cast("decimal(38,0)")
+    rows = []
+    for side, comp_c, diff_c, c_at, u_at in [("supply", "computed_supply", "diff_supply", "c_s", "u_s"),
+                                            ("debt", "computed_debt", "diff_debt", "c_d", "u_d")]:
+        dc = F.abs(F.col(comp_c) - F.coalesce(F.col(c_at), z))
+        du = F.abs(F.col(comp_c) - F.coalesce(F.col(u_at), z))
+        rows.append(both.where(F.col(diff_c) > tolerance).select(
+            "user_address", "asset_address", F.lit(side).alias("side"),
+            F.col(diff_c).cast("bigint").alias("diff"), dc.cast("bigint").alias("diff_at_created"),
+            du.cast("bigint").alias("diff_at_updated"),
+            rp.classify_drift(F.col(diff_c), dc, du).alias("origin")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("checksum_address")
+def q_checksum_address(spark, sf):
+    from ..functions.address import with_checksum
+    users = folded_positions(spark, sf).select("user_address").distinct()
+    return with_checksum(users, "user_address", "user_checksum")

@@ -827,3 +827,34 @@ probes AS (
   FROM evx WHERE event_type = 'view')
 SELECT p.entity, p.probe_id, p.block_number, p.log_index, r.value
 FROM probes p ASOF LEFT JOIN reads r ON p.entity = r.entity AND p.block_number >= r.block_number"""
+
+SQL["diagnose_drift"] = REC_SQL + f""",
+fail AS (
+  SELECT r.*, c.created_at_block, c.last_updated_block
+  FROM rec2 r JOIN c_fold c USING (user_address, asset_address)
+  WHERE NOT (r.diff_supply <= 5 AND r.diff_debt <= 5)),
+hist AS (
+  SELECT ua AS user_address, aa AS asset_address, block_number,
+    arg_max(run_s, ok) AS exp_s, arg_max(run_d, ok) AS exp_d
+  FROM e_rl GROUP BY ua, aa, block_number),
+atc AS (
+  SELECT f.*, h.exp_s AS c_s, h.exp_d AS c_d FROM fail f ASOF LEFT JOIN hist h
+  ON f.user_address = h.user_address AND f.asset_address = h.asset_address
+  AND f.created_at_block >= h.block_number),
+atu AS (
+  SELECT a.*, h.exp_s AS u_s, h.exp_d AS u_d FROM atc a ASOF LEFT JOIN hist h
+  ON a.user_address = h.user_address AND a.asset_address = h.asset_address
+  AND a.last_updated_block >= h.block_number),
+sides AS (
+  SELECT user_address, asset_address, 'supply' AS side, diff_supply AS diff,
+    abs(computed_supply - coalesce(c_s, 0)) AS dc, abs(computed_supply - coalesce(u_s, 0)) AS du
+  FROM atu WHERE diff_supply > 5
+  UNION ALL
+  SELECT user_address, asset_address, 'debt', diff_debt,
+    abs(computed_debt - coalesce(c_d, 0)), abs(computed_debt - coalesce(u_d, 0))
+  FROM atu WHERE diff_debt > 5)
+SELECT user_address, asset_address, side, CAST(diff AS BIGINT) AS diff,
+  CAST(dc AS BIGINT) AS diff_at_created, CAST(du AS BIGINT) AS diff_at_updated,
+  CASE WHEN dc = diff THEN 'at_creation' WHEN du <> diff THEN 'after_creation'
+       ELSE 'within_tolerance' END AS origin
+FROM sides"""
