@@ -550,3 +550,81 @@ def q_checksum_address(spark, sf):
     from ..functions.address import with_checksum
     users = folded_positions(spark, sf).select("user_address").distinct()
     return with_checksum(users, "user_address", "user_checksum")
+
+
+# ---------------------------------------------------------------- streaming
+
+def _stream_source(spark, sf, n_ranges: int = 4):
+    """Write the token events as chain-ordered files (one write per block
+    range) into a fresh folder under the shared checkpoint folder."""
+    import uuid
+
+    from ..session import state_root
+    root = state_root(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    ev = fx.fx_token_events(spark, sf)
+    top = ev.select(F.max("block_number")).first()[0] or 0
+    width = top // n_ranges + 1
+    for i in range(n_ranges):
+        # one file per range, rows in delivery order (block, log, arrival)
+        ev.where(F.floor(F.col("block_number") / width) == i).coalesce(1) \
+            .sortWithinPartitions("block_number", "log_index", "arrival") \
+            .write.mode("overwrite").parquet(f"{root}/src/range={i:04d}")
+    return root, ev.schema
+
+
+def _legs_of(spark, sf):
+    reserves = fx.fx_reserves(spark, sf)
+
+    def legs_of(events):
+        tm = jn.token_map(reserves)
+        tokens = jn.resolve_token(events.where(F.col("event").isin(*pl.TOKEN_EVENTS)), tm)
+        coll = events.where(F.col("event").isin(*pl.COLLATERAL_EVENTS))
+        legs = pos.position_legs(tokens, coll)
+        return legs.where(F.col("d_supply").isNotNull() & F.col("d_debt").isNotNull())
+    return legs_of
+
+
+@query("stream_apply")
+def q_stream_apply(spark, sf):
+    from ..streaming.apply import stream_apply
+    root, schema = _stream_source(spark, sf)
+    out = stream_apply(spark, f"{root}/src/*", schema, _legs_of(spark, sf),
+                       name=root.rsplit("/", 1)[-1] + "-state")
+    return present_positions(out)
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    from ..streaming.apply import stream_dedup
+    root, schema = _stream_source(spark, sf)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/src/*")
+    d = stream_dedup(s).select("tx_hash", "log_index", "block_number")
+    q = (d.writeStream.format("parquet").option("path", f"{root}/dedup")
+         .option("checkpointLocation", f"{root}/dedup_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/dedup")
+
+
+@query("stateful_positions")
+def q_stateful_positions(spark, sf):
+    from ..streaming.apply import stateful_positions, stream_dedup
+    root, schema = _stream_source(spark, sf)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/src/*")
+    ev = stream_dedup(s).drop("event_time", "arrival")
+    legs = _legs_of(spark, sf)(ev)
+    out = stateful_positions(legs)
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/state_out")
+
+    q = (out.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", f"{root}/state_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{root}/state_out")
+    latest = rows.groupBy("user_address", "asset_address").agg(
+        F.max_by(F.struct(*[c for c in rows.columns if c not in ("user_address", "asset_address",
+                                                                  "batch_id")]),
+                 "batch_id").alias("r"))
+    cols = [c for c in rows.columns if c not in ("user_address", "asset_address", "batch_id")]
+    res = latest.select("user_address", "asset_address", *[F.col("r").getField(c).alias(c) for c in cols])
+    return present(res, bigint=("scaled_atoken_balance", "scaled_variable_debt"))

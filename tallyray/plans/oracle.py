@@ -858,3 +858,8 @@ SELECT user_address, asset_address, side, CAST(diff AS BIGINT) AS diff,
   CASE WHEN dc = diff THEN 'at_creation' WHEN du <> diff THEN 'after_creation'
        ELSE 'within_tolerance' END AS origin
 FROM sides"""
+
+# Streaming results equal the batch fold / dedup on the same input.
+SQL["stream_apply"] = SQL["fold_positions"]
+SQL["stateful_positions"] = SQL["fold_positions"]
+SQL["stream_dedup"] = SQL["insert_if_absent"]
