@@ -58,8 +58,10 @@ def _pivot_updates(events: DataFrame, updates: dict[str, dict[str, str]],
     targets: list[str] = []
     for m in updates.values():
         for c in m:
-            if c not in targets:
+            if c not in targets and c in seed.columns:
                 targets.append(c)
+    updates = {n: {c: e for c, e in m.items() if c in targets} for n, m in updates.items()}
+    updates = {n: m for n, m in updates.items() if m}
     ev = F.col("event")
     cols = []
     for c in targets:
