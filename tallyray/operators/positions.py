@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from ..functions.raymath import burn_delta, mint_delta
 from ..functions.words import D38
+from ..session import checkpoint_dir
 from .order import ord_block, ord_log, ordkey
 
 KEY = ["user_address", "asset_address"]
@@ -99,6 +100,44 @@ def position_legs(token_events: DataFrame, collateral_events: DataFrame | None =
                       *[c for c in LEG_FIELDS if c != "user_address"])
 
 
+def legs_from_events(events: DataFrame, tmap: DataFrame) -> DataFrame:
+    """Token and collateral events -> legs in ONE pass over the events.
+
+    The emitter is resolved with a left broadcast join (the token map has one
+    row per reserve token, its size is checked before broadcasting); token
+    events of unknown emitters drop out, collateral toggles keep their
+    reserve as the asset.  One explode builds every leg, so the de-duplicated
+    events are consumed once.
+    """
+    from .joins import dim_join
+    t = tmap.withColumnRenamed("token", "__token").withColumnRenamed("asset_address", "__asset")
+    j = dim_join(events, t, F.col("address") == F.col("__token"), "left")
+    is_coll = F.col("event").isin("ReserveUsedAsCollateralEnabled", "ReserveUsedAsCollateralDisabled")
+    j = j.where(is_coll | (F.col("event").isin("Mint", "Burn", "BalanceTransfer")
+                          & F.col("token_type").isNotNull()))
+    ev, tt = F.col("event"), F.col("token_type")
+    v, b, i = F.col("value"), F.col("balance_increase"), F.col("idx")
+    frm, to = F.col("from_address"), F.col("to_address")
+    is_a, is_d = tt == "atoken", tt == "vdebt"
+    up = v >= b
+    mint = mint_delta(v, b, i)
+    burn = -burn_delta(v, b, i)
+    legs = (F.when(is_coll, F.array(_leg(F.col("user_address"), 0,
+                                         toggle=ev == "ReserveUsedAsCollateralEnabled")))
+            .when(is_a & (ev == "Mint"), F.array(_leg(to, 0, d_s=mint, s_idx=i, is_up=up)))
+            .when(is_a & (ev == "Burn"), F.array(_leg(frm, 0, d_s=burn, s_idx=i, clear="S")))
+            .when(is_a & (ev == "BalanceTransfer"), F.array(
+                _leg(frm, 0, d_s=-v, clear="S"),
+                _leg(to, 1, d_s=v, s_idx=i, is_up=True, is_self=(frm == to))))
+            .when(is_d & (ev == "Mint"), F.array(_leg(to, 0, d_d=mint, d_idx=i, is_up=up)))
+            .when(is_d & (ev == "Burn"), F.array(_leg(frm, 0, d_d=burn, d_idx=i, clear="D"))))
+    out = j.select(F.when(is_coll, F.col("reserve")).otherwise(F.col("__asset")).alias("asset_address"),
+                   "block_number", "log_index", "tx_hash", F.explode(legs).alias("__l"))
+    return out.select(F.col("__l").getField("user_address").alias("user_address"), "asset_address",
+                      "block_number", "log_index", "tx_hash",
+                      *[F.col("__l").getField(c).alias(c) for c in LEG_FIELDS if c != "user_address"])
+
+
 def _stale_pred(stale_before) -> Column:
     if stale_before is None:
         return F.lit(False)
@@ -163,11 +202,17 @@ def _bucket_info(lr: DataFrame, seed_bal: DataFrame | None, bucket_blocks: int)
 
 
 def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=None,
-                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
     """Every leg with its fate (kept / stale), running balances after it, and
     the flag events it produces.  This is the ``running_balance`` history."""
     zero = F.lit(0).cast(D38)
     lr = _legs_with_running(legs, stale_before, bucket_blocks)
+    if materialize:
+        # Both the bucket aggregate and the join back consume the windowed legs;
+        # a reliable checkpoint computes them once, keeps their hash
+        # partitioning on (user, asset, bucket) and survives executor loss.
+        checkpoint_dir(lr.sparkSession)
+        lr = lr.checkpoint(eager=True)
     seed_bal = None
     if seed is not None:
         seed_bal = seed.select(*KEY, F.lit(True).alias("seeded"),
@@ -213,7 +258,7 @@ def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=Non
 
 
 def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=None,
-                   bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
+                   bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
     """Fold legs (optionally on top of seed ``user_positions`` rows) into the
     ``user_positions`` table.
 
@@ -222,7 +267,7 @@ def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=
     acts, on the seed balances).  Without it every leg is newer than the seed.
     """
     zero = F.lit(0).cast(D38)
-    fx = leg_effects(legs, seed, stale_before, bucket_blocks)
+    fx = leg_effects(legs, seed, stale_before, bucket_blocks, materialize)
     nn = lambda c: F.when(F.col(c).isNotNull(), F.col("ok"))
     pair = fx.groupBy(*KEY).agg(
         F.sum(F.when(F.col("kept"), F.col("d_supply")).otherwise(zero)).alias("sum_s"),

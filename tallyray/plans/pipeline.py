@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import first_delivery
 from ..operators.joins import resolve_token, token_map
-from ..operators.positions import position_legs
+from ..operators.positions import legs_from_events, position_legs  # noqa: F401
 from ..sources import fixtures as fx
 
 TOKEN_EVENTS = ("Mint", "Burn", "BalanceTransfer")
@@ -29,7 +29,5 @@ def resolved_token_events(spark: SparkSession, sf_dir: str, events: DataFrame |
 
 def ledger_legs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     ev = events if events is not None else delivered_token_events(spark, sf_dir)
-    tokens = resolved_token_events(spark, sf_dir, ev)
-    coll = ev.where(F.col("event").isin(*COLLATERAL_EVENTS))
-    legs = position_legs(tokens, coll)
+    legs = legs_from_events(ev, token_map(fx.fx_reserves(spark, sf_dir)))
     return legs.where(F.col("d_supply").isNotNull() & F.col("d_debt").isNotNull())

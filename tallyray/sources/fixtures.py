@@ -124,7 +124,8 @@ def fx_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("0x"), uint_to_word("value"),
                                 uint_to_word("balance_increase"), uint_to_word("idx"))))
     return materialize(ev.select("address", topics.alias("topics"), data.alias("data"),
-                                 "block_number", "log_index", "tx_hash", "arrival"))
+                                 "block_number", "log_index", "tx_hash", "arrival"),
+                       ("raw_token_logs", sf_dir))
 
 
 # ---------------------------------------------------------------- reserves
@@ -420,12 +421,24 @@ def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- raw encodings
 
-def materialize(df: DataFrame) -> DataFrame:
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def materialize(df: DataFrame, key: tuple | None = None) -> DataFrame:
     """Write a derived fixture table once (reliable checkpoint in the shared
     checkpoint folder) so later plans scan it like a stored log table instead
-    of re-deriving (and inlining) its encoding expressions."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    of re-deriving (and inlining) its encoding expressions.  With a ``key``
+    the stored table is reused by later queries of the same session."""
+    spark = df.sparkSession
+    if key is not None:
+        k = (id(spark.sparkContext._jsc), *key)
+        if k in _STORED:
+            return _STORED[k]
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if key is not None:
+        _STORED[k] = out
+    return out
 
 
 def _enc_word(col: Column, typ: str) -> Column:
@@ -493,7 +506,8 @@ def fx_raw_reserve_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ue = fx_user_emode(spark, sf_dir).withColumn("event", F.lit("UserEModeSet")) \
         .withColumn("tx_hash", tx_hash_of("log_index"))
     ue_logs = encode_logs(ue, pool_address(), ["UserEModeSet"])
-    return materialize(cfg_logs.unionByName(em_logs).unionByName(cat_logs).unionByName(ue_logs))
+    return materialize(cfg_logs.unionByName(em_logs).unionByName(cat_logs).unionByName(ue_logs),
+                       ("raw_reserve_logs", sf_dir))
 
 
 def fx_raw_token_logs_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,4 +519,5 @@ def fx_raw_token_logs_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame
                   F.expr("substring(data, 1, length(data) - 64)")).otherwise(F.col("data"))
     topics = F.when(q == 49, F.array().cast("array<string>")).otherwise(F.col("topics"))
     return materialize(raw.select("address", topics.alias("topics"), data.alias("data"),
-                                  "block_number", "log_index", "tx_hash", "arrival"))
+                                  "block_number", "log_index", "tx_hash", "arrival"),
+                       ("raw_token_logs_with_faults", sf_dir))
