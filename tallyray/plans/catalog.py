@@ -628,3 +628,87 @@ def q_stateful_positions(spark, sf):
     cols = [c for c in rows.columns if c not in ("user_address", "asset_address", "batch_id")]
     res = latest.select("user_address", "asset_address", *[F.col("r").getField(c).alias(c) for c in cols])
     return present(res, bigint=("scaled_atoken_balance", "scaled_variable_debt"))
+
+
+# ---------------------------------------------------------------- more inventory
+
+@query("entity_key")
+def q_entity_key(spark, sf):
+    d = dec.decode_logs(fx.fx_raw_reserve_logs(spark, sf), dec.RESERVE_FAMILY)
+    return d.select("tx_hash", "log_index", "event", dec.entity_key(d).alias("entity"))
+
+
+@query("token_union")
+def q_token_union(spark, sf):
+    return jn.token_map(fx.fx_reserves(spark, sf))
+
+
+@query("load_bitmap_as_of")
+def q_load_bitmap_as_of(spark, sf):
+    """Each asset-flag event with its category's configuration as of that block."""
+    probes = emode_flag_events(spark, sf).select("category_id", "block_number", "log_index",
+                                                 "asset", "bitmap", "flag")
+    reads = fx.fx_emode_category_events(spark, sf).select(
+        "category_id", "block_number", "log_index", "ltv", "label")
+    return asof_join(probes, reads, "category_id", ["ltv", "label"])
+
+
+@query("merge_overwrite_state")
+def q_merge_overwrite_state(spark, sf):
+    _, st = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    out = fo.merge_overwrite(fx.fx_reserve_state(spark, sf), st)
+    return present(out, bigint=STATE_BIGINT[2:], text=STATE_BIGINT[:2])
+
+
+@query("insert_if_absent_positions")
+def q_insert_if_absent_positions(spark, sf):
+    existing = folded_positions(spark, sf)
+    incoming = sn.load_position_snapshot(fx.fx_snapshot_pages(spark, sf), fx.SNAPSHOT_BLOCK)
+    return present_positions(dd.insert_if_absent(existing, incoming, ["user_address", "asset_address"]))
+
+
+@query("late_guard")
+def q_late_guard(spark, sf, split: int = 10000):
+    """Re-delivered / late UserEModeSet events that the guard turns into no-ops."""
+    ev = fx.fx_user_emode(spark, sf)
+    stored = fo.fold_user_emode(ev.where(F.col("block_number") < split))
+    s = stored.select("user_address", F.col("last_updated_block").alias("sb"),
+                      F.col("last_updated_log_index").alias("sl"))
+    j = ev.join(s, "user_address", "inner")
+    return j.where(~guard_newer("sb", "sl", "block_number", "log_index")) \
+        .select("user_address", "block_number", "log_index", "category_id")
+
+
+@query("stream_logs")
+def q_stream_logs(spark, sf):
+    """Raw logs read as a stream and routed per micro-batch."""
+    import uuid
+
+    from ..session import state_root
+    root = state_root(spark, f"logs-{uuid.uuid4().hex[:12]}")
+    raw = fx.fx_raw_token_logs_with_faults(spark, sf).drop("arrival")
+    top = raw.select(F.max("block_number")).first()[0] or 0
+    width = top // 4 + 1
+    for i in range(4):
+        raw.where(F.floor(F.col("block_number") / width) == i).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/src/range={i:04d}")
+    s = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/src/*")
+    routed = dec.route_events(s).select("tx_hash", "log_index", "event", "family")
+    q = (routed.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("resume")
+def q_resume(spark, sf):
+    """Incremental apply stopped after half of the log and restarted from its
+    checkpoint with the rest: the result equals one uninterrupted run."""
+    from ..streaming.apply import stream_apply
+    root, schema = _stream_source(spark, sf, n_ranges=4)
+    name = root.rsplit("/", 1)[-1] + "-state"
+    # first run sees ranges 0-1 only (a glob over the first half)
+    stream_apply(spark, f"{root}/src/range=000[01]", schema, _legs_of(spark, sf), name=name)
+    # restart: same checkpoint, the full set; processed files are skipped
+    out = stream_apply(spark, f"{root}/src/range=000[0-3]", schema, _legs_of(spark, sf), name=name)
+    return present_positions(out)

@@ -863,3 +863,49 @@ FROM sides"""
 SQL["stream_apply"] = SQL["fold_positions"]
 SQL["stateful_positions"] = SQL["fold_positions"]
 SQL["stream_dedup"] = SQL["insert_if_absent"]
+
+SQL["entity_key"] = "WITH " + ",".join([EVX, CFG, EMA, CAT]) + """
+SELECT tx_hash, log_index, event, asset AS entity FROM cfg
+UNION ALL SELECT tx_hash, log_index, event, asset FROM ema
+UNION ALL SELECT tx_hash, log_index, 'EModeCategoryAdded', NULL FROM cat"""
+
+SQL["token_union"] = "WITH " + RESERVES + "," + TOKEN_MAP + """
+SELECT token, asset_address, token_type FROM tmap"""
+
+SQL["load_bitmap_as_of"] = "WITH " + ",".join([EVX, EMA, CAT]) + """,
+reads AS (
+  SELECT category_id, block_number, arg_max(ltv, raw_log) AS ltv, arg_max(label, raw_log) AS label
+  FROM cat GROUP BY category_id, block_number)
+SELECT e.category_id, e.block_number, e.raw_log AS log_index, e.asset, e.bitmap, e.flag, r.ltv, r.label
+FROM ema e ASOF LEFT JOIN reads r ON e.category_id = r.category_id AND e.block_number >= r.block_number"""
+
+SQL["merge_overwrite_state"] = SQL["load_reserve_state_snapshot"].replace(
+    "last_updated_block, last_updated_log_index\nFROM snapres",
+    "CASE WHEN r < 45 THEN 0 ELSE last_updated_block END AS last_updated_block,\n"
+    "  CASE WHEN r < 45 THEN -1 ELSE last_updated_log_index END AS last_updated_log_index\nFROM snapres")
+
+SQL["insert_if_absent_positions"] = FOLD_SQL + "," + PAGES + f""",
+snaprows AS (
+  SELECT user_address, asset_address, CAST(supply AS BIGINT) AS scaled_atoken_balance,
+    CAST(debt AS BIGINT) AS scaled_variable_debt, coll AS use_as_collateral, idx AS atoken_last_index,
+    idx AS debt_last_index, CAST(5000 AS BIGINT) AS last_updated_block,
+    CAST(-1 AS BIGINT) AS last_updated_log_index, true AS is_active, CAST(5000 AS BIGINT) AS created_at_block
+  FROM pg WHERE supply > 0 OR debt > 0)
+SELECT {POSITION_COLS} FROM fold
+UNION ALL
+SELECT {POSITION_COLS} FROM snaprows s
+WHERE NOT EXISTS (SELECT 1 FROM fold f WHERE f.user_address = s.user_address AND f.asset_address = s.asset_address)"""
+
+SQL["late_guard"] = "WITH " + UE + f""",
+st AS (
+  SELECT user_address, max({ordk('block_number', 'log_index')}) AS sok
+  FROM ue WHERE block_number < 10000 GROUP BY user_address)
+SELECT u.user_address, u.block_number, u.log_index, u.category_id
+FROM ue u JOIN st s USING (user_address)
+WHERE {ordk('u.block_number', 'u.log_index')} <= s.sok"""
+
+SQL["stream_logs"] = "WITH " + ",".join([TOPIC_DIM, RAW_TOKEN]) + """
+SELECT r.tx_hash, r.log_index, r.event, t.family
+FROM rawtok r JOIN topic_dim t ON r.event = t.event WHERE r.l_quantity <> 49"""
+
+SQL["resume"] = SQL["fold_positions"]
