@@ -151,13 +151,9 @@ def q_tracked_addresses(spark, sf):
 
 @query("scan_logs")
 def q_scan_logs(spark, sf, lo: int = 1000, hi: int = 12000):
-    logs = all_raw_logs(spark, sf)
-    addrs = q_tracked_addresses(spark, sf)
-    topics = tracked_topics(spark).select("topic0")
-    sel = logs.where(F.col("block_number").between(lo, hi)) \
-        .withColumn("topic0", F.lower(F.get(F.col("topics"), 0)))
-    sel = jn.dim_join(sel, addrs, "address", "left_semi")
-    sel = jn.dim_join(sel, topics, "topic0", "left_semi")
+    from ..sources.logs import scan_logs
+    sel = scan_logs(all_raw_logs(spark, sf), lo, hi, q_tracked_addresses(spark, sf),
+                    tracked_topics(spark), bucket_blocks=fx.BLOCK_BUCKET)
     return sel.select("address", "block_number", "log_index", "tx_hash", "topic0")
 
 

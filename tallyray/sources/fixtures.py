@@ -105,27 +105,10 @@ def fx_token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token/collateral events encoded as raw logs (address, topics, data)."""
-    ev = fx_token_events(spark, sf_dir)
-    t = lambda name: F.lit(TOPIC[name])
-    w = lambda a: F.concat(F.lit("0x"), address_to_word(a))
-    topic0 = (F.when(F.col("event") == "Mint", t("Mint"))
-              .when(F.col("event") == "Burn", t("Burn"))
-              .when(F.col("event") == "BalanceTransfer", t("BalanceTransfer"))
-              .when(F.col("event") == "ReserveUsedAsCollateralEnabled",
-                    t("ReserveUsedAsCollateralEnabled"))
-              .otherwise(t("ReserveUsedAsCollateralDisabled")))
-    is_coll = F.col("reserve").isNotNull()
-    topics = F.when(is_coll, F.array(topic0, w(F.col("reserve")), w(F.col("user_address")))) \
-        .otherwise(F.array(topic0, w(F.col("from_address")), w(F.col("to_address"))))
-    data = (F.when(is_coll, F.lit("0x"))
-            .when(F.col("event") == "BalanceTransfer",
-                  F.concat(F.lit("0x"), uint_to_word("value"), uint_to_word("idx")))
-            .otherwise(F.concat(F.lit("0x"), uint_to_word("value"),
-                                uint_to_word("balance_increase"), uint_to_word("idx"))))
-    return materialize(ev.select("address", topics.alias("topics"), data.alias("data"),
-                                 "block_number", "log_index", "tx_hash", "arrival"),
-                       ("raw_token_logs", sf_dir))
+    """The token/collateral events encoded as raw logs (address, topics, data),
+    stored as parquet partitioned by ``block_bucket``."""
+    return materialize(_encode_token_events(fx_token_events(spark, sf_dir)),
+                       ("raw_token_logs", sf_dir), partition_by="block_bucket")
 
 
 # ---------------------------------------------------------------- reserves
@@ -422,25 +405,61 @@ def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- raw encodings
 
 _STORED: dict[tuple, DataFrame] = {}
+BLOCK_BUCKET = 1000  # blocks per partition folder of the stored log tables
+
 
+def block_bucket(block="block_number") -> Column:
+    b = F.col(block) if isinstance(block, str) else block
+    return F.floor(b / BLOCK_BUCKET).cast("bigint")
 
-def materialize(df: DataFrame, key: tuple | None = None) -> DataFrame:
-    """Write a derived fixture table once (reliable checkpoint in the shared
-    checkpoint folder) so later plans scan it like a stored log table instead
-    of re-deriving (and inlining) its encoding expressions.  With a ``key``
-    the stored table is reused by later queries of the same session."""
+
+def materialize(df: DataFrame, key: tuple | None = None, partition_by: str | None = None) -> DataFrame:
+    """Write a derived fixture table once as parquet under the shared
+    checkpoint folder and read it back, so later plans scan it like a stored
+    log table (column pruning, pushed filters, partition pruning) instead of
+    re-deriving (and inlining) its encoding expressions.  With a ``key`` the
+    stored table is reused by later queries of the same session."""
+    import os
+    import uuid
     spark = df.sparkSession
+    k = None
     if key is not None:
         k = (id(spark.sparkContext._jsc), *key)
         if k in _STORED:
             return _STORED[k]
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    if key is not None:
+    name = (key[0] if key else "table") + "-" + uuid.uuid4().hex[:12]
+    path = os.path.join(checkpoint_dir(spark), "tables", name)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    out = spark.read.parquet(path)
+    if k is not None:
         _STORED[k] = out
     return out
 
 
+def _encode_token_events(ev: DataFrame) -> DataFrame:
+    t = lambda name: F.lit(TOPIC[name])
+    w = lambda a: F.concat(F.lit("0x"), address_to_word(a))
+    topic0 = (F.when(F.col("event") == "Mint", t("Mint"))
+              .when(F.col("event") == "Burn", t("Burn"))
+              .when(F.col("event") == "BalanceTransfer", t("BalanceTransfer"))
+              .when(F.col("event") == "ReserveUsedAsCollateralEnabled",
+                    t("ReserveUsedAsCollateralEnabled"))
+              .otherwise(t("ReserveUsedAsCollateralDisabled")))
+    is_coll = F.col("reserve").isNotNull()
+    topics = F.when(is_coll, F.array(topic0, w(F.col("reserve")), w(F.col("user_address")))) \
+        .otherwise(F.array(topic0, w(F.col("from_address")), w(F.col("to_address"))))
+    data = (F.when(is_coll, F.lit("0x"))
+            .when(F.col("event") == "BalanceTransfer",
+                  F.concat(F.lit("0x"), uint_to_word("value"), uint_to_word("idx")))
+            .otherwise(F.concat(F.lit("0x"), uint_to_word("value"),
+                                uint_to_word("balance_increase"), uint_to_word("idx"))))
+    return ev.select("address", topics.alias("topics"), data.alias("data"), "block_number",
+                     "log_index", "tx_hash", "arrival", block_bucket().alias("block_bucket"))
+
+
 def _enc_word(col: Column, typ: str) -> Column:
     if typ == "address":
         return address_to_word(col)
@@ -506,18 +525,20 @@ def fx_raw_reserve_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ue = fx_user_emode(spark, sf_dir).withColumn("event", F.lit("UserEModeSet")) \
         .withColumn("tx_hash", tx_hash_of("log_index"))
     ue_logs = encode_logs(ue, pool_address(), ["UserEModeSet"])
-    return materialize(cfg_logs.unionByName(em_logs).unionByName(cat_logs).unionByName(ue_logs),
-                       ("raw_reserve_logs", sf_dir))
+    u = cfg_logs.unionByName(em_logs).unionByName(cat_logs).unionByName(ue_logs)
+    return materialize(u.withColumn("block_bucket", block_bucket()), ("raw_reserve_logs", sf_dir),
+                       partition_by="block_bucket")
 
 
 def fx_raw_token_logs_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw token logs where quantity 50 loses its last data word and quantity
     49 loses its topics (degenerate deliveries for the reject path)."""
-    raw = fx_raw_logs(spark, sf_dir)
+    ev = fx_token_events(spark, sf_dir)
+    raw = _encode_token_events(ev)
     q = F.col("arrival.q")
     data = F.when((q == 50) & (F.length("data") > 2),
                   F.expr("substring(data, 1, length(data) - 64)")).otherwise(F.col("data"))
     topics = F.when(q == 49, F.array().cast("array<string>")).otherwise(F.col("topics"))
-    return materialize(raw.select("address", topics.alias("topics"), data.alias("data"),
-                                  "block_number", "log_index", "tx_hash", "arrival"),
-                       ("raw_token_logs_with_faults", sf_dir))
+    out = raw.select("address", topics.alias("topics"), data.alias("data"), "block_number",
+                     "log_index", "tx_hash", "arrival", "block_bucket")
+    return materialize(out, ("raw_token_logs_with_faults", sf_dir), partition_by="block_bucket")
