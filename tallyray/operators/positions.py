@@ -158,11 +158,13 @@ def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int) -> Dat
     l1 = l0.withColumn("ds0", ds0).withColumn("dd0", dd0)
     w = (Window.partitionBy(*KEY, "bkt").orderBy("ok")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = l1.select("*", F.sum("ds0").over(w).alias("ra_s"), F.sum("dd0").over(w).alias("ra_d"))
+    if stale_before is None:
+        # no snapshot cut-off: the post-snapshot sums equal the plain ones
+        return out.withColumn("rp_s", F.col("ra_s")).withColumn("rp_d", F.col("ra_d"))
     post = lambda c: F.when(F.col("pre"), zero).otherwise(F.col(c))
-    return l1.select(
-        "*",
-        F.sum("ds0").over(w).alias("ra_s"), F.sum("dd0").over(w).alias("ra_d"),
-        F.sum(post("ds0")).over(w).alias("rp_s"), F.sum(post("dd0")).over(w).alias("rp_d"))
+    return out.select("*", F.sum(post("ds0")).over(w).alias("rp_s"),
+                      F.sum(post("dd0")).over(w).alias("rp_d"))
 
 
 def _bucket_info(lr: DataFrame, seed_bal: DataFrame | None, bucket_blocks: int) -> DataFrame:
