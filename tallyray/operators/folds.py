@@ -227,3 +227,30 @@ def merge_overwrite(existing: DataFrame, incoming: DataFrame, key: str = "asset_
         else:
             out.append(F.when(new, F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}")).alias(c))
     return j.select(*out)
+
+
+def heal_missing(events: DataFrame, seed: DataFrame, reads_rows: DataFrame,
+                 key_event: str = "asset", key_seed: str = "asset_address") -> DataFrame:
+    """Seed rows for keys that events reference but the seed lacks: the row
+    loaded from contract reads as of the first event's block, stamped
+    ``(first_block, -1)`` so that event and every later one pass the guard.
+    ``reads_rows`` holds already-shaped seed rows with their read block in
+    ``last_updated_block``."""
+    first = events.join(seed.select(F.col(key_seed).alias(key_event)), key_event, "left_anti") \
+        .groupBy(F.col(key_event).alias("__k")).agg(F.min("block_number").alias("__first"))
+    r = reads_rows.select(*[F.col(c).alias(f"__r_{c}") for c in seed.columns])
+    cand = first.join(r, F.col("__k") == F.col(f"__r_{key_seed}"), "inner") \
+        .where(F.col("__r_last_updated_block") <= F.col("__first"))
+    # as-of: the latest read at or before the first event's block
+    best = cand.groupBy("__k", "__first").agg(
+        F.max_by(F.struct(*[F.col(f"__r_{c}").alias(c) for c in seed.columns]),
+                 F.col("__r_last_updated_block")).alias("__b"))
+    out = []
+    for c in seed.columns:
+        if c == "last_updated_block":
+            out.append(F.col("__first").alias(c))
+        elif c == "last_updated_log_index":
+            out.append(F.lit(-1).cast("bigint").alias(c))
+        else:
+            out.append(F.col("__b").getField(c).alias(c))
+    return best.select(*out)

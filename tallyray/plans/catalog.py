@@ -708,3 +708,15 @@ def q_resume(spark, sf):
     # restart: same checkpoint, the full set; processed files are skipped
     out = stream_apply(spark, f"{root}/src/range=000[0-3]", schema, _legs_of(spark, sf), name=name)
     return present_positions(out)
+
+
+@query("fold_reserves_healed")
+def q_fold_reserves_healed(spark, sf):
+    """Reserve fold where reserves missing at their first event are loaded from
+    contract reads as of that block first (self-healing), then folded."""
+    ev = reserve_events(spark, sf)
+    seed = fx.fx_reserves(spark, sf)
+    reads, _ = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    healed = fo.heal_missing(ev.where(F.col("event") != "ReserveInitialized"), seed,
+                             reads.select(*seed.columns))
+    return present(fo.fold_reserves(ev, seed.unionByName(healed)), bigint=RESERVE_BIGINT)

@@ -909,3 +909,39 @@ SELECT r.tx_hash, r.log_index, r.event, t.family
 FROM rawtok r JOIN topic_dim t ON r.event = t.event WHERE r.l_quantity <> 49"""
 
 SQL["resume"] = SQL["fold_positions"]
+
+SQL["fold_reserves_healed"] = "WITH " + ",".join([EVX, CFG, RES_FULL, SNAP_RES]) + f""",
+firstb AS (SELECT asset, min(block_number) AS fb FROM cfg WHERE r >= 45 GROUP BY asset),
+healed AS (
+  SELECT {", ".join("n." + c if not c.startswith("last_updated") else
+                    ("f.fb AS last_updated_block" if c == "last_updated_block" else
+                     "CAST(-1 AS BIGINT) AS last_updated_log_index") for c in RESERVE_COLS)}
+  FROM snapres n JOIN firstb f ON n.asset_address = f.asset WHERE n.last_updated_block <= f.fb),
+seedall AS (SELECT * FROM resf UNION ALL SELECT * FROM healed),
+ce AS (
+  SELECT c.*, {ordk('block_number', 'log_index')} AS ok FROM cfg c JOIN seedall s ON c.asset = s.asset_address
+  WHERE event IN ('SupplyCapChanged', 'ReserveFrozen', 'ReserveUnfrozen', 'ReservePaused',
+                  'CollateralConfigurationChanged')
+    AND {ordk('block_number', 'log_index')} > {ordk('s.last_updated_block', 's.last_updated_log_index')}),
+agg AS (
+  SELECT asset,
+    arg_max(amount, ok) FILTER (WHERE event = 'SupplyCapChanged') AS supply_cap,
+    arg_max(event = 'ReserveFrozen', ok) FILTER (WHERE event IN ('ReserveFrozen', 'ReserveUnfrozen')) AS is_frozen,
+    arg_max(k % 2 = 0, ok) FILTER (WHERE event = 'ReservePaused') AS is_paused,
+    arg_max(amount, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS ltv,
+    arg_max(amount + 500, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS liquidation_threshold,
+    arg_max(k + 10000, ok) FILTER (WHERE event = 'CollateralConfigurationChanged') AS liquidation_bonus,
+    max(ok) AS last_ok
+  FROM ce GROUP BY asset)
+SELECT r.asset_address, r.symbol, r.decimals, r.reserve_id,
+  coalesce(a.liquidation_threshold, r.liquidation_threshold) AS liquidation_threshold,
+  coalesce(a.liquidation_bonus, r.liquidation_bonus) AS liquidation_bonus,
+  coalesce(a.ltv, r.ltv) AS ltv, r.is_active, coalesce(a.is_frozen, r.is_frozen) AS is_frozen,
+  coalesce(a.is_paused, r.is_paused) AS is_paused, r.is_borrowing_enabled, r.is_dropped,
+  coalesce(a.supply_cap, r.supply_cap) AS supply_cap, r.borrow_cap, r.reserve_factor,
+  r.is_collateral_enabled, r.is_stable_borrow_enabled, r.is_flash_loan_enabled, r.debt_ceiling,
+  r.liquidation_protocol_fee, r.is_siloed_borrowing, r.unbacked_mint_cap, r.atoken_address,
+  r.v_debt_token_address, r.s_debt_token_address, r.interest_rate_strategy_address,
+  coalesce({ok_block('a.last_ok')}, r.last_updated_block) AS last_updated_block,
+  coalesce({ok_log('a.last_ok')}, r.last_updated_log_index) AS last_updated_log_index
+FROM seedall r LEFT JOIN agg a ON r.asset_address = a.asset"""
