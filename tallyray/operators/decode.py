@@ -140,9 +140,13 @@ def _with_values(routed: DataFrame, names: list[str]) -> DataFrame:
     conversion once, so each output column only picks among ready values."""
     needed = _needed(names)
     locs = sorted({loc for loc, _ in needed})
-    words = routed.select("*", *[_word(loc).alias(f"__w_{loc}") for loc in locs],
-                          F.size("topics").alias("__nt"),
-                          n_data_words(F.col("data")).alias("__nw"))
+    # the data body (prefix stripped, lower case) once per row, then substrings
+    body = routed.select("*", hex_body(F.col("data")).alias("__body"))
+    word = lambda loc: (topic_word(F.col("topics"), int(loc[1:])) if loc[0] == "t"
+                        else F.substring(F.col("__body"), 64 * int(loc[1:]) + 1, 64))
+    words = body.select("*", *[word(loc).alias(f"__w_{loc}") for loc in locs],
+                        F.size("topics").alias("__nt"),
+                        F.floor(F.length("__body") / 64).cast("int").alias("__nw"))
     vals = []
     for loc, typ in needed:
         w = F.col(f"__w_{loc}")
@@ -159,7 +163,10 @@ def _with_values(routed: DataFrame, names: list[str]) -> DataFrame:
         else:
             v = string_from_words(F.col("data"), int(loc[1:]))
         vals.append(v.alias(_vcol(loc, typ)))
-    return words.select("*", *vals)
+    # The conversions are produced by a one-row generator: predicates on them
+    # (validity, consumers' filters) then read the produced columns instead of
+    # being pushed below and recomputing every conversion a second time.
+    return words.select("*", F.inline(F.array(F.struct(*vals))))
 
 
 def _decode_columns(names: list[str]) -> tuple[list[Column], Column]:

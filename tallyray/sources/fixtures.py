@@ -405,7 +405,7 @@ def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- raw encodings
 
 _STORED: dict[tuple, DataFrame] = {}
-BLOCK_BUCKET = 1000  # blocks per partition folder of the stored log tables
+BLOCK_BUCKET = 10_000  # blocks per partition folder of the stored log tables
 
 
 def block_bucket(block="block_number") -> Column:
@@ -429,9 +429,11 @@ def materialize(df: DataFrame, key: tuple | None = None, partition_by: str | Non
             return _STORED[k]
     name = (key[0] if key else "table") + "-" + uuid.uuid4().hex[:12]
     path = os.path.join(checkpoint_dir(spark), "tables", name)
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(partition_by)
+        # one file per partition folder: no small-file explosion
+        w = df.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by)
+    else:
+        w = df.write.mode("overwrite")
     w.parquet(path)
     out = spark.read.parquet(path)
     if k is not None:
