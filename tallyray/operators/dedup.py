@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 
 def first_delivery(df: DataFrame, keys: Sequence[str] = ("tx_hash", "log_index"),
                    order: Column | str | None = None) -> DataFrame:
-    """Keep one row per key: the copy that sorts first by ``order``.
-
-    Written as an aggregation (``min`` of a struct led by the order), so copies
-    of one key are combined map-side before the shuffle: a log delivered a
-    million times costs one row per map task, not a hot reduce partition.  With
-    no ``order`` the smallest full row wins, which makes the choice
-    deterministic whatever the arrival order.
+    """Keep one row per key: the copy that sorts first by ``order`` (ties and
+    a missing order fall back to the full row, so the choice never depends on
+    arrival order).
+
+    ``row_number() = 1`` over ``(keys)``: Spark plans a partial top-1 per key
+    on the map side (WindowGroupLimit) before the shuffle, so copies of one key
+    are reduced where they are read -- a log delivered a million times costs
+    one row per map task, never a hot reduce partition.
     """
+    from pyspark.sql.window import Window
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
-    lead = [] if order is None else [(F.col(order) if isinstance(order, str) else order).alias("__o")]
-    agg = df.groupBy(*keys).agg(F.min(F.struct(*lead, *[F.col(c) for c in payload])).alias("__r"))
-    return agg.select(*keys, *[F.col("__r").getField(c).alias(c) for c in payload])
+    lead = [] if order is None else [(F.col(order) if isinstance(order, str) else order).asc()]
+    tie = [F.col(c).asc() for c in payload if c != order and not _is_complex(df, c)]
+    w = Window.partitionBy(*keys).orderBy(*lead, *tie)
+    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+
+
+def _is_complex(df: DataFrame, c: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[c].dataType, (T.MapType,))
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

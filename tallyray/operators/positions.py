@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from ..functions.raymath import burn_delta, mint_delta
 from ..functions.words import D38
-from ..session import checkpoint_dir
+from ..session import reliable_checkpoint
 from .order import ord_block, ord_log, ordkey
 
 KEY = ["user_address", "asset_address"]
@@ -213,8 +213,7 @@ def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=Non
         # Both the bucket aggregate and the join back consume the windowed legs;
         # a reliable checkpoint computes them once, keeps their hash
         # partitioning on (user, asset, bucket) and survives executor loss.
-        checkpoint_dir(lr.sparkSession)
-        lr = lr.checkpoint(eager=True)
+        lr = reliable_checkpoint(lr)
     seed_bal = None
     if seed is not None:
         seed_bal = seed.select(*KEY, F.lit(True).alias("seeded"),

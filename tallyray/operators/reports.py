@@ -63,9 +63,8 @@ def global_row_number(df: DataFrame, order: Sequence[str], partitions: int | Non
     sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
         .withColumn("__pid", F.spark_partition_id()) \
         .withColumn("__mid", F.monotonically_increasing_id())
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    stable = sorted_df.checkpoint(eager=True)
+    from ..session import reliable_checkpoint
+    stable = reliable_checkpoint(sorted_df)
     counts = stable.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
                                          F.min("__mid").alias("__first"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

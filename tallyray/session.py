@@ -58,3 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def state_root(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for versioned state tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder without computing
+    ``df`` twice: Spark writes a checkpoint by re-running the plan unless the
+    data is persisted, so it is persisted for the duration of the write."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
