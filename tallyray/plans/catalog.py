@@ -557,7 +557,7 @@ def _stream_source(spark, sf, n_ranges: int = 4):
 
     from ..session import state_root
     root = state_root(spark, f"stream-{uuid.uuid4().hex[:12]}")
-    ev = fx.fx_token_events(spark, sf)
+    ev = fx.materialize(fx.fx_token_events(spark, sf), ("token_events", sf))
     top = ev.select(F.max("block_number")).first()[0] or 0
     width = top // n_ranges + 1
     for i in range(n_ranges):
