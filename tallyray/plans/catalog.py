@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.raymath import burn_delta, mint_delta, ray_div
 from ..operators import positions as pos
 from ..sources import fixtures as fx
-from . import pipeline as pl
+from . import stages as pl
 from .outputs import present, present_positions
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,4 +1,4 @@
-"""Reusable pipeline stages over the fixture tables (scan -> dedup -> route ->
+"""Reusable stages over the fixture tables (scan -> dedup -> route ->
 resolve -> legs).  Every stage is lazy; Catalyst sees one plan per query."""
 
 from __future__ import annotations
