@@ -162,11 +162,16 @@ def _with_values(routed: DataFrame, names: list[str]) -> DataFrame:
             v = F.when(word_to_long(w) < 256, word_to_long(w).cast("int"))
         else:
             v = string_from_words(F.col("data"), int(loc[1:]))
-        vals.append(v.alias(_vcol(loc, typ)))
-    # The conversions are produced by a one-row generator: predicates on them
-    # (validity, consumers' filters) then read the produced columns instead of
+        vals.append(v.alias("__c" + _vcol(loc, typ)[3:]))
+    # The conversions are computed in a projection (code generation splits it
+    # into methods) and then passed through a one-row generator: predicates on
+    # them (validity, consumers' filters) read the generated columns instead of
     # being pushed below and recomputing every conversion a second time.
-    return words.select("*", F.inline(F.array(F.struct(*vals))))
+    conv = words.select("*", *vals)
+    names_c = ["__c" + _vcol(loc, typ)[3:] for loc, typ in needed]
+    gen = F.inline(F.array(F.struct(*[F.col(c).alias(_vcol(loc, typ))
+                                      for c, (loc, typ) in zip(names_c, needed)])))
+    return conv.select(*[c for c in conv.columns if c not in names_c], gen)
 
 
 def _decode_columns(names: list[str]) -> tuple[list[Column], Column]:
@@ -175,12 +180,17 @@ def _decode_columns(names: list[str]) -> tuple[list[Column], Column]:
     ev = F.col("event")
     cols = []
     for out, typ in OUT_COLUMNS.items():
-        expr = None
+        # events grouped by where this field lives: usually one source for all
+        by_source: dict[tuple[str, str], list[str]] = {}
         for name in names:
             for fname, loc, ftyp in SPECS[name]:
                 if fname == out:
-                    v = F.col(_vcol(loc, ftyp)).cast(typ)
-                    expr = F.when(ev == name, v) if expr is None else expr.when(ev == name, v)
+                    by_source.setdefault((loc, ftyp), []).append(name)
+        expr = None
+        for (loc, ftyp), evs in by_source.items():
+            v = F.col(_vcol(loc, ftyp)).cast(typ)
+            cond = ev.isin(*evs)
+            expr = F.when(cond, v) if expr is None else expr.when(cond, v)
         if expr is not None:
             cols.append(expr.alias(out))
     # validity through literal lookups keyed by event name: the predicate grows
