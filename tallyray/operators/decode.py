@@ -217,8 +217,16 @@ def decode_logs(logs: DataFrame, events: list[str], keep: tuple[str, ...] = ())
     routed = route_events(logs).where(F.col("event").isin(*events))
     prepared = _with_values(routed, events)
     cols, ok = _decode_columns(events)
-    base = ["address", "block_number", "log_index", "tx_hash", "event"]
-    return prepared.where(ok).select(*base, *cols, *keep)
+    # position fields: required for token / collateral / user-eMode logs; a
+    # reserve log defaults a missing block or log index to 0; a missing tx
+    # hash is never accepted
+    ev = F.col("event")
+    strict = ev.isin(*TOKEN_FAMILY, *USER_EMODE_FAMILY)
+    has_pos = F.col("tx_hash").isNotNull() & (
+        ~strict | (F.col("block_number").isNotNull() & F.col("log_index").isNotNull()))
+    base = ["address", F.coalesce("block_number", F.lit(0).cast("bigint")).alias("block_number"),
+            F.coalesce("log_index", F.lit(0).cast("bigint")).alias("log_index"), "tx_hash", "event"]
+    return prepared.where(ok & has_pos).select(*base, *cols, *keep)
 
 
 TOKEN_FAMILY = ["Mint", "Burn", "BalanceTransfer",
@@ -237,8 +245,8 @@ def decode_rejects(logs: DataFrame) -> DataFrame:
     prepared = _with_values(lg, names)
     _, ok = _decode_columns(names)
     position_needed = F.col("event").isin(*TOKEN_FAMILY, *USER_EMODE_FAMILY)
-    missing_pos = position_needed & (F.col("block_number").isNull() | F.col("log_index").isNull()
-                                     | F.col("tx_hash").isNull())
+    missing_pos = F.col("tx_hash").isNull() | (position_needed & (
+        F.col("block_number").isNull() | F.col("log_index").isNull()))
     wide = F.lit(False)
     for i in range(5):
         w = data_word(F.col("data"), i)

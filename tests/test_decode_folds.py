@@ -111,3 +111,19 @@ def test_merge_overwrite_keeps_existing_ordkey(spark):
                                 "last_updated_block long, last_updated_log_index long")
     out = {r.asset_address: r for r in merge_overwrite(old, new).collect()}
     assert out["a"].v == 2 and out["a"].last_updated_block == 10 and out["b"].last_updated_block == 50
+
+
+def test_token_logs_without_position_are_rejected(spark):
+    mint = "0x458f5fa412d0f69b08dd84872b0215675cc67bc1d5b6fd93300a1c3878b86196"
+    word = lambda n: f"{n:064x}"
+    data = "0x" + word(5) + word(1) + word(10 ** 27)
+    topics = [mint, "0x" + word(1), "0x" + word(2)]
+    rows = [("0x" + "1" * 40, topics, data, None, 1, "0xa"),
+            ("0x" + "1" * 40, topics, data, 5, None, "0xa"),
+            ("0x" + "1" * 40, topics, data, 5, 2, None),
+            ("0x" + "1" * 40, topics, data, 5, 3, "0xa")]
+    df = spark.createDataFrame(rows, "address string, topics array<string>, data string, "
+                               "block_number long, log_index long, tx_hash string")
+    got = [r.reason for r in decode_rejects(df).collect()]
+    assert got == ["missing_position"] * 3
+    assert [r.log_index for r in decode_logs(df, TOKEN_FAMILY).collect()] == [3]
