@@ -720,3 +720,49 @@ def q_fold_reserves_healed(spark, sf):
     healed = fo.heal_missing(ev.where(F.col("event") != "ReserveInitialized"), seed,
                              reads.select(*seed.columns))
     return present(fo.fold_reserves(ev, seed.unionByName(healed)), bigint=RESERVE_BIGINT)
+
+
+@query("word_to_address")
+def q_word_to_address(spark, sf):
+    from ..functions.words import topic_word, word_to_address
+    raw = fx.fx_raw_logs(spark, sf).where(F.size("topics") == 3)
+    return raw.select("tx_hash", "log_index",
+                      word_to_address(topic_word(F.col("topics"), 1)).alias("address1"),
+                      word_to_address(topic_word(F.col("topics"), 2)).alias("address2"))
+
+
+@query("word_to_long")
+def q_word_to_long(spark, sf):
+    from ..functions.words import word_to_long
+    raw = dec.route_events(fx.fx_raw_reserve_logs(spark, sf)) \
+        .where(F.col("event") == "CollateralConfigurationChanged")
+    return raw.select("tx_hash", "log_index", *[word_to_long(data_word("data", i)).alias(f"w{i}")
+                                                for i in range(3)])
+
+
+@query("created_at")
+def q_created_at(spark, sf):
+    return folded_positions(spark, sf).select("user_address", "asset_address", "created_at_block")
+
+
+@query("parse_decimal")
+def q_parse_decimal(spark, sf):
+    rows = sn.snapshot_rows(fx.fx_snapshot_pages(spark, sf))
+    return present(rows.select("id", "scaled_atoken_balance", "scaled_variable_debt", "atoken_last_index"),
+                   bigint=("scaled_atoken_balance", "scaled_variable_debt"), text=("atoken_last_index",))
+
+
+@query("write_state")
+def q_write_state(spark, sf):
+    """Fold positions and reserves and commit both as one state version (data
+    folders first, one pointer last), then read the committed positions."""
+    import uuid
+
+    from ..session import state_root
+    from ..streaming.apply import VersionedState
+    pos_df = folded_positions(spark, sf)
+    res_df = fo.fold_reserves(reserve_events(spark, sf), fx.fx_reserves(spark, sf))
+    st = VersionedState(spark, state_root(spark, f"state-{uuid.uuid4().hex[:12]}"),
+                        {"positions": pos_df.schema, "reserves": res_df.schema})
+    st.commit({"positions": pos_df, "reserves": res_df}, 0)
+    return present_positions(st.read("positions"))

@@ -945,3 +945,21 @@ SELECT r.asset_address, r.symbol, r.decimals, r.reserve_id,
   coalesce({ok_block('a.last_ok')}, r.last_updated_block) AS last_updated_block,
   coalesce({ok_log('a.last_ok')}, r.last_updated_log_index) AS last_updated_log_index
 FROM seedall r LEFT JOIN agg a ON r.asset_address = a.asset"""
+
+SQL["word_to_address"] = "WITH " + TOKEN_EVENTS.replace("WHERE rn = 1", "WHERE rn >= 1") + """
+SELECT tx_hash, log_index, u AS address1, CASE WHEN kind = 'AF' THEN peer ELSE u END AS address2
+FROM tev WHERE kind <> 'AO'
+UNION ALL
+SELECT tx_hash, log_index, '0x' || lpad(lower(hex(r)), 40, '0'), u FROM tev WHERE kind = 'AO'"""
+
+SQL["word_to_long"] = "WITH " + ",".join([EVX, CFG]) + """
+SELECT tx_hash, log_index, amount AS w0, amount + 500 AS w1, k + 10000 AS w2
+FROM cfg WHERE event = 'CollateralConfigurationChanged'"""
+
+SQL["created_at"] = FOLD_SQL + "\nSELECT user_address, asset_address, created_at_block FROM fold"
+
+SQL["parse_decimal"] = "WITH " + PAGES + """
+SELECT user_address || asset_address AS id, CAST(supply AS BIGINT) AS scaled_atoken_balance,
+  CAST(debt AS BIGINT) AS scaled_variable_debt, idx AS atoken_last_index FROM pg"""
+
+SQL["write_state"] = SQL["fold_positions"]

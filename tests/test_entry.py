@@ -14,6 +14,7 @@ def test_every_query_has_an_oracle_or_is_streaming_only(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) <= {"checksum_address"}
+    assert len(q) >= 70
 
 
 def test_queries_run_on_small_tables(spark):
