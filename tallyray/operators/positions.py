@@ -145,14 +145,26 @@ def _stale_pred(stale_before) -> Column:
     return (F.col("block_number") < sb) | ((F.col("block_number") == sb) & (F.col("log_index") <= sl))
 
 
-def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int) -> DataFrame:
+def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int,
+                       seed: DataFrame | None = None) -> DataFrame:
     zero = F.lit(0).cast(D38)
-    l0 = legs.select(
+    base = legs.select(
         *KEY, "block_number", "log_index", "leg", "d_supply", "d_debt", "s_index", "d_index",
         "is_up", "clear", "toggle", "is_self",
         ordkey("block_number", "log_index", "leg").alias("ok"),
-        F.floor(F.col("block_number") / bucket_blocks).cast("bigint").alias("bkt"),
-        _stale_pred(stale_before).alias("pre"))
+        F.floor(F.col("block_number") / bucket_blocks).cast("bigint").alias("bkt"))
+    if stale_before == "row":
+        # each seed row's own (block, log) is its cut-off: join it onto the
+        # legs, then spread by (user, asset, bucket) so a hot pair is not kept
+        # in one partition by the join's (user, asset) partitioning
+        pairs = base.select(*KEY).distinct()
+        cut = seed.join(pairs, KEY, "left_semi").select(
+            *KEY, ordkey("last_updated_block", "last_updated_log_index").alias("__cut"))
+        l0 = base.join(cut, KEY, "left").repartition(*KEY, "bkt")
+        l0 = l0.withColumn("pre", F.coalesce(
+            ordkey("block_number", "log_index") <= F.col("__cut"), F.lit(False))).drop("__cut")
+    else:
+        l0 = base.withColumn("pre", _stale_pred(stale_before))
     ds0 = F.when(F.col("is_self"), zero).otherwise(F.col("d_supply"))
     dd0 = F.col("d_debt")
     l1 = l0.withColumn("ds0", ds0).withColumn("dd0", dd0)
@@ -160,7 +172,7 @@ def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int) -> Dat
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = l1.select("*", F.sum("ds0").over(w).alias("ra_s"), F.sum("dd0").over(w).alias("ra_d"))
     if stale_before is None:
-        # no snapshot cut-off: the post-snapshot sums equal the plain ones
+        # no cut-off: the post-snapshot sums equal the plain ones
         return out.withColumn("rp_s", F.col("ra_s")).withColumn("rp_d", F.col("ra_d"))
     post = lambda c: F.when(F.col("pre"), zero).otherwise(F.col(c))
     return out.select("*", F.sum(post("ds0")).over(w).alias("rp_s"),
@@ -208,7 +220,7 @@ def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=Non
     """Every leg with its fate (kept / stale), running balances after it, and
     the flag events it produces.  This is the ``running_balance`` history."""
     zero = F.lit(0).cast(D38)
-    lr = _legs_with_running(legs, stale_before, bucket_blocks)
+    lr = _legs_with_running(legs, stale_before, bucket_blocks, seed)
     if materialize:
         # Both the bucket aggregate and the join back consume the windowed legs;
         # a reliable checkpoint computes them once, keeps their hash
@@ -265,7 +277,10 @@ def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=
 
     ``stale_before=(block, log)`` is the ordkey of the seed snapshot: legs at
     or before it are stale for seeded pairs (only their unguarded clear step
-    acts, on the seed balances).  Without it every leg is newer than the seed.
+    acts, on the seed balances).  ``stale_before="row"`` takes each seed row's
+    own ``last_updated`` as its cut-off (exact for seeds from earlier folds, at
+    the price of joining the seed's ordkeys onto the legs).  Without it every
+    leg is newer than the seed.
     """
     zero = F.lit(0).cast(D38)
     fx = leg_effects(legs, seed, stale_before, bucket_blocks, materialize)

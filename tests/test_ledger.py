@@ -138,3 +138,16 @@ def test_burn_all_supply_keeps_debt_active(spark):
                  "is_up": False, "clear": "D"})
     st = as_model(fold_positions(legs_df(spark, legs)))[(u, a)]
     assert st["active"] is False and st["coll"] is False
+
+
+@pytest.mark.parametrize("seed", [21, 22, 23])
+def test_seeded_fold_with_per_row_cutoffs(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    legs = random_legs(seed)
+    rows = random_seed_rows(seed, 0)
+    for r in rows.values():  # every seed row has its own last update
+        r["lb"], r["ll"] = rnd.randint(0, 59), rnd.randint(-1, 5)
+    got = as_model(fold_positions(legs_df(spark, legs), seed=seed_df(spark, rows),
+                                  stale_before="row", bucket_blocks=7))
+    assert got == model_fold(legs, rows)
