@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.topics import EVENTS, FAMILY, TOPIC
-from ..functions.words import (D38, data_word, hex_body, n_data_words, string_from_words,
+from ..functions.words import (D38, data_word, hex_body, string_from_words,
                                topic_word, word_fits_fast, word_to_address, word_to_bool,
                                word_to_long, word_to_uint)
 
@@ -87,14 +87,8 @@ def _lit_map(d: dict[str, str]) -> Column:
     return F.create_map(*args)
 
 
-def _word(loc: str) -> Column:
-    if loc[0] == "t":
-        return topic_word(F.col("topics"), int(loc[1:]))
-    return data_word(F.col("data"), int(loc[1:]))
-
-
-def _value(loc: str, typ: str) -> Column:
-    w = _word(loc)
+def _convert(w: Column, loc: str, typ: str) -> Column:
+    """One ABI argument from its 32-byte word (hex text)."""
     if typ == "address":
         return word_to_address(w)
     if typ == "uint":
@@ -147,22 +141,8 @@ def _with_values(routed: DataFrame, names: list[str]) -> DataFrame:
     words = body.select("*", *[word(loc).alias(f"__w_{loc}") for loc in locs],
                         F.size("topics").alias("__nt"),
                         F.floor(F.length("__body") / 64).cast("int").alias("__nw"))
-    vals = []
-    for loc, typ in needed:
-        w = F.col(f"__w_{loc}")
-        if typ == "address":
-            v = word_to_address(w)
-        elif typ == "uint":
-            v = word_to_uint(w)
-        elif typ == "long":
-            v = word_to_long(w)
-        elif typ == "bool":
-            v = word_to_bool(w)
-        elif typ == "uint8":
-            v = F.when(word_to_long(w) < 256, word_to_long(w).cast("int"))
-        else:
-            v = string_from_words(F.col("data"), int(loc[1:]))
-        vals.append(v.alias("__c" + _vcol(loc, typ)[3:]))
+    vals = [_convert(F.col(f"__w_{loc}"), loc, typ).alias("__c" + _vcol(loc, typ)[3:])
+            for loc, typ in needed]
     # The conversions are computed in a projection (code generation splits it
     # into methods) and then passed through a one-row generator: predicates on
     # them (validity, consumers' filters) read the generated columns instead of
@@ -266,6 +246,3 @@ def entity_key(decoded: DataFrame) -> Column:
     parts = [F.col(c) for c in ("asset", "reserve") if c in cols]
     return F.coalesce(*parts) if parts else F.lit(None).cast("string")
 
-
-def body_words(data) -> Column:
-    return F.floor(F.length(hex_body(data)) / 64)

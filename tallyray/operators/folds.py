@@ -12,9 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.words import D38
 from .joins import dim_join
 from .order import ord_block, ord_log, ordkey
 

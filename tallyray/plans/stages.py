@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import first_delivery
 from ..operators.joins import resolve_token, token_map
-from ..operators.positions import legs_from_events, position_legs  # noqa: F401
+from ..operators.positions import legs_from_events
 from ..sources import fixtures as fx
 
 TOKEN_EVENTS = ("Mint", "Burn", "BalanceTransfer")
