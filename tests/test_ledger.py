@@ -151,3 +151,22 @@ def test_seeded_fold_with_per_row_cutoffs(spark, seed):
     got = as_model(fold_positions(legs_df(spark, legs), seed=seed_df(spark, rows),
                                   stale_before="row", bucket_blocks=7))
     assert got == model_fold(legs, rows)
+
+
+def test_hot_pair_is_spread_over_buckets(spark):
+    """One (user, asset) owning almost all legs is split by block bucket before
+    the ledger window, so it does not land in a single task."""
+    from tallyray.operators.positions import _legs_with_running
+    hot = [dict(user_address="0x" + "a" * 40, asset_address="0x" + "b" * 40, block_number=b,
+                log_index=0, tx_hash="0x1", leg=0, d_supply=1, d_debt=0, s_index=1, d_index=None,
+                is_up=True, clear=None, toggle=None, is_self=False) for b in range(2000)]
+    cold = random_legs(31, n_events=50)
+    lr = _legs_with_running(legs_df(spark, hot + cold), None, bucket_blocks=50)
+    per_part = lr.where(F.col("user_address") == "0x" + "a" * 40) \
+        .groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_part) > 1
+    plan = lr._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_address" in plan and "bkt" in plan
+    # and the fold over the hot pair is still exact
+    got = as_model(fold_positions(legs_df(spark, hot + cold), bucket_blocks=50))
+    assert got == model_fold(hot + cold)
