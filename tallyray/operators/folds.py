@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import dim_join
 from .order import ord_block, ord_log, ordkey
@@ -89,9 +90,19 @@ def latest_wins(events: DataFrame, seed: DataFrame, updates: dict[str, dict[str,
     newer = dim_join(piv, seed_ok, F.col(key_seed) == F.col("__k"), "inner") \
         .where(F.col("__ok") > F.col("__sok")).drop("__k", "__sok")
     nn = lambda c: F.when(F.col(c).isNotNull(), F.col("__ok"))
+    # string values are not mutable aggregation-buffer types: for them the
+    # hash aggregate keeps only the winning ordkey, and the value is fetched
+    # by a join on (key, ordkey); every other column uses max_by directly
+    strings = [c for c in targets if isinstance(seed.schema[c].dataType, T.StringType)]
     agg = newer.groupBy(key_seed).agg(
-        *[F.max_by(c, nn(c)).alias(f"__new_{c}") for c in targets],
+        *[F.max_by(c, nn(c)).alias(f"__new_{c}") for c in targets if c not in strings],
+        *[F.max(nn(c)).alias(f"__ok_{c}") for c in strings],
         F.max("__ok").alias("__last"))
+    for c in strings:
+        vals = newer.where(F.col(c).isNotNull()).select(
+            F.col(key_seed).alias("__k"), F.col("__ok").alias(f"__ok_{c}"), F.col(c).alias(f"__new_{c}"))
+        agg = agg.join(vals, (agg[key_seed] == vals["__k"]) & (agg[f"__ok_{c}"] == vals[f"__ok_{c}"]),
+                       "left").drop("__k", f"__ok_{c}")
     j = seed.join(agg, key_seed, "left")
     out = []
     for c in seed.columns:
