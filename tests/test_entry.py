@@ -41,3 +41,10 @@ def test_redelivering_every_log_changes_nothing(spark):
         .drop("arrival")
     again = fold_positions(stages.ledger_legs(spark, SF_SMALL, twice))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_checksum_address_query_matches_helper(spark):
+    from tallyray.functions.keccak import checksum
+    rows = entry.queries()["checksum_address"](spark, SF_SMALL).collect()
+    assert rows and all(r.user_checksum == checksum(r.user_address) for r in rows)
+    assert all(r.user_checksum.lower() == r.user_address for r in rows)
