@@ -12,15 +12,19 @@
    ``t = floor(ln w / r + b)``; two texts draw the same with the probability of
    their weighted Jaccard similarity.  Three samples make a band, ten bands a
    signature: a pair of similarity 0.8 shares a band with probability 0.999.
-3. *Candidates*: equal texts (equal sequences of words) are one node.  Within
-   each bucket of a band, nodes are paired with the bucket's leader, the node
-   whose bands are shared most; buckets whose nodes are not one class after
-   that get their finer buckets (two, then three bands in a row) paired with
-   leaders of their own, and then further leaders, round after round, until a
-   round finds no new link.  No bucket is ever listed pair by pair or gathered
-   in one task: leaders come from aggregation, pairs from joins.
-4. *Verification*: pairs of a weighted Jaccard similarity of at least 0.8 are
-   links; classes are the connected components.
+3. *Candidates*: equal texts (equal sequences of words) are one node.  The
+   buckets of the bands are dealt into blocks of at most about ``BLOCK`` nodes:
+   a larger bucket is cut by its next band, and what is larger still by a hash
+   of the node that differs from band to band, so that groups of any size are
+   spread over tasks and held together by ten different cuts.  Inside a block
+   each node is compared with all others by the samples they share, and its
+   best partners of another class become candidates if they share at least
+   ``AGREE`` of 30 (a pair of similarity 0.8 does with probability 0.997).
+   Nobody's pairs are listed in full: candidates grow with the nodes.
+4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
+   are links; classes are the connected components.  Then nodes look for
+   partners outside their class again, four times as many as before, until a
+   round has no candidates left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -45,9 +49,12 @@ from .common import stored, whole_text
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
+BLOCK = 256
+AGREE = 18
+PARTNERS = 4
 BIN_BITS = 18
 SLICE = 1 << 12
-IDF_SHARE = 0.25
+IDF_SHARE = 0.15
 TABLE_BITS = 16
 PIECE = 1 << 20
 
@@ -80,8 +87,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least n."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 14)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size, b % (1 << 64))]).astype(_U))
-                      for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size + 1, _U(base), _U)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps))
     return _powers[0], _powers[1]
 
 
@@ -144,9 +154,9 @@ def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     total = np.zeros(1 << BIN_BITS, np.int64)
     for batch in batches:
-        for t in batch.column(0):
-            names, _ = shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")))
-            total += np.bincount(_bins(names), minlength=1 << BIN_BITS)
+        for k in range(0, batch.num_rows, 256):
+            found = [shingles(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")))[0] for t in batch.column(0)[k: k + 256]]
+            total += np.bincount(_bins(np.concatenate(found)), minlength=1 << BIN_BITS)
     part = TaskContext.get().partitionId()
     cuts = [total[i: i + SLICE].astype("<i8").tobytes() for i in range(0, len(total), SLICE)]
     yield pa.RecordBatch.from_arrays([pa.array([part] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()),
@@ -190,8 +200,8 @@ def _draws() -> tuple[np.ndarray, ...]:
             rng.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=_U) | _U(1))
 
 
-def signature(names: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The keys of the bands of a weighted set (int64); names ascending."""
+def signature(names: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The keys of the bands of a weighted set (int64), and 16 bits of each sample; names ascending."""
     r, inv, beta, lnc, odd = _draws()
     lnw = np.log(weight).astype(np.float32)
     best = np.full(len(odd), np.inf, np.float32)
@@ -211,7 +221,7 @@ def signature(names: np.ndarray, weight: np.ndarray) -> np.ndarray:
     keys = np.arange(1, BANDS + 1).astype(_U)
     for k in range(ROWS):
         keys = mixed(keys * _U(0x9FB21C651E98DF25) + sample.reshape(BANDS, ROWS)[:, k])
-    return keys.view(np.int64)
+    return keys.view(np.int64), (sample >> _U(48)).astype("<u2").tobytes()
 
 
 def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,33 +238,91 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, x1, x2 (the text's name), bands (null without words); ``idf`` is a broadcast."""
+    """doc_id, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x1, x2, bands = [], [], []
+            x1, x2, bands, samples = [], [], [], []
             for t in batch.column(1):
                 words = word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 names, counts = shingles(words)
                 for out, v in zip((x1, x2), text_names(words)):
                     out.append(v)
-                bands.append(signature(names, counts * idf.value[_bins(names)]) if len(names) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()),
-                                              pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "x1", "x2", "bands"])
+                for out, v in zip((bands, samples), signature(names, counts * idf.value[_bins(names)]) if len(names) else (None, None)):
+                    out.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(samples, pa.binary())], ["doc_id", "x1", "x2", "bands", "samples"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .mapInArrow(sign, "doc_id long, x1 long, x2 long, bands array<long>")
+        .mapInArrow(sign, "doc_id long, x1 long, x2 long, bands array<long>, samples binary")
 
 
 # -- candidates, links, classes ----------------------------------------------
 
-def buckets(nodes: DataFrame, depth: int) -> DataFrame:
-    """(key, id, n) for ``depth`` bands in a row; n: the nodes of the bucket, two or more."""
-    band = lambda i, k: F.element_at("bands", F.pmod(i + k, F.lit(BANDS)) + 1)
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(key, block, id): the nodes of each bucket of two or more, dealt into bounded blocks."""
+    band = lambda i: F.element_at("bands", F.pmod(i, F.lit(BANDS)) + 1)
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                       lambda i: F.xxhash64(i, *[band(i, F.lit(k)) for k in range(depth)]))
-    rows = nodes.select("id", F.explode(keys).alias("key"))
-    return rows.join(stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key")
+                       lambda i: F.struct(F.xxhash64(i, band(i)).alias("key"), F.xxhash64(i, band(i + 1)).alias("next")))
+    rows = nodes.select("id", F.inline(keys))
+    cut = stored(rows.groupBy("key", "next").agg(F.count("*").alias("n")))
+    whole = stored(cut.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > 1))
+    small = rows.join(whole.where(F.col("all") <= BLOCK).select("key"), "key").select("key", F.lit(0).cast("long").alias("block"), "id")
+    large = (rows.join(stored(cut.join(whole.where(F.col("all") > BLOCK).select("key"), "key").where("n > 1")), ["key", "next"])
+             .select("key", F.xxhash64("next", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") * 2 / BLOCK)))).alias("block"), "id"))
+    return small.union(large)
+
+
+def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, most: int) -> tuple[list, list]:
+    """Pairs of ids: within each run of equal keys, every node and its best partners of other groups."""
+    a, b = [], []
+    edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+    for start, end in zip(edges, edges[1:]):
+        for lo in range(start, end, 2 * BLOCK):
+            hi = min(end, lo + 2 * BLOCK)
+            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                continue
+            own = samples[lo:hi]
+            shared = np.zeros((hi - lo, hi - lo), np.int16)
+            for k in range(own.shape[1]):
+                shared += own[:, k, None] == own[None, :, k]
+            shared[group[lo:hi, None] == group[None, lo:hi]] = 0
+            order = np.argsort(-shared, 1, kind="stable")[:, :most]
+            x, y = np.nonzero(np.take_along_axis(shared, order, 1) >= AGREE)
+            one, two = ids[lo:hi][x], ids[lo:hi][order[x, y]]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
+    return a, b
+
+
+def candidates(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b) from rows (key, block, id, class, samples): the best partners outside their class."""
+    columns = ["key", "block", "id", "class", "samples"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # the run that may go on in the next batch
+        for batch in _with_end(batches):
+            rest = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            if rest is None or not rest.num_rows:
+                continue
+            key = np.column_stack([rest[c].to_numpy() for c in ("key", "block")])
+            cut = rest.num_rows if batch is None else int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key != key[-1]).any() else 0
+            left = rest.slice(cut)
+            if cut:
+                samples = np.stack([np.frombuffer(v.as_py(), "<u2") for v in rest["samples"].slice(0, cut)])
+                a, b = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples, most)
+                if a:
+                    pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
+            .mapInArrow(search, "a long, b long").distinct())
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def linked(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -303,52 +371,37 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """(id, class) of the nodes (id, bands) that share a bucket with another."""
-    coarse = buckets(nodes, 1)
-    members = stored(coarse.join(coarse.groupBy("id").agg(F.sum("n").alias("weight")), "id").select("key", "id", "weight"))
-    weights = stored(members.select("id", "weight").distinct())
-    label = stored(weights.select("id", F.col("id").alias("class")))
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), whole_text(F.col("text")).alias("text"))
-                   .join(weights.select("id"), "id"))
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))  # repeated rows
-    led, tested, turn = None, None, 0
+    """(id, class) of the nodes (id, bands, samples) that share a bucket with another."""
+    members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
+    label, tested, most = None, None, PARTNERS
     while True:
-        rows = members
-        if turn in (1, 2):
-            fine = nodes.join(weights, "id")
-            rows = buckets(fine, turn + 1).join(weights, "id").select("key", "id", "weight")
-        rows = rows.join(label, "id")
-        may_lead = F.lit(True)
-        if turn > 2:
-            rows = rows.join(led.withColumn("was", F.lit(1)), ["key", "id"], "left")
-            may_lead = F.col("was").isNull()
-        rows = stored(rows)
-        lead = stored(rows.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"),
-                                              F.max(F.when(may_lead, F.struct("weight", "id", "class"))).alias("lead"))
-                      .where("c0 <> c1 and lead is not null").select("key", "lead.id", "lead.class"))
-        pairs = (rows.alias("r").join(lead.alias("l"), F.col("r.key") == F.col("l.key")).where("r.class <> l.class")
-                 .select(F.least("r.id", "l.id").alias("a"), F.greatest("r.id", "l.id").alias("b")).distinct())
+        pairs = candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        links = None if pairs.isEmpty() else linked(pairs, texts, idf)
-        found = links is not None and not links.isEmpty()
-        if found:
-            label = merged(label, links)
-        if not found and (turn > 2 or lead.isEmpty()):
+        if label is None:
+            # Only nodes with a candidate can be on a link, now or later.
+            ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+            label = ids.select("id", F.col("id").alias("class"))
+            members = stored(members.join(ids, "id"))
+            texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), whole_text(F.col("text")).alias("text"))
+                           .join(ids, "id").groupBy("id").agg(F.min("text").alias("text")))  # one of repeated rows
+        if pairs.isEmpty():
+            return label
+        links = linked(pairs, texts, idf)
+        if links.isEmpty():
             return label
-        if turn not in (1, 2):
-            led = lead.select("key", "id") if led is None else led.union(lead.select("key", "id"))
+        label = merged(label, links)
         tested = pairs if tested is None else tested.union(pairs)
-        turn += 1
+        most *= 4
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every row of ``docs``."""
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
     rows = stored(signed(docs, idf))
-    equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    label = node_classes(equal.where("id is not null and bands is not null").select("id", "bands"), docs, idf)
+    equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
+    label = node_classes(equal.where("id is not null and bands is not null").select("id", "bands", "samples"), docs, idf)
     named = stored(equal.select("x1", "x2", "id").join(label, "id", "left")
                    .select("x1", "x2", F.coalesce("class", "id").alias("class_id")))
     return rows.select("doc_id", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "class_id")
