@@ -23,8 +23,8 @@
    Nobody's pairs are listed in full: candidates grow with the nodes.
 4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
    are links; classes are the connected components.  Then nodes look for
-   partners outside their class again, four times as many as before, until a
-   round has no candidates left or finds no link.
+   partners outside their class again, four times as many as before (those of
+   the largest class of a block are only sought), until a round has no candidates left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -51,7 +51,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BLOCK = 256
 AGREE = 18
-PARTNERS = 4
+PARTNERS = 2
 BIN_BITS = 18
 SLICE = 1 << 12
 IDF_SHARE = 0.15
@@ -289,7 +289,12 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
                 shared += own[:, k, None] == own[None, :, k]
             shared[group[lo:hi, None] == group[None, lo:hi]] = 0
             order = np.argsort(-shared, 1, kind="stable")[:, :most]
-            x, y = np.nonzero(np.take_along_axis(shared, order, 1) >= AGREE)
+            near = np.take_along_axis(shared, order, 1) >= AGREE
+            # The largest class of the block is sought by the others and need not seek them.
+            _, at, counts = np.unique(group[lo:hi], return_inverse=True, return_counts=True)
+            if counts.max() > 1:
+                near[at == counts.argmax()] = False
+            x, y = np.nonzero(near)
             one, two = ids[lo:hi][x], ids[lo:hi][order[x, y]]
             a.append(np.minimum(one, two))
             b.append(np.maximum(one, two))
