@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, whole_text
@@ -274,9 +274,9 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return small.union(large)
 
 
-def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, most: int) -> tuple[list, list]:
-    """Pairs of ids: within each run of equal keys, every node and its best partners of other groups."""
-    a, b = [], []
+def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, most: int) -> list[np.ndarray]:
+    """Within each run of equal keys, every node, its best partners of other groups, and the samples they share."""
+    found = []
     edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
     for start, end in zip(edges, edges[1:]):
         for lo in range(start, end, 2 * BLOCK):
@@ -295,14 +295,13 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
             if counts.max() > 1:
                 near[at == counts.argmax()] = False
             x, y = np.nonzero(near)
-            one, two = ids[lo:hi][x], ids[lo:hi][order[x, y]]
-            a.append(np.minimum(one, two))
-            b.append(np.maximum(one, two))
-    return a, b
+            found.append(np.column_stack([ids[lo:hi][x], ids[lo:hi][order[x, y]], shared[x, order[x, y]]]))
+    return found
 
 
-def candidates(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b) from rows (key, block, id, class, samples): the best partners outside their class."""
+def candidates(rows: DataFrame, most: int, tested: DataFrame | None) -> DataFrame:
+    """(a, b) from rows (key, block, id, class, samples): of every node the best partners outside its class,
+    ``most`` over all its blocks, that were not tested before."""
     columns = ["key", "block", "id", "class", "samples"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +315,17 @@ def candidates(rows: DataFrame, most: int) -> DataFrame:
             left = rest.slice(cut)
             if cut:
                 samples = np.stack([np.frombuffer(v.as_py(), "<u2") for v in rest["samples"].slice(0, cut)])
-                a, b = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples, most)
-                if a:
-                    pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                found = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples, most)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in np.concatenate(found).T], ["id", "other", "shared"])
 
-    return (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
-            .mapInArrow(search, "a long, b long").distinct())
+    found = (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
+             .mapInArrow(search, "id long, other long, shared long").distinct()
+             .select("*", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+    if tested is not None:
+        found = found.join(tested, ["a", "b"], "left_anti")
+    best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
+    return found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= most).select("a", "b").distinct()
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -380,10 +383,7 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
     members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
     label, tested, most = None, None, PARTNERS
     while True:
-        pairs = candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        pairs = stored(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most, tested))
         if label is None:
             # Only nodes with a candidate can be on a link, now or later.
             ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
