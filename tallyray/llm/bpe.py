@@ -37,7 +37,7 @@ NO_RANK = 1 << 60
 # Words longer than this are merged with a heap: the scan takes time in the
 # square of the length.
 SCAN_LIMIT = 96
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 # A tokenizer file beyond this size is refused rather than broadcast.
 MAX_SPEC_BYTES = 64 << 20
 
@@ -179,12 +179,19 @@ def compiled(spec: str) -> ByteBpe:
     return ByteBpe(spec)
 
 
-def _id_lists(rows: list[array]) -> pa.Array:
-    ends = [0]
-    for r in rows:
-        ends.append(ends[-1] + len(r))
-    flat = pa.py_buffer(b"".join(r.tobytes() for r in rows))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, flat]))
+class IdLists:
+    """Lists of ids, gathered in one buffer and handed over without a copy."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends = array("i"), [0]
+
+    def add(self, ids: array) -> None:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def arrow(self) -> pa.Array:
+        values = pa.Array.from_buffers(pa.int32(), len(self.flat), [None, pa.py_buffer(self.flat)])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), values)
 
 
 def _texts(texts: pa.Array) -> Iterator[str]:
@@ -198,7 +205,10 @@ def encode(spark: SparkSession, text: Column | str, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def bpe_encode(texts: pa.Array) -> pa.Array:
         model = compiled(spec.value)
-        return _id_lists([model.encode(t) for t in _texts(texts)])
+        lists = IdLists()
+        for t in _texts(texts):
+            lists.add(model.encode(t))
+        return lists.arrow()
 
     return bpe_encode(text)
 
@@ -222,13 +232,33 @@ def encode_decode(spark: SparkSession, text: Column | str, path: str) -> Column:
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def bpe_round_trip(texts: pa.Array) -> pa.Array:
         model = compiled(spec.value)
-        ids = [model.encode(t) for t in _texts(texts)]
-        decoded = pa.array([model.decode(r) for r in ids], pa.string())
-        return pa.StructArray.from_arrays([_id_lists(ids), decoded], ["ids", "decoded"])
+        lists, decoded = IdLists(), pa.lib.StringBuilder()
+        for t in _texts(texts):
+            ids = model.encode(t)
+            lists.add(ids)
+            decoded.append(model.decode(ids))
+        return pa.StructArray.from_arrays([lists.arrow(), decoded.finish()], ["ids", "decoded"])
 
     return bpe_round_trip(text)
 
 
+def encode_checked(spark: SparkSession, text: Column | str, path: str) -> Column:
+    """struct<ids array<int>, round_trip boolean>: the ids, and whether they decode to the text again."""
+    spec = spark.sparkContext.broadcast(read_spec(path))
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def bpe_checked(texts: pa.Array) -> pa.Array:
+        model = compiled(spec.value)
+        lists, same = IdLists(), []
+        for t in _texts(texts):
+            ids = model.encode(t)
+            lists.add(ids)
+            same.append(model.decode(ids) == t)
+        return pa.StructArray.from_arrays([lists.arrow(), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return bpe_checked(text)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
     trip = encode_decode(docs.sparkSession, F.col("text"), path)
@@ -241,8 +271,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """Pipeline form: each document's id, text, token ids and whether the decoded text is the text again."""
-    trip = encode_decode(docs.sparkSession, F.col("text"), path)
+    trip = encode_checked(docs.sparkSession, F.col("text"), path)
     return (docs.select("doc_id", "source", "text", trip.alias("trip"))
-            .select("doc_id", "source", "text", F.size("trip.ids").cast("long").alias("n_tokens"),
-                    F.col("trip.ids").alias("ids"),
-                    (F.col("trip.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")))
+            .select("doc_id", "source", "text", F.size("trip.ids").cast("long").alias("n_tokens"), "trip.ids", "trip.round_trip"))

@@ -23,8 +23,9 @@
    Nobody's pairs are listed in full: candidates grow with the nodes.
 4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
    are links; classes are the connected components.  Then nodes look for
-   partners outside their class again, four times as many as before (those of
-   the largest class of a block are only sought), until a round has no candidates left or finds no link.
+   partners outside their class again, the next best ones (nodes of the
+   largest class of a block are only sought), until a round has no candidates
+   left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -300,8 +301,8 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
 
 
 def candidates(rows: DataFrame, most: int, tested: DataFrame | None) -> DataFrame:
-    """(a, b) from rows (key, block, id, class, samples): of every node the best partners outside its class,
-    ``most`` over all its blocks, that were not tested before."""
+    """(a, b) from rows (key, block, id, class, samples): of every node the best ``PARTNERS`` outside its class that
+    were not tested before, from the best ``most`` of each of its blocks."""
     columns = ["key", "block", "id", "class", "samples"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +326,7 @@ def candidates(rows: DataFrame, most: int, tested: DataFrame | None) -> DataFram
     if tested is not None:
         found = found.join(tested, ["a", "b"], "left_anti")
     best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= most).select("a", "b").distinct()
+    return found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= PARTNERS).select("a", "b").distinct()
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -398,7 +399,7 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
             return label
         label = merged(label, links)
         tested = pairs if tested is None else tested.union(pairs)
-        most *= 4
+        most += PARTNERS
 
 
 def classes(docs: DataFrame) -> DataFrame:
