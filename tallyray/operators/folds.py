@@ -184,15 +184,16 @@ def asset_flags(flag_events: DataFrame) -> DataFrame:
 def fold_bitmaps(flag_events: DataFrame, reserves: DataFrame) -> DataFrame:
     """Per category: the three 128-bit bitmaps (bit = reserve_id) as 32-digit
     hex text plus member counts.  Members whose asset has no reserve id are
-    ignored (the contract keys bitmaps by id)."""
-    flags = asset_flags(flag_events).where(F.col("flag"))
+    ignored (the contract keys bitmaps by id).  A category whose flags are all
+    cleared keeps its row, with bitmaps 0."""
+    flags = asset_flags(flag_events)
     ids = reserves.select(F.col("asset_address").alias("asset"), "reserve_id") \
         .where(F.col("reserve_id").isNotNull() & (F.col("reserve_id") < 128))
     m = dim_join(flags, ids, "asset", "inner")
-    lo = F.expr("CASE WHEN reserve_id < 64 THEN shiftleft(CAST(1 AS BIGINT), reserve_id) END")
-    hi = F.expr("CASE WHEN reserve_id >= 64 THEN shiftleft(CAST(1 AS BIGINT), reserve_id - 64) END")
+    lo = F.expr("CASE WHEN flag AND reserve_id < 64 THEN shiftleft(CAST(1 AS BIGINT), reserve_id) END")
+    hi = F.expr("CASE WHEN flag AND reserve_id >= 64 THEN shiftleft(CAST(1 AS BIGINT), reserve_id - 64) END")
     agg = m.groupBy("category_id").pivot("bitmap", ["collateral", "borrowable", "ltvzero"]).agg(
-        F.bit_or(lo).alias("lo"), F.bit_or(hi).alias("hi"), F.count(F.lit(1)).alias("n"))
+        F.bit_or(lo).alias("lo"), F.bit_or(hi).alias("hi"), F.count_if("flag").alias("n"))
     hexw = lambda c: F.lpad(F.lower(F.hex(F.coalesce(F.col(c), F.lit(0).cast("bigint")))), 16, "0")
     out = [F.col("category_id")]
     for b in ["collateral", "borrowable", "ltvzero"]:
@@ -202,10 +203,10 @@ def fold_bitmaps(flag_events: DataFrame, reserves: DataFrame) -> DataFrame:
 
 
 def bitmap_members(flag_events: DataFrame, reserves: DataFrame) -> DataFrame:
-    """(category, bitmap, reserve_id) rows for every set bit."""
+    """(category, bitmap, reserve_id) rows for every set bit of the 128."""
     flags = asset_flags(flag_events).where(F.col("flag"))
     ids = reserves.select(F.col("asset_address").alias("asset"), "reserve_id") \
-        .where(F.col("reserve_id").isNotNull())
+        .where(F.col("reserve_id").isNotNull() & (F.col("reserve_id") < 128))
     return dim_join(flags, ids, "asset", "inner").select("category_id", "bitmap", "reserve_id")
 
 

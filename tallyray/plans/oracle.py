@@ -666,15 +666,15 @@ flags AS (
   SELECT category_id, asset, bitmap, r,
     arg_max(flag, {ordk('block_number', 'raw_log')}) AS flag
   FROM ema GROUP BY category_id, asset, bitmap, r),
-members AS (SELECT category_id, bitmap, CAST(r AS INTEGER) AS reserve_id FROM flags WHERE flag AND r < 45)"""
+members AS (SELECT category_id, bitmap, CAST(r AS INTEGER) AS reserve_id, flag FROM flags WHERE r < 45)"""
 
 
 def _bm(b: str) -> str:
-    lo = f"bit_or(CASE WHEN bitmap = '{b}' AND reserve_id < 64 THEN CAST(1 AS BIGINT) << reserve_id END)"
-    hi = f"bit_or(CASE WHEN bitmap = '{b}' AND reserve_id >= 64 THEN CAST(1 AS BIGINT) << (reserve_id - 64) END)"
+    lo = f"bit_or(CASE WHEN flag AND bitmap = '{b}' AND reserve_id < 64 THEN CAST(1 AS BIGINT) << reserve_id END)"
+    hi = f"bit_or(CASE WHEN flag AND bitmap = '{b}' AND reserve_id >= 64 THEN CAST(1 AS BIGINT) << (reserve_id - 64) END)"
     return (f"'0x' || lpad(lower(hex(coalesce({hi}, 0))), 16, '0') || "
             f"lpad(lower(hex(coalesce({lo}, 0))), 16, '0') AS {b}_bitmap, "
-            f"count(*) FILTER (WHERE bitmap = '{b}') AS {b}_members")
+            f"count(*) FILTER (WHERE flag AND bitmap = '{b}') AS {b}_members")
 
 
 SQL["fold_bitmaps"] = "WITH " + ",".join([EVX, EMA, FLAGS]) + f"""
@@ -682,7 +682,7 @@ SELECT category_id, {_bm('collateral')}, {_bm('borrowable')}, {_bm('ltvzero')}
 FROM members GROUP BY category_id"""
 
 SQL["bitmap_members"] = "WITH " + ",".join([EVX, EMA, FLAGS]) + """
-SELECT category_id, bitmap, reserve_id FROM members"""
+SELECT category_id, bitmap, reserve_id FROM members WHERE flag"""
 
 SQL["missing_categories"] = "WITH " + ",".join([EVX, EMA, CAT]) + """
 SELECT category_id + 4 AS category_id, min(block_number) AS first_block, count(*) AS n_events

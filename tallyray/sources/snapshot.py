@@ -3,6 +3,9 @@ category arrays -> rows, paged position JSON -> user_positions rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +96,8 @@ def snapshot_rows(pages: DataFrame, body_col: str = "body") -> DataFrame:
     """Typed, exploded snapshot rows (explicit schema, numbers parsed exactly)."""
     p = pages.select(F.from_json(F.col(body_col), SNAPSHOT_PAGE).alias("p"))
     x = p.select(F.explode("p.data.userReserves").alias("r"))
-    num = lambda c: F.expr(f"try_cast({c} AS DECIMAL(38,0))")
+    # Whole numbers of up to 38 digits are exact; anything else is null, and so a reject.
+    num = lambda c: F.expr(f"CASE WHEN {c} RLIKE '^[0-9]+$' THEN try_cast({c} AS DECIMAL(38,0)) END")
     return x.select(
         F.col("r.id").alias("id"),
         normalize_address(F.col("r.user.id")).alias("user_address"),
@@ -105,13 +109,16 @@ def snapshot_rows(pages: DataFrame, body_col: str = "body") -> DataFrame:
         num("r.reserve.variableBorrowIndex").alias("debt_last_index"))
 
 
+def _unparsable():
+    """A row without a usable address, balance or index; each such row is one reject."""
+    cols = ["user_address", "asset_address", "scaled_atoken_balance", "scaled_variable_debt", "atoken_last_index", "debt_last_index"]
+    return reduce(or_, [F.col(c).isNull() for c in cols])
+
+
 def load_position_snapshot(pages: DataFrame, at_block: int) -> DataFrame:
     """Positions with supply > 0 or debt > 0 as ``user_positions`` rows at (at_block, -1)."""
     r = snapshot_rows(pages)
-    valid = r.where(F.col("user_address").isNotNull() & F.col("asset_address").isNotNull()
-                    & F.col("scaled_atoken_balance").isNotNull()
-                    & F.col("scaled_variable_debt").isNotNull())
-    nz = valid.where((F.col("scaled_atoken_balance") > 0) | (F.col("scaled_variable_debt") > 0))
+    nz = r.where(~_unparsable()).where((F.col("scaled_atoken_balance") > 0) | (F.col("scaled_variable_debt") > 0))
     return nz.select(
         "user_address", "asset_address", "scaled_atoken_balance", "scaled_variable_debt",
         "use_as_collateral", "atoken_last_index", "debt_last_index",
@@ -125,10 +132,8 @@ def snapshot_rejects(pages: DataFrame, reserves: DataFrame) -> DataFrame:
     """Snapshot rows that cannot be inserted: unparsable fields, or an asset
     that is not a known reserve (a foreign-key violation)."""
     r = snapshot_rows(pages)
-    bad = r.where(F.col("user_address").isNull() | F.col("asset_address").isNull()
-                  | F.col("scaled_atoken_balance").isNull() | F.col("scaled_variable_debt").isNull())
-    bad = bad.select("id", F.lit("unparsable").alias("reason"))
-    nz = r.where((F.col("scaled_atoken_balance") > 0) | (F.col("scaled_variable_debt") > 0))
+    bad = r.where(_unparsable()).select("id", F.lit("unparsable").alias("reason"))
+    nz = r.where(~_unparsable()).where((F.col("scaled_atoken_balance") > 0) | (F.col("scaled_variable_debt") > 0))
     orphan = nz.join(reserves.select("asset_address"), "asset_address", "left_anti") \
         .select("id", F.lit("unknown_reserve").alias("reason"))
     return bad.unionByName(orphan)

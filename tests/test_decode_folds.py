@@ -127,3 +127,27 @@ def test_token_logs_without_position_are_rejected(spark):
     got = [r.reason for r in decode_rejects(df).collect()]
     assert got == ["missing_position"] * 3
     assert [r.log_index for r in decode_logs(df, TOKEN_FAMILY).collect()] == [3]
+
+
+def test_cleared_category_keeps_its_row(spark):
+    res = spark.createDataFrame([("0xa", 0)], "asset_address string, reserve_id int")
+    flags = spark.createDataFrame(
+        [(1, "0xa", "collateral", True, 1, 0), (1, "0xa", "collateral", False, 2, 0)],
+        "category_id int, asset string, bitmap string, flag boolean, block_number long, log_index long")
+    r = fold_bitmaps(flags, res).first()
+    assert r.collateral_bitmap == "0x" + "0" * 32 and r.collateral_members == 0
+
+
+def test_snapshot_numbers_are_exact_or_rejected(spark):
+    import json
+    from tallyray.sources.snapshot import load_position_snapshot, snapshot_rejects
+    asset = "0x" + "a" * 40
+    row = lambda k, v, a=asset: {"id": k, "user": {"id": "0x" + "b" * 40}, "reserve": {
+        "underlyingAsset": a, "liquidityIndex": "1", "variableBorrowIndex": "1"},
+        "usageAsCollateralEnabledOnUser": True, "scaledATokenBalance": v, "scaledVariableDebt": "0"}
+    body = json.dumps({"data": {"userReserves": [row("f", "1.5"), row("w", "1" * 40), row("s", "7"), row("t", "10000000000000000000"), row("n", "3", None)]}})
+    pages = spark.createDataFrame([(body,)], "body string")
+    good = load_position_snapshot(pages, 10).select("scaled_atoken_balance").collect()
+    assert sorted(int(r[0]) for r in good) == [7, 10**19]
+    res = spark.createDataFrame([(asset,)], "asset_address string")
+    assert sorted(map(tuple, snapshot_rejects(pages, res).collect())) == [("f", "unparsable"), ("n", "unparsable"), ("w", "unparsable")]

@@ -57,3 +57,20 @@ def test_crash_before_pointer_keeps_previous_state(spark):
     assert st.current_version() == 0 and _rows(st.read("positions")) == after0
     apply(b1, 1)
     assert st.current_version() == 1
+
+
+def test_unreadable_commit_is_an_error_and_none_is_no_state(spark, tmp_path):
+    import pytest
+    from tallyray.streaming.apply import VersionedState
+    state = VersionedState(spark, str(tmp_path / "s"), {"t": "a long"})
+    assert state.current_version() is None
+    state.commit({"t": spark.range(3).selectExpr("id as a")}, 6)
+    state.commit({"t": spark.range(4).selectExpr("id as a")}, 7)
+    assert state.current_version() == 7
+    (tmp_path / "s" / "_commits" / "n8" / "_temporary").mkdir(parents=True)  # a crash while a marker is written
+    assert state.current_version() == 7
+    (tmp_path / "s" / "_commits").chmod(0o755)
+    part = next((tmp_path / "s" / "_commits" / "n7").glob("part-*"))
+    part.with_name("part-broken.json.gz").write_bytes(b"no gzip")
+    with pytest.raises(Exception):
+        state.current_version()
