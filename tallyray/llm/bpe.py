@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .unicode_tables import BEYOND_LATIN, LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, LETTER, NUMBER, OTHER
 
 NO_RANK = 1 << 60
@@ -200,6 +201,7 @@ def _texts(texts: pa.Array) -> Iterator[str]:
 
 def encode(spark: SparkSession, text: Column | str, path: str) -> Column:
     """The token ids of a text: array<int>."""
+    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("array<int>")
@@ -215,6 +217,7 @@ def encode(spark: SparkSession, text: Column | str, path: str) -> Column:
 
 def decode(spark: SparkSession, ids: Column | str, path: str) -> Column:
     """The text of token ids; null ids give the empty text."""
+    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("string")
@@ -227,6 +230,7 @@ def decode(spark: SparkSession, ids: Column | str, path: str) -> Column:
 
 def encode_decode(spark: SparkSession, text: Column | str, path: str) -> Column:
     """Both at once, from one pass over the texts: struct<ids array<int>, decoded string>."""
+    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
@@ -244,6 +248,7 @@ def encode_decode(spark: SparkSession, text: Column | str, path: str) -> Column:
 
 def encode_checked(spark: SparkSession, text: Column | str, path: str) -> Column:
     """struct<ids array<int>, round_trip boolean>: the ids, and whether they decode to the text again."""
+    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")

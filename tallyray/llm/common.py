@@ -13,6 +13,18 @@ from tallyray.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch handed to Python.  Texts are long: the default of
+# 10,000 rows makes each worker hold tens of MB several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

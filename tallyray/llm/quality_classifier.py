@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import small_batches, stored, whole_text
 from .linear import Logistic, at_most, fit_logistic, held_out, sigmoid
 
 ROUNDS = 4
@@ -149,6 +149,7 @@ def view_columns(text: Column | str, source: Column | str, lang: Column | str, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_pool: int = 20_000, seed: int = 29) -> Model:
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .select("doc_id", F.col("quality").cast("double").alias("y"))
     known = at_most(known, max_rows, F.col("doc_id"), seed)
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_pool: in
 
 def score(spark: SparkSession, model: Model, text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
     """struct<text_score, meta_score, score> of a document."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<text_score:double,meta_score:double,score:double>")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PCT = 30
@@ -172,11 +174,13 @@ def verdict(text: Column | str) -> Column:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id and the figures of every document."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", figures("text").alias("q")).select("doc_id", "q.*")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Pipeline form: rejected documents go, kept ones lose their failed lines; same columns."""
+    small_batches(docs.sparkSession)
     cols = docs.columns
     mark = "__line_rules"
     while mark in cols:

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Merges, Words, byte_symbols, read_spec
+from .common import small_batches
 from .unicode_tables import BEYOND_LATIN, LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, LETTER, NUMBER, OTHER, lower
 
 CHUNK = 1 << 14
@@ -210,6 +211,7 @@ def compiled(spec: str) -> Counter:
 
 def token_count(spark: SparkSession, text: Column | str, path: str) -> Column:
     """Tokens of a text (long) under a BPE file with word ends."""
+    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("long")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Words
-from .common import stored, whole_text
+from .common import small_batches, stored, whole_text
 from .linear import Logistic, at_most, fit_logistic, held_out
 
 MAX_TERMS = 8192
@@ -212,6 +212,7 @@ def lexicon(train: DataFrame) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 17) -> Model:
     """Fit on at most about ``max_rows`` labelled rows that are not held out."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .select("doc_id", F.col("toxic").cast("long").alias("toxic"))
     known = at_most(known, max_rows, F.col("doc_id"), seed)
@@ -232,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int =
 
 def score(spark: SparkSession, model: Model, text: Column | str) -> Column:
     """The toxicity of a text, 0 to 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.logistic))
     key = hash((tuple(sorted(model.weights.items())), model.logistic.bias))
 

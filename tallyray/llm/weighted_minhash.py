@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import small_batches, stored, whole_text
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -404,6 +404,7 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
     rows = stored(signed(docs, idf))
     equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
