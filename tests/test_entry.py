@@ -1,5 +1,7 @@
 """Driver contract smoke tests on the small tables."""
 
+import re
+
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
@@ -13,7 +15,9 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_streaming_only(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"checksum_address"}
+    # The training-data queries that SQL cannot express are tested by brute force in tests/llm.
+    added = {k for k in q if k == "pipeline" or re.match(r"op\d+_", k)}
+    assert set(q) - added - set(o) <= {"checksum_address"}
     assert len(q) >= 70
 
 
