@@ -49,6 +49,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_narrow(df: DataFrame) -> DataFrame:
+    """``stored`` for tables of ids: in at most an eighth as many files as the
+    session has shuffle partitions, but two per core.
+
+    Their rows are a few numbers each, so that one task can write some shuffle
+    partitions one after the other; a file per partition costs more than the rows.
+    """
+    spark = df.sparkSession
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return stored(df.coalesce(most))
+
+
 def order_hash(seed: str, key: Column) -> Column:
     """A seeded pseudo-random order of rows by key: 32 hexadecimal digits."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, whole_text
+from .common import small_batches, stored, stored_narrow, whole_text
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -357,16 +357,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the least label among its own and its
     neighbours', and then the label of that label.
     """
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("class")))
+    edges = stored_narrow(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = stored_narrow(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("class")))
     while True:
         near = edges.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("class").alias("low"))
-        step = stored(label.join(near, F.col("id") == F.col("a"))
+        step = stored_narrow(label.join(near, F.col("id") == F.col("a"))
                       .select("id", F.col("class").alias("was"), F.least("class", "low").alias("class")))
         if step.where("was <> class").isEmpty():
             return step.select("id", "class")
         far = step.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        label = stored(step.select("id", "class").join(far, "class").select("id", F.col("far").alias("class")))
+        label = stored_narrow(step.select("id", "class").join(far, "class").select("id", F.col("far").alias("class")))
 
 
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
         ends = ends.join(label.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}")), c)
     ends = ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b").distinct()
     new = components(ends).select(F.col("id").alias("class"), F.col("class").alias("new"))
-    return stored(label.join(new, "class", "left").select("id", F.coalesce("new", "class").alias("class")))
+    return stored_narrow(label.join(new, "class", "left").select("id", F.coalesce("new", "class").alias("class")))
 
 
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
@@ -384,10 +384,10 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
     members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
     label, tested, most = None, None, PARTNERS
     while True:
-        pairs = stored(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most, tested))
+        pairs = stored_narrow(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most, tested))
         if label is None:
             # Only nodes with a candidate can be on a link, now or later.
-            ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+            ids = stored_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
             label = ids.select("id", F.col("id").alias("class"))
             members = stored(members.join(ids, "id"))
             texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), whole_text(F.col("text")).alias("text"))
