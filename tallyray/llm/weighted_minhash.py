@@ -24,8 +24,8 @@
 4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
    are links; classes are the connected components.  Then nodes look for
    partners outside their class again, the next best ones (nodes of the
-   largest class of a block are only sought), until a round has no candidates
-   left or finds no link.
+   largest class of a block are only sought), two in the first round and eight
+   in each later one, until a round has no candidates left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BLOCK = 256
 AGREE = 18
-PARTNERS = 2
+PARTNERS, LATER_PARTNERS = 2, 8
 BIN_BITS = 18
 SLICE = 1 << 12
 IDF_SHARE = 0.15
@@ -300,8 +300,8 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
     return found
 
 
-def candidates(rows: DataFrame, most: int, tested: DataFrame | None) -> DataFrame:
-    """(a, b) from rows (key, block, id, class, samples): of every node the best ``PARTNERS`` outside its class that
+def candidates(rows: DataFrame, turns: int, most: int, tested: DataFrame | None) -> DataFrame:
+    """(a, b) from rows (key, block, id, class, samples): of every node the best ``turns`` outside its class that
     were not tested before, from the best ``most`` of each of its blocks."""
     columns = ["key", "block", "id", "class", "samples"]
 
@@ -321,12 +321,16 @@ def candidates(rows: DataFrame, most: int, tested: DataFrame | None) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in np.concatenate(found).T], ["id", "other", "shared"])
 
     found = (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
-             .mapInArrow(search, "id long, other long, shared long").distinct()
-             .select("*", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+             .mapInArrow(search, "id long, other long, shared long").withColumn("tested", F.lit(False)))
     if tested is not None:
-        found = found.join(tested, ["a", "b"], "left_anti")
+        for x, y in (("a", "b"), ("b", "a")):
+            found = found.union(tested.select(x, y, F.lit(0).cast("long"), F.lit(True)))
+    # Dealt by id once, for what follows: a pair found in several blocks, what was tested, the best.
+    new = (found.repartition("id").groupBy("id", "other").agg(F.max("shared").alias("shared"), F.max("tested").alias("tested"))
+           .where("not tested"))
     best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= PARTNERS).select("a", "b").distinct()
+    return (new.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= turns)
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -382,9 +386,9 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
     """(id, class) of the nodes (id, bands, samples) that share a bucket with another."""
     members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
-    label, tested, most = None, None, PARTNERS
+    label, tested, turns, most = None, None, PARTNERS, PARTNERS
     while True:
-        pairs = stored_narrow(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), most, tested))
+        pairs = stored_narrow(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), turns, most, tested))
         if label is None:
             # Only nodes with a candidate can be on a link, now or later.
             ids = stored_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -399,7 +403,8 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
             return label
         label = merged(label, links)
         tested = pairs if tested is None else tested.union(pairs)
-        most += PARTNERS
+        turns = LATER_PARTNERS
+        most += turns
 
 
 def classes(docs: DataFrame) -> DataFrame:
