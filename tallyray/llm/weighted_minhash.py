@@ -55,6 +55,7 @@ AGREE = 18
 PARTNERS, LATER_PARTNERS = 2, 8
 BIN_BITS = 18
 SLICE = 1 << 12
+FAN_IN = 1 << 10
 IDF_SHARE = 0.15
 TABLE_BITS = 16
 PIECE = 1 << 20
@@ -168,19 +169,20 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.int64)
     for c in pdf.counts:
         total += np.frombuffer(c, "<i8")
-    return pd.DataFrame({"part": [int(pdf.part.iloc[0]) >> 6], "slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
+    return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // FAN_IN], "slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
     """idf by bin, from document counts over the whole corpus: 2^18 numbers, a fixed size.
 
-    Partial vectors are added 64 at a time, so that no group grows with the number of tasks.
+    Partial vectors are added ``FAN_IN`` at a time, then the sums of these: a million tasks make groups of at most
+    1,024 slices of 32 KB.
     """
     schema = "part long, slice int, counts binary"
     parts = docs.select("text").mapInArrow(_count_bins, schema)
-    for _ in range(3):
-        parts = parts.groupBy("slice", F.expr("part div 64")).applyInPandas(_add, schema)
-    rows = parts.groupBy("slice", "part").applyInPandas(_add, schema).select("slice", "counts").collect()  # 64 rows
+    for _ in range(2):
+        parts = parts.groupBy("slice", F.expr(f"part div {FAN_IN}")).applyInPandas(_add, schema)
+    rows = parts.select("slice", "counts").collect()  # 64 rows for each million tasks
     df = np.zeros(1 << BIN_BITS, np.int64)
     for r in rows:
         df[r["slice"] * SLICE: (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], "<i8")
