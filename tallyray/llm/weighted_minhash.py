@@ -24,8 +24,9 @@
 4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
    are links; classes are the connected components.  Then nodes look for
    partners outside their class again, the next best ones (nodes of the
-   largest class of a block are only sought), two in the first round and eight
-   in each later one, until a round has no candidates left or finds no link.
+   largest class of a block are only sought), at most two in the first round
+   and eight of the three best of each block in a later one, until a round has
+   no candidates left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 BLOCK = 256
 AGREE = 18
-PARTNERS, LATER_PARTNERS = 2, 8
+PARTNERS, LATER_PARTNERS, PER_BLOCK = 2, 8, 3
 BIN_BITS = 18
 SLICE = 1 << 12
 FAN_IN = 1 << 10
@@ -277,8 +279,10 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return small.union(large)
 
 
-def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, most: int) -> list[np.ndarray]:
-    """Within each run of equal keys, every node, its best partners of other groups, and the samples they share."""
+def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, tested: pa.Array, most: int) -> list[np.ndarray]:
+    """Within each run of equal keys, every node, its best untested partners of other groups, and the samples they share."""
+    past, lengths = tested.flatten().to_numpy(), pc.fill_null(pc.list_value_length(tested), 0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lengths)])
     found = []
     edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
     for start, end in zip(edges, edges[1:]):
@@ -291,6 +295,12 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
             for k in range(own.shape[1]):
                 shared += own[:, k, None] == own[None, :, k]
             shared[group[lo:hi, None] == group[None, lo:hi]] = 0
+            if ends[hi] > ends[lo]:
+                own_ids, gone = ids[lo:hi], past[ends[lo]: ends[hi]]
+                by_id = np.argsort(own_ids)
+                place = by_id[np.minimum(np.searchsorted(own_ids, gone, sorter=by_id), hi - lo - 1)]
+                here = own_ids[place] == gone
+                shared[np.repeat(np.arange(hi - lo), lengths[lo:hi])[here], place[here]] = 0
             order = np.argsort(-shared, 1, kind="stable")[:, :most]
             near = np.take_along_axis(shared, order, 1) >= AGREE
             # The largest class of the block is sought by the others and need not seek them.
@@ -302,10 +312,10 @@ def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.n
     return found
 
 
-def candidates(rows: DataFrame, turns: int, most: int, tested: DataFrame | None) -> DataFrame:
-    """(a, b) from rows (key, block, id, class, samples): of every node the best ``turns`` outside its class that
-    were not tested before, from the best ``most`` of each of its blocks."""
-    columns = ["key", "block", "id", "class", "samples"]
+def candidates(rows: DataFrame, turns: int, most: int) -> DataFrame:
+    """(a, b) from rows (key, block, id, class, samples, tested): of every node the best ``turns`` outside its class
+    that were not tested before, from the best ``most`` of each of its blocks."""
+    columns = ["key", "block", "id", "class", "samples", "tested"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # the run that may go on in the next batch
@@ -318,20 +328,16 @@ def candidates(rows: DataFrame, turns: int, most: int, tested: DataFrame | None)
             left = rest.slice(cut)
             if cut:
                 samples = np.stack([np.frombuffer(v.as_py(), "<u2") for v in rest["samples"].slice(0, cut)])
-                found = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples, most)
+                found = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples,
+                                  rest["tested"].slice(0, cut).combine_chunks(), most)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in np.concatenate(found).T], ["id", "other", "shared"])
 
+    # Dealt by id once: for a pair found in several blocks, and for the best of a node.
     found = (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
-             .mapInArrow(search, "id long, other long, shared long").withColumn("tested", F.lit(False)))
-    if tested is not None:
-        for x, y in (("a", "b"), ("b", "a")):
-            found = found.union(tested.select(x, y, F.lit(0).cast("long"), F.lit(True)))
-    # Dealt by id once, for what follows: a pair found in several blocks, what was tested, the best.
-    new = (found.repartition("id").groupBy("id", "other").agg(F.max("shared").alias("shared"), F.max("tested").alias("tested"))
-           .where("not tested"))
+             .mapInArrow(search, "id long, other long, shared long").repartition("id").dropDuplicates(["id", "other"]))
     best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return (new.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= turns)
+    return (found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= turns)
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
@@ -385,12 +391,22 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored_narrow(label.join(new, "class", "left").select("id", F.coalesce("new", "class").alias("class")))
 
 
+def past_partners(tested: DataFrame) -> DataFrame:
+    """(id, tested): the partners of each node in the pairs (a, b); at most those of its ten blocks."""
+    ends = tested.select(F.col("a").alias("id"), "b").union(tested.select("b", "a"))
+    return ends.groupBy("id").agg(F.collect_list("b").alias("tested"))
+
+
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
     """(id, class) of the nodes (id, bands, samples) that share a bucket with another."""
     members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
-    label, tested, turns, most = None, None, PARTNERS, PARTNERS
+    first = members.withColumns({"class": F.col("id"), "tested": F.lit(None).cast("array<long>")})
+    label, tested = None, None
     while True:
-        pairs = stored_narrow(candidates(members.withColumn("class", F.col("id")) if label is None else members.join(label, "id"), turns, most, tested))
+        if label is None:
+            pairs = stored_narrow(candidates(first, PARTNERS, PARTNERS))
+        else:
+            pairs = stored_narrow(candidates(members.join(label.join(past_partners(tested), "id", "left"), "id"), LATER_PARTNERS, PER_BLOCK))
         if label is None:
             # Only nodes with a candidate can be on a link, now or later.
             ids = stored_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -405,8 +421,6 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
             return label
         label = merged(label, links)
         tested = pairs if tested is None else tested.union(pairs)
-        turns = LATER_PARTNERS
-        most += turns
 
 
 def classes(docs: DataFrame) -> DataFrame:
