@@ -171,6 +171,25 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id < 7) == [1, 4, 6]
 
 
+def test_block_search_skips_tested_and_own_class():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n = 40
+    ids, key = rng.permutation(1000)[:n].astype(np.int64), np.sort(rng.integers(0, 2, (n, 1)), 0)
+    group, samples = rng.integers(0, 6, n), rng.integers(0, 2, (n, 30)) * (rng.random((n, 30)) < 0.3)
+    past = [[int(v) for v in rng.choice(ids, 5)] if k % 3 else None for k in range(n)]
+    got = {tuple(r[:2]) for r in np.concatenate(weighted_minhash._partners(key, ids, group, samples, pa.array(past, pa.list_(pa.int64())), n))}
+    want = set()
+    for i in range(n):
+        peers = [j for j in range(n) if key[j, 0] == key[i, 0]]
+        count = collections.Counter(group[j] for j in peers)
+        if group[i] == min(count, key=lambda g: (-count[g], g)):
+            continue  # the largest class is only sought
+        want |= {(ids[i], ids[j]) for j in peers if group[j] != group[i] and int(ids[j]) not in (past[i] or [])
+                 and (samples[i] == samples[j]).sum() >= weighted_minhash.AGREE}
+    assert got == want and want
+
+
 def test_shingle_hashes_follow_words():
     a = weighted_minhash.word_hashes(b"one two  three\none")
     assert len(a) == 4 and a[0] == a[3] and len(set(a.tolist())) == 3
