@@ -20,13 +20,15 @@
    each node is compared with all others by the samples they share, and its
    best partners of another class become candidates if they share at least
    ``AGREE`` of 30 (a pair of similarity 0.8 does with probability 0.997).
-   Nobody's pairs are listed in full: candidates grow with the nodes.
+   These blocks only begin the classes: from the second round on (``spans``)
+   all nodes of a bucket that are of different classes meet, whatever its size.
 4. *Verification*: candidates of a weighted Jaccard similarity of at least 0.8
    are links; classes are the connected components.  Then nodes look for
-   partners outside their class again, the next best ones (nodes of the
-   largest class of a block are only sought), at most two in the first round
-   and eight of the three best of each block in a later one, until a round has
-   no candidates left or finds no link.
+   partners outside their class again (nodes of the largest class of a bucket
+   are only sought), at most two in the first round and eight of the three best
+   of each block in a later one.  ``sketch`` bounds the similarity of a pair
+   from above; a pair whose bound is under 0.8 needs no test.
+   It goes on until a round has no candidates left or finds no link.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -52,7 +54,7 @@ from .common import small_batches, stored, stored_narrow, whole_text
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
-BLOCK = 256
+BLOCK, TILE = 256, 1024
 AGREE = 18
 PARTNERS, LATER_PARTNERS, PER_BLOCK = 2, 8, 3
 BIN_BITS = 18
@@ -60,6 +62,7 @@ SLICE = 1 << 12
 FAN_IN = 1 << 10
 IDF_SHARE = 0.15
 TABLE_BITS = 16
+SKETCH_BITS = 9
 PIECE = 1 << 20
 
 _U = np.uint64
@@ -242,6 +245,27 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / (float(a[1].sum()) + float(b[1].sum()) - low)
 
 
+def sketch(text: str | None, idf: np.ndarray) -> bytes:
+    """The weight of a text, and the weights of its shingles by the first bits of their names, rounded up: a fixed size."""
+    names, weight = weighted(text, idf)
+    parts = np.bincount((names >> _U(64 - SKETCH_BITS)).astype(np.int64), weight, 1 << SKETCH_BITS)
+    step = max(float(parts.max()), 1e-9) / 65535
+    return np.array([weight.sum(), step]).tobytes() + np.minimum(np.ceil(parts / step), 65535).astype("<u2").tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """Rows of the weight of a text and of its parts."""
+    heads = np.stack([np.frombuffer(v, "<f8", 2) for v in sketches])
+    parts = np.stack([np.frombuffer(v, "<u2", offset=16) for v in sketches])
+    return np.column_stack([heads[:, 0], parts * heads[:, 1, None]]).astype(np.float32)
+
+
+def at_most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound on the weighted Jaccard similarity of texts from rows of their sketches."""
+    low = np.minimum(a[:, 1:], b[:, 1:]).sum(1)
+    return low / np.maximum(a[:, 0] + b[:, 0] - low, 1e-9)
+
+
 def signed(docs: DataFrame, idf) -> DataFrame:
     """doc_id, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
 
@@ -265,57 +289,104 @@ def signed(docs: DataFrame, idf) -> DataFrame:
 
 # -- candidates, links, classes ----------------------------------------------
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """(key, block, id): the nodes of each bucket of two or more, dealt into bounded blocks."""
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """(key, next, id, all): the nodes of each bucket of two or more, with its size."""
     band = lambda i: F.element_at("bands", F.pmod(i, F.lit(BANDS)) + 1)
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda i: F.struct(F.xxhash64(i, band(i)).alias("key"), F.xxhash64(i, band(i + 1)).alias("next")))
     rows = nodes.select("id", F.inline(keys))
-    cut = stored(rows.groupBy("key", "next").agg(F.count("*").alias("n")))
-    whole = stored(cut.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > 1))
-    small = rows.join(whole.where(F.col("all") <= BLOCK).select("key"), "key").select("key", F.lit(0).cast("long").alias("block"), "id")
-    large = (rows.join(stored(cut.join(whole.where(F.col("all") > BLOCK).select("key"), "key").where("n > 1")), ["key", "next"])
-             .select("key", F.xxhash64("next", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") * 2 / BLOCK)))).alias("block"), "id"))
+    whole = rows.groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    return stored(rows.join(whole, "key"))
+
+
+def blocks(buckets: DataFrame) -> DataFrame:
+    """(key, block, id): the first deal of the buckets into bounded blocks; what these do not bring together, ``spans`` does."""
+    small = buckets.where(F.col("all") <= BLOCK).select("key", F.lit(0).cast("long").alias("block"), "id")
+    rows = buckets.where(F.col("all") > BLOCK)
+    cut = rows.groupBy("key", "next").agg(F.count("*").alias("n")).where("n > 1")
+    large = rows.join(cut, ["key", "next"]).select(
+        "key", F.xxhash64("next", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") * 2 / BLOCK)))).alias("block"), "id")
     return small.union(large)
 
 
-def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, tested: pa.Array, most: int) -> list[np.ndarray]:
-    """Within each run of equal keys, every node, its best untested partners of other groups, and the samples they share."""
+def spans(rows: DataFrame) -> DataFrame:
+    """rows (key, id, class, samples, sketch, tested) dealt into blocks in which every two nodes of a bucket that are of
+    different classes meet, whatever its size.
+
+    The largest class of a bucket is only sought.  In a bucket over ``TILE`` the m others seek in tiles: a tile is one
+    of ceil(m / TILE) parts of the seekers against one of ceil(n / TILE) parts of all n, and every such pair of parts is
+    a tile.  Once a large group is one class few seekers are left, and its nodes are dealt once.
+    """
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    deal = (sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"))
+            .select("key", "n", F.col("top.class").alias("top"), (F.col("n") - F.col("top.n")).alias("m")).where("m > 0"))
+    parts = lambda c: F.ceil(F.col(c) / TILE)
+    part = lambda seed, c: F.pmod(F.xxhash64("id", "key", F.lit(seed)), parts(c))
+    tile = lambda block, seek, sought: F.struct(block.cast("long").alias("block"), F.lit(seek).alias("seek"), F.lit(sought).alias("sought"))
+    seeks = F.col("class") != F.col("top")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("block"), seeks.alias("seek"), F.lit(True).alias("sought")))
+    sought = F.transform(F.sequence(F.lit(0).cast("long"), parts("m") - 1), lambda i: tile(i * parts("n") + part(1, "n"), False, True))
+    seek = F.transform(F.sequence(F.lit(0).cast("long"), parts("n") - 1), lambda j: tile(part(2, "m") * parts("n") + j, True, False))
+    tiles = F.when(F.col("n") <= TILE, one).when(seeks, F.concat(sought, seek)).otherwise(sought)
+    return (rows.join(deal, "key").select("key", "id", "class", "samples", "sketch", "tested", F.inline(tiles))
+            .withColumn("tested", F.when(F.col("seek"), F.col("tested"))))
+
+
+def _partners(key: np.ndarray, ids: np.ndarray, group: np.ndarray, samples: np.ndarray, tested: pa.Array, most: int | None,
+              seek: np.ndarray | None = None, sought: np.ndarray | None = None, sketches: np.ndarray | None = None) -> list[np.ndarray]:
+    """Within each run of equal keys, every node that seeks, its ``most`` best (or all) untested partners of other
+    groups among the sought, and the samples they share.  Without ``seek`` all but the largest group of a run seek.
+
+    With sketches, pairs whose bound is under ``SIMILARITY`` are none, and partners rank by the bound (in 30,000ths)."""
     past, lengths = tested.flatten().to_numpy(), pc.fill_null(pc.list_value_length(tested), 0).to_numpy()
     ends = np.concatenate([[0], np.cumsum(lengths)])
     found = []
     edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
     for start, end in zip(edges, edges[1:]):
-        for lo in range(start, end, 2 * BLOCK):
-            hi = min(end, lo + 2 * BLOCK)
-            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
-                continue
-            own = samples[lo:hi]
-            shared = np.zeros((hi - lo, hi - lo), np.int16)
-            for k in range(own.shape[1]):
-                shared += own[:, k, None] == own[None, :, k]
-            shared[group[lo:hi, None] == group[None, lo:hi]] = 0
-            if ends[hi] > ends[lo]:
-                own_ids, gone = ids[lo:hi], past[ends[lo]: ends[hi]]
-                by_id = np.argsort(own_ids)
-                place = by_id[np.minimum(np.searchsorted(own_ids, gone, sorter=by_id), hi - lo - 1)]
-                here = own_ids[place] == gone
-                shared[np.repeat(np.arange(hi - lo), lengths[lo:hi])[here], place[here]] = 0
-            order = np.argsort(-shared, 1, kind="stable")[:, :most]
-            near = np.take_along_axis(shared, order, 1) >= AGREE
-            # The largest class of the block is sought by the others and need not seek them.
-            _, at, counts = np.unique(group[lo:hi], return_inverse=True, return_counts=True)
-            if counts.max() > 1:
-                near[at == counts.argmax()] = False
-            x, y = np.nonzero(near)
-            found.append(np.column_stack([ids[lo:hi][x], ids[lo:hi][order[x, y]], shared[x, order[x, y]]]))
+        if end - start < 2 or (group[start:end] == group[start]).all():
+            continue
+        if seek is None:
+            _, at, counts = np.unique(group[start:end], return_inverse=True, return_counts=True)
+            seekers = np.flatnonzero(at != counts.argmax()) if counts.max() > 1 else np.arange(end - start)
+        else:
+            seekers = np.flatnonzero(seek[start:end])
+        y = start + (np.arange(end - start) if sought is None else np.flatnonzero(sought[start:end]))
+        if not len(y):
+            continue
+        theirs, their_ids = np.ascontiguousarray(samples[y].T), ids[y]
+        by_id = np.argsort(their_ids)
+        for lo in range(0, len(seekers), BLOCK):  # all of the run is compared, some rows of the table at a time
+            x = start + seekers[lo: lo + BLOCK]
+            shared, least = np.zeros((len(x), len(y)), np.int16), AGREE
+            for k in range(len(theirs)):
+                shared += samples[x, k, None] == theirs[None, k]
+            shared[group[x, None] == group[None, y]] = 0
+            if lengths[x].any():
+                gone = np.concatenate([past[ends[i]: ends[i + 1]] for i in x])
+                place = by_id[np.minimum(np.searchsorted(their_ids, gone, sorter=by_id), len(y) - 1)]
+                here = their_ids[place] == gone
+                shared[np.repeat(np.arange(len(x)), lengths[x])[here], place[here]] = 0
+            if sketches is not None:
+                i, j = np.nonzero(shared >= AGREE)
+                shared[:], least = 0, 1
+                for k in range(0, len(i), SLICE):
+                    u, v = i[k: k + SLICE], j[k: k + SLICE]
+                    bound = at_most_similar(sketches[x[u]], sketches[y[v]])
+                    shared[u, v] = np.where(bound >= SIMILARITY - 1e-4, np.minimum(bound, 1) * 30_000, 0)
+            if most is None or most >= len(y):
+                i, j = np.nonzero(shared >= least)
+            else:
+                order = np.argsort(-shared, 1, kind="stable")[:, :most]
+                i, j = np.nonzero(np.take_along_axis(shared, order, 1) >= least)
+                j = order[i, j]
+            found.append(np.column_stack([ids[x[i]], their_ids[j], shared[i, j]]))
     return found
 
 
-def candidates(rows: DataFrame, turns: int, most: int) -> DataFrame:
-    """(a, b) from rows (key, block, id, class, samples, tested): of every node the best ``turns`` outside its class
-    that were not tested before, from the best ``most`` of each of its blocks."""
-    columns = ["key", "block", "id", "class", "samples", "tested"]
+def candidates(rows: DataFrame, turns: int | None, most: int | None) -> DataFrame:
+    """(a, b) from rows (key, block, id, class, samples, tested, seek, sought): of every node the best ``turns`` outside
+    its class that were not tested before, from the best ``most`` of each of its blocks; without numbers all of them."""
+    columns = ["key", "block", "id", "class", "samples", "tested", "seek", "sought"] + ["sketch"] * ("sketch" in rows.columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # the run that may go on in the next batch
@@ -329,15 +400,19 @@ def candidates(rows: DataFrame, turns: int, most: int) -> DataFrame:
             if cut:
                 samples = np.stack([np.frombuffer(v.as_py(), "<u2") for v in rest["samples"].slice(0, cut)])
                 found = _partners(key[:cut], rest["id"].to_numpy()[:cut], rest["class"].to_numpy()[:cut], samples,
-                                  rest["tested"].slice(0, cut).combine_chunks(), most)
+                                  rest["tested"].slice(0, cut).combine_chunks(), most,
+                                  *(rest[c].slice(0, cut).to_numpy() for c in ("seek", "sought")),
+                                  unpacked(rest["sketch"].slice(0, cut).to_pylist()) if "sketch" in columns else None)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in np.concatenate(found).T], ["id", "other", "shared"])
 
     # Dealt by id once: for a pair found in several blocks, and for the best of a node.
     found = (rows.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
              .mapInArrow(search, "id long, other long, shared long").repartition("id").dropDuplicates(["id", "other"]))
-    best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
-    return (found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= turns)
+    if turns is not None:
+        best = Window.partitionBy("id").orderBy(F.desc("shared"), "other")
+        found = found.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= turns)
+    return (found
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
@@ -349,15 +424,21 @@ def _with_end(batches: Iterator) -> Iterator:
 def linked(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough."""
 
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of each task its own, of bounded size besides one text
+    room = [4 * PIECE]
+
+    def known(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if text not in held:
+            room[0] -= len(text)
+            if room[0] < 0:
+                held.clear()
+                room[0] = 4 * PIECE
+            held[text] = weighted(text, idf.value)
+        return held[text]
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, was = [], None, None
-        for x, y in zip(left, right):
-            x = x.as_py()
-            if was is None or x != last:
-                last, was = x, weighted(x, idf.value)
-            out.append(jaccard(was, weighted(y.as_py(), idf.value)) >= SIMILARITY)
-        return pa.array(out, pa.bool_())
+        return pa.array([jaccard(known(x.as_py()), known(y.as_py())) >= SIMILARITY for x, y in zip(left, right)], pa.bool_())
 
     one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return stored(pairs.join(two, "b").join(one, "a").where(similar("text_a", "text_b")).select("a", "b"))
@@ -399,28 +480,36 @@ def past_partners(tested: DataFrame) -> DataFrame:
 
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
     """(id, class) of the nodes (id, bands, samples) that share a bucket with another."""
-    members = stored(blocks(nodes).join(nodes.select("id", "samples"), "id"))
-    first = members.withColumns({"class": F.col("id"), "tested": F.lit(None).cast("array<long>")})
-    label, tested = None, None
+    buckets = bucketed(nodes)
+    both = {"seek": F.lit(True), "sought": F.lit(True)}
+    first = blocks(buckets).join(nodes.select("id", "samples"), "id") \
+        .withColumns({"class": F.col("id"), "tested": F.lit(None).cast("array<long>"), **both})
+    pairs = stored_narrow(candidates(first, PARTNERS, PARTNERS))
+    # Only nodes with a candidate, or in a bucket that was not compared as a whole, can be on a link, now or later.
+    ids = stored_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+                        .union(buckets.where(F.col("all") > BLOCK).select("id")).distinct())
+    label = ids.select("id", F.col("id").alias("class"))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), whole_text(F.col("text")).alias("text"))
+                   .join(ids, "id").groupBy("id").agg(F.min("text").alias("text")))  # one of repeated rows
+
+    @F.arrow_udf("binary")
+    def sketched(column: pa.Array) -> pa.Array:
+        return pa.array([sketch(t.as_py(), idf.value) for t in column], pa.binary())
+
+    members = stored(buckets.select("key", "id").join(
+        nodes.select("id", "samples").join(texts.select("id", sketched("text").alias("sketch")), "id"), "id"))
+    tested = pairs
     while True:
-        if label is None:
-            pairs = stored_narrow(candidates(first, PARTNERS, PARTNERS))
-        else:
-            pairs = stored_narrow(candidates(members.join(label.join(past_partners(tested), "id", "left"), "id"), LATER_PARTNERS, PER_BLOCK))
-        if label is None:
-            # Only nodes with a candidate can be on a link, now or later.
-            ids = stored_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-            label = ids.select("id", F.col("id").alias("class"))
-            members = stored(members.join(ids, "id"))
-            texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), whole_text(F.col("text")).alias("text"))
-                           .join(ids, "id").groupBy("id").agg(F.min("text").alias("text")))  # one of repeated rows
-        if pairs.isEmpty():
-            return label
         links = linked(pairs, texts, idf)
-        if links.isEmpty():
+        found = links.count()
+        if not found:
             return label
         label = merged(label, links)
-        tested = pairs if tested is None else tested.union(pairs)
+        rows = spans(members.join(label.join(past_partners(tested), "id", "left"), "id"))
+        pairs = stored_narrow(candidates(rows, LATER_PARTNERS, PER_BLOCK))
+        tested = tested.union(pairs)
+        if pairs.isEmpty():
+            return label
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -190,6 +190,68 @@ def test_block_search_skips_tested_and_own_class():
     assert got == want and want
 
 
+def _node_classes(spark, bands, samples, texts):
+    """The classes of nodes with given bands, samples and texts."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, [int(v) for v in b], bytearray(np.asarray(s, "<u2").tobytes())) for i, (b, s) in enumerate(zip(bands, samples))],
+                                  "id long, bands array<long>, samples binary")
+    idf = spark.sparkContext.broadcast(np.ones(1 << weighted_minhash.BIN_BITS, np.float32))
+    return {r["id"]: r["class"] for r in weighted_minhash.node_classes(nodes, docs, idf).collect()}
+
+
+def _text(i, n=40):
+    return " ".join(f"n{i}w{j}" for j in range(n))
+
+
+def test_nodes_of_a_large_bucket_all_meet(spark):
+    """Two like nodes that share one bucket of 1,500 and no next band."""
+    rng, n = np.random.default_rng(11), 1500
+    bands = rng.integers(0, 1 << 60, (n, weighted_minhash.BANDS))
+    bands[:, 3] = 5
+    samples = rng.integers(0, 1 << 16, (n, 30))
+    samples[1400, :20] = samples[7, :20]
+    texts = [_text(i) for i in range(n)]
+    texts[1400] = texts[7] + " end"
+    label = _node_classes(spark, bands, samples, texts)
+    assert label[7] == label[1400] == 7 and len(set(label.values())) == len(label) - 1
+
+
+def test_spans_bring_all_classes_of_a_bucket_together(spark):
+    from pyspark.sql import functions as F
+    rng, n = np.random.default_rng(12), 2600
+    group = np.where(rng.random(n) < 0.5, 0, rng.integers(1, 40, n))
+    rows = spark.createDataFrame([(1, i, int(group[i])) for i in range(n)] + [(2, i, i) for i in range(5)] + [(3, i, 1) for i in range(9)],
+                                 "key long, id long, class long").withColumns({"samples": F.lit(b""), "sketch": F.lit(b""), "tested": F.lit(None).cast("array<long>")})
+    dealt = weighted_minhash.spans(rows)
+    met = {}
+    for r in dealt.select("key", "block", "id", "seek", "sought").collect():
+        sides = met.setdefault((r.key, r.block), ([], []))
+        for side, there in zip(sides, (r.seek, r.sought)):
+            side.extend([r.id] * there)
+    seen = np.zeros((n, n), bool)
+    small = set()
+    for (key, _), (seek, sought) in met.items():
+        assert key != 3
+        if key == 1:
+            seen[np.ix_(seek, sought)] = True
+        else:
+            small |= {frozenset((x, y)) for x in seek for y in sought if x != y}
+    assert (seen | seen.T | (group[:, None] == group[None])).all() and len(small) == 10
+    assert len(met) == 1 + -(-n // weighted_minhash.TILE) * -(-int((group != 0).sum()) // weighted_minhash.TILE)
+
+
+def test_sketches_bound_the_similarity():
+    rng, idf = np.random.default_rng(13), np.linspace(1, 1.15, 1 << weighted_minhash.BIN_BITS).astype(np.float32)
+    texts = [" ".join(w) for k in (3, 60, 2000) for w in rng.choice([f"w{i}" for i in range(9 * k)], (6, k))]
+    texts += ["", " ".join(texts[7].split()[:50])]
+    full = [weighted_minhash.weighted(t, idf) for t in texts]
+    rows = weighted_minhash.unpacked([weighted_minhash.sketch(t, idf) for t in texts])
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            if len(full[i][0]) and len(full[j][0]):
+                assert weighted_minhash.at_most_similar(rows[i: i + 1], rows[j: j + 1])[0] >= weighted_minhash.jaccard(full[i], full[j]) - 1e-4
+
+
 def test_shingle_hashes_follow_words():
     a = weighted_minhash.word_hashes(b"one two  three\none")
     assert len(a) == 4 and a[0] == a[3] and len(set(a.tolist())) == 3
