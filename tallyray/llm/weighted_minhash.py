@@ -28,7 +28,10 @@
    are only sought), at most two in the first round and eight of the three best
    of each block in a later one.  ``sketch`` bounds the similarity of a pair
    from above; a pair whose bound is under 0.8 needs no test.
-   It goes on until a round has no candidates left or finds no link.
+   When links become rare (under one in ``RARE`` tests) a last round lists all
+   pairs that are left: untested, of different classes, of one bucket, sharing
+   ``AGREE`` samples.  After it none is untested; a round without links does not
+   end the search.
 
 Defined results: the class of a document is the least doc_id of its class;
 null texts are empty texts, and texts without words are equal texts; rows
@@ -57,6 +60,7 @@ BANDS, ROWS = 10, 3
 BLOCK, TILE = 256, 1024
 AGREE = 18
 PARTNERS, LATER_PARTNERS, PER_BLOCK = 2, 8, 3
+RARE = 8
 BIN_BITS = 18
 SLICE = 1 << 12
 FAN_IN = 1 << 10
@@ -498,15 +502,17 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
 
     members = stored(buckets.select("key", "id").join(
         nodes.select("id", "samples").join(texts.select("id", sketched("text").alias("sketch")), "id"), "id"))
-    tested = pairs
+    tested, whole = pairs, False
     while True:
         links = linked(pairs, texts, idf)
         found = links.count()
-        if not found:
+        if found:
+            label = merged(label, links)
+        if whole:  # no two nodes of a bucket in different classes are left untested
             return label
-        label = merged(label, links)
+        whole = found * RARE < pairs.count()
         rows = spans(members.join(label.join(past_partners(tested), "id", "left"), "id"))
-        pairs = stored_narrow(candidates(rows, LATER_PARTNERS, PER_BLOCK))
+        pairs = stored_narrow(candidates(rows, None, None) if whole else candidates(rows, LATER_PARTNERS, PER_BLOCK))
         tested = tested.union(pairs)
         if pairs.isEmpty():
             return label

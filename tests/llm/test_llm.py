@@ -252,6 +252,21 @@ def test_sketches_bound_the_similarity():
                 assert weighted_minhash.at_most_similar(rows[i: i + 1], rows[j: j + 1])[0] >= weighted_minhash.jaccard(full[i], full[j]) - 1e-4
 
 
+def test_search_goes_on_without_links(spark):
+    """The one like pair ranks below many unlike partners, and no round finds a link before it."""
+    rng, n = np.random.default_rng(14), 60
+    bands = rng.integers(0, 1 << 60, (n, weighted_minhash.BANDS))
+    bands[:, 0] = 5
+    samples = np.tile(rng.integers(0, 1 << 16, 30), (n, 1))
+    samples[:, 28:] = rng.integers(0, 1 << 16, (n, 2))
+    samples[50, 20:], samples[9, 18:20] = 1, 2
+    texts = [_text("", 40) + " " + _text(i, 14) for i in range(n)]
+    texts[50] = _text(9, 14) + " " + _text("", 40)
+    texts[9] = texts[50] + " end"
+    label = _node_classes(spark, bands, samples, texts)
+    assert label[9] == label[50] == 9 and len(set(label.values())) == len(label) - 1
+
+
 def test_shingle_hashes_follow_words():
     a = weighted_minhash.word_hashes(b"one two  three\none")
     assert len(a) == 4 and a[0] == a[3] and len(set(a.tolist())) == 3
