@@ -34,10 +34,10 @@
    end the search.
 
 Defined results: the class of a document is the least doc_id of its class;
-null texts are empty texts, and texts without words are equal texts; rows
-without doc_id belong to the class of their equal texts if one of these has an
-id, else they have none (null); repeated rows are equal texts; doc_id names
-one text.
+null texts are empty texts, and texts without words are equal texts; a class
+of rows without doc_id has none (null); repeated rows are equal texts; nodes
+are named by their texts, so that one doc_id may stand for several texts, each
+in the class of its own.
 """
 
 from __future__ import annotations
@@ -271,7 +271,7 @@ def at_most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
+    """doc_id, text, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +284,11 @@ def signed(docs: DataFrame, idf) -> DataFrame:
                 for out, v in zip((bands, samples), signature(names, counts * idf.value[_bins(names)]) if len(names) else (None, None)):
                     out.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(samples, pa.binary())], ["doc_id", "x1", "x2", "bands", "samples"])
+                [batch.column(0), batch.column(1), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(samples, pa.binary())], ["doc_id", "text", "x1", "x2", "bands", "samples"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .mapInArrow(sign, "doc_id long, x1 long, x2 long, bands array<long>, samples binary")
+        .mapInArrow(sign, "doc_id long, text string, x1 long, x2 long, bands array<long>, samples binary")
 
 
 # -- candidates, links, classes ----------------------------------------------
@@ -483,7 +483,7 @@ def past_partners(tested: DataFrame) -> DataFrame:
 
 
 def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """(id, class) of the nodes (id, bands, samples) that share a bucket with another."""
+    """(id, class) of the nodes (id, bands, samples) that share a bucket with another; docs has their texts (doc_id, text)."""
     buckets = bucketed(nodes)
     both = {"seek": F.lit(True), "sought": F.lit(True)}
     first = blocks(buckets).join(nodes.select("id", "samples"), "id") \
@@ -518,22 +518,44 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id of every row of ``docs``."""
+def _named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, x1 and x2 of every row, and x1, x2, doc_id (the least of the text) and class of every text.
+
+    A node is a text: it has a number of its own, so that texts without doc_id and different texts under one doc_id
+    are nodes like any other.
+    """
     small_batches(docs.sparkSession)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
     rows = stored(signed(docs, idf))
-    equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
-    label = node_classes(equal.where("id is not null and bands is not null").select("id", "bands", "samples"), docs, idf)
-    named = stored(equal.select("x1", "x2", "id").join(label, "id", "left")
-                   .select("x1", "x2", F.coalesce("class", "id").alias("class_id")))
+    equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+                   .withColumn("id", F.monotonically_increasing_id()))  # written once: later reads see the same numbers
+    texts = rows.select("x1", "x2", "text").join(equal.select("x1", "x2", F.col("id").alias("doc_id")), ["x1", "x2"]).select("doc_id", "text")
+    label = node_classes(equal.where("bands is not null").select("id", "bands", "samples"), texts, idf)
+    return rows, stored(equal.select("x1", "x2", "doc_id", "id").join(label, "id", "left")
+                        .select("x1", "x2", "doc_id", F.coalesce("class", "id").alias("class")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id of every row of ``docs``."""
+    rows, named = _named_classes(docs)
+    least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    named = named.join(least, "class").select("x1", "x2", "class_id")
     return rows.select("doc_id", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "class_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each class only the document with the least id, once; rows without id go."""
-    keep = classes(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id")
+    """Pipeline form: of each class only one row, that of the least doc_id and then the least text name; classes
+    without any doc_id go."""
+    rows, named = _named_classes(docs.select("doc_id", "text"))
+    keep = (named.where("doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "x1", "x2")).alias("k")).select("k.*"))
+
+    @F.arrow_udf("struct<x1:bigint,x2:bigint>")
+    def name(texts: pa.Array) -> pa.Array:
+        names = [text_names(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)], ["x1", "x2"])
+
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = rows.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = (found.withColumn("name", name("row.text")).select("row", "doc_id", "name.x1", "name.x2")
+            .join(keep, ["doc_id", "x1", "x2"], "left_semi").dropDuplicates(["doc_id", "x1", "x2"]))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -267,6 +267,17 @@ def test_search_goes_on_without_links(spark):
     assert label[9] == label[50] == 9 and len(set(label.values())) == len(label) - 1
 
 
+def test_texts_under_one_id_and_without_id(spark):
+    long = [_text(i) for i in range(6)]
+    rows = [(1, long[0]), (1, long[1]), (1, long[0]), (2, long[1] + " end"), (3, long[2]), (None, long[2] + " end"), (None, long[3]), (None, long[3] + " end"),
+            (9, long[4]), (None, long[5]), (8, long[5] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(map(tuple, weighted_minhash.classes(docs).collect()))
+    assert got == collections.Counter([(1, 1)] * 3 + [(2, 1), (3, 3), (None, 3), (None, None), (None, None), (9, 9), (None, 8), (8, 8)])
+    kept = collections.Counter(map(tuple, weighted_minhash.representatives(docs).collect()))
+    assert kept == collections.Counter([(1, long[0]), (1, long[1]), (3, long[2]), (9, long[4]), (8, long[5] + " end")])
+
+
 def test_shingle_hashes_follow_words():
     a = weighted_minhash.word_hashes(b"one two  three\none")
     assert len(a) == 4 and a[0] == a[3] and len(set(a.tolist())) == 3
