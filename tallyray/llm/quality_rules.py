@@ -103,7 +103,7 @@ def failed_rule(line: bytes, words: list[bytes]) -> str | None:
         if b"!!" in line or b"??" in line:
             if 2 * sum(w.endswith((b"!!", b"??")) for w in words) > n:
                 return "shouting"
-        if line[:200].isupper() and 10 * sum(w.isupper() for w in words) > 7 * n:
+        if 10 * sum(map(bytes.isupper, words)) > 7 * n:
             return "shouting"
         if 10 * sum(map(bytes.__eq__, words, words[1:])) > 3 * n:
             return "repetition"

@@ -154,6 +154,14 @@ def test_quality_rules(docs):
     assert quality_rules.kept_documents(docs).columns == docs.columns
 
 
+def test_shouting_with_lower_case_letters():
+    rule = lambda line: quality_rules.failed_rule(line, line.split())
+    assert rule(b"BUY the BEST DEALS IN TOWN TODAY ONLY") == "shouting"
+    assert rule(b"it began as a calm line " + b"AND THEN IT SHOUTED " * 20) == "shouting"
+    assert rule(b"the NEW plan of the EU and the UN was read today.") is None
+    assert quality_rules.judge("BUY the BEST DEALS IN TOWN TODAY ONLY").n_failed_lines == 1
+
+
 def test_line_dedup(docs):
     rows = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
     assert "shared boilerplate" in rows[8].clean_text
