@@ -10,9 +10,12 @@ are never read):
 
 Scoring a text: the lexicon is a trie, and each distinct word of the text is a
 Levenshtein automaton (all strings within one edit); running the automaton
-down the trie gives the terms the word may stand for.  Every hit is then seen
-in its context window: a hit in quotation marks or after a word of reporting
-is a quotation, any other counts as abuse, and hits close together add up.
+down the trie gives the terms the word may stand for.  Two words with a digit
+or masking sign between them are also tried as one (``id1ot``), unless one of
+them is a term itself.  Every hit, misspelled ones at half their weight, is
+then seen in its context window: a hit in quotation marks or after a word of
+reporting is a quotation, any other counts as abuse, and hits close together
+add up.
 
 Labels, language, source and id of a document are never inputs of its score.
 
@@ -45,8 +48,12 @@ MIN_TERM = 4
 FUZZY_FROM = 5
 SPAN = 40
 THRESHOLD = 0.3
+# The share of its weight that a misspelled hit has.
+FUZZY = 0.5
 
 TOKEN = re.compile(r"[^\W\d_]+")
+# A digit or sign between two letters, as in id1ot.
+MASK = re.compile(r"[\d_*@$#!+.\-](?<=[^\W\d_].)(?=[^\W\d_])")
 QUOTES = "\"“”„«»‹›"
 # Words that introduce what somebody else said.
 REPORTING = {"said", "says", "called", "calls", "wrote", "quoted", "quote", "replied", "term", "word", "slur",
@@ -139,35 +146,53 @@ class Scorer:
         low = text.lower()
         tokens = TOKEN.findall(low)
         near = {w: m for w in set(tokens) if (m := self.near[w])}
-        if not near:
+        masked = self._masked(low)
+        if not near and not masked:
             return [], len(tokens)
-        found, recent = [], []
+        found, recent, past = [], [], 0
         for at, m in enumerate(TOKEN.finditer(low)):
-            w = m.group()
+            w, end = m.group(), m.end()
             recent = [*recent[-3:], w]
-            if w in near:
-                term, edits = near[w]
-                before, after = low[max(0, m.start() - SPAN): m.start()], low[m.end(): m.end() + SPAN]
+            if m.start() < past:  # the second half of a masked word
+                continue
+            hit = near.get(w)
+            if m.start() in masked and not (hit and hit[1] == 0):
+                end, hit = masked[m.start()]
+                past = end
+            if hit:
+                term, edits = hit
+                before, after = low[max(0, m.start() - SPAN): m.start()], low[end: end + SPAN]
                 marked = sum(map(before.count, QUOTES)) % 2 == 1 and any(q in after for q in QUOTES)
                 found.append(Hit(at, self.trie.weights[term], edits > 0, marked or any(r in REPORTING for r in recent[:-1]), term))
         return found, len(tokens)
 
+    def _masked(self, low: str) -> dict[int, tuple[int, tuple[str, int]]]:
+        """By the start of a word that goes on after a masking sign: its end, and the term it stands for."""
+        found = {}
+        for m in MASK.finditer(low):
+            start, end = m.start(), TOKEN.match(low, m.end()).end()
+            while start and low[start - 1].isalnum() and not low[start - 1].isdecimal():
+                start -= 1
+            if low[m.end(): end] not in self.trie.weights and (hit := self.near[low[start: end]]):
+                found[start] = end, hit
+        return found
+
     def figures(self, text: str) -> list[float]:
         hits, n = self.hits(text)
         if not hits:
             return [0.0] * len(FIGURES)
-        plain = [h for h in hits if not h.fuzzy]
+        hits = [h._replace(weight=h.weight * FUZZY) if h.fuzzy else h for h in hits]
         window, start, total = 0.0, 0, 0.0
-        for h in plain:  # the heaviest run of plain hits within SPAN words; quotations weigh a quarter
+        for h in hits:  # the heaviest run of hits within SPAN words; quotations weigh a quarter
             total += h.weight / (4 if h.quoted else 1)
-            while h.at - plain[start].at > SPAN:
-                total -= plain[start].weight / (4 if plain[start].quoted else 1)
+            while h.at - hits[start].at > SPAN:
+                total -= hits[start].weight / (4 if hits[start].quoted else 1)
                 start += 1
             window = max(window, total)
-        return [math.log1p(sum(h.weight for h in plain if not h.quoted)), math.log1p(sum(h.weight for h in plain if h.quoted)),
-                math.log1p(sum(h.weight for h in hits if h.fuzzy)), math.log1p(window),
-                math.log1p(100 * len(plain) / n), math.log1p(len({h.term for h in plain})),
-                max((h.weight for h in plain if not h.quoted), default=0.0)]
+        return [math.log1p(sum(h.weight for h in hits if not h.quoted)), math.log1p(sum(h.weight for h in hits if h.quoted)),
+                math.log1p(sum(h.weight for h in hits if h.fuzzy and not h.quoted)), math.log1p(window),
+                math.log1p(100 * sum(FUZZY if h.fuzzy else 1 for h in hits) / n), math.log1p(len({h.term for h in hits})),
+                max((h.weight for h in hits if not h.quoted), default=0.0)]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.figures(t) for t in texts], float).reshape(-1, len(FIGURES))

@@ -330,6 +330,19 @@ def test_trie_and_automaton():
             assert trie.near(w) == ((w, 0) if w in terms else (max(near, key=lambda t: (terms[t], t)), 1) if near else None)
 
 
+def test_misspelled_hits_have_a_context():
+    scorer = toxicity.Scorer({"idiot": 2.0, "moron": 1.5}, None)
+    figures = lambda t: dict(zip(toxicity.FIGURES, scorer.figures(t)))
+    open_, quoted, plain = figures("you idiat, you morxn"), figures('you "idiat", you "morxn"'), figures("you idiot, you moron")
+    assert quoted["abuse"] == 0 < open_["abuse"] < plain["abuse"] and 0 < quoted["quoted"]
+    assert quoted["window"] < open_["window"] < plain["window"] and 0 < open_["density"] < plain["density"]
+    terms = lambda t: [(h.term, h.fuzzy) for h in scorer.hits(t)[0]]
+    for w in ("id1ot", "id*ot", "idi-ot", "You.Id!ot", "m0ron"):
+        assert terms(f"such an {w} here") == [("moron" if "m0" in w else "idiot", True)]
+    assert terms("idiot_moron idiot2x 3idiot id-card a1b") == [("idiot", False), ("moron", False), ("idiot", False), ("idiot", False)]
+    assert [h.quoted for h in scorer.hits('an "id1ot" and an id1ot')[0]] == [True, False]
+
+
 def test_classifiers_on_held_out_rows(spark):
     from tallyray.llm.common import table
     sf = "/root/testdata/sf0.01"
