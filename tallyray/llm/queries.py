@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts, topk_search, toxicity,
-               weighted_minhash)
+from . import (bpe, lexical_search, line_dedup, merkle, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts,
+               topk_search, toxicity, weighted_minhash)
 from .common import table
 
 
@@ -61,8 +61,72 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_toxicity, op4_token_counts, op5_topk, op6_quality_rules,
-                                   op7_mixing, op8_quality_classifier, op9_line_dedup, op10_minhash)}
+                                   op7_mixing, op8_quality_classifier, op9_line_dedup, op10_minhash, op11_ngram_join,
+                                   op12_lexical_search, op13_merkle)}
+
+
+
+def merkle_sql(row_levels: int, source_levels: int) -> str:
+    """The manifest level by level, for at most 16 ** row_levels rows a source and 16 ** source_levels sources."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def level(name: str, k: int) -> list[str]:
+        run = "PARTITION BY grp, i // 16 ORDER BY i ROWS BETWEEN"
+        return [f"""{name}s{k} AS (
+  SELECT grp, i, node, count(*) OVER (PARTITION BY grp) AS n,
+         coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k})""", f"""{name}{k + 1} AS (
+  SELECT grp, i // 16 AS i, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE min(node) END AS node
+  FROM {name}s{k} GROUP BY grp, i // 16, n)"""]
+
+    steps = [x for k in range(row_levels) for x in level("a", k)]
+    steps.append(f"b0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS i, grp AS source, node FROM a{row_levels})")
+    steps += [x for k in range(source_levels) for x in level("b", k)]
+    levels = [f"a{k}" for k in range(row_levels)] + [f"b{k}" for k in range(source_levels)]
+    fold = "coalesce(x.tampered, x.leaf)"
+    for v in levels:
+        fold = f"CASE WHEN {v}.n > 1 THEN sha256({v}.l || {fold} || {v}.r) ELSE {fold} END"
+    joins = [f"JOIN as{k} a{k} ON a{k}.grp = x.grp AND a{k}.i = x.i // {16 ** k}" for k in range(row_levels)]
+    joins.append("JOIN b0 top ON top.source = x.grp")
+    joins += [f"JOIN bs{k} b{k} ON b{k}.i = top.i // {16 ** k}" for k in range(source_levels)]
+    proof = " || ".join(f"{v}.l || {v}.r" for v in levels)
+    crc = """list_reduce([4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+      FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda s, v: CASE WHEN v >= 0 THEN xor(s, v) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)"""
+    return f"""
+WITH h AS (
+  SELECT doc_id, coalesce('s' || source, '') AS grp, {leaf("text")} AS leaf,
+         CASE WHEN xor({crc}, 4294967295::BIGINT) % 5 = 0
+              THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM h),
+a0 AS (SELECT grp, i, leaf AS node FROM x),
+{(", " + chr(10)).join(steps)},
+f AS (
+  SELECT x.doc_id, x.leaf, top.node AS subroot, b{source_levels}.node AS root, sha256({proof}) AS proof_sha256, {fold} AS folded_root
+  FROM x {" ".join(joins)} JOIN b{source_levels} ON b{source_levels}.i = 0)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 
 SQL = {
     "op5_topk": """
@@ -101,4 +165,28 @@ FROM documents d LEFT JOIN (
          string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS clean_text
   FROM m GROUP BY doc_id) x USING (doc_id)
 """,
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM documents),
+c AS (SELECT count(DISTINCT row) AS nn, count(*) AS ll FROM d),
+l AS (SELECT row, count(*) AS n FROM d GROUP BY row),
+t AS (SELECT row, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, nn),
+q AS (
+  SELECT DISTINCT item, item_id, term FROM (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+    FROM benchmark)),
+s AS (
+  SELECT item, item_id, row, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN l USING (row), c
+  GROUP BY item, item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+""",
+    "op13_merkle": merkle_sql(row_levels=6, source_levels=3),
 }
