@@ -27,6 +27,7 @@ no part.  Empty tables give no rows, other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from .weighted_minhash import merged, mixed, word_hashes
 
 WIDTH = 3
 SHARE = 90  # per cent of the union
-BIN_BITS, SLICE, FAN_IN = 20, 1 << 14, 512
+BIN_BITS, SLICE, FAN_IN = 22, 1 << 16, 512
 LEAST_BITS, MOST_BITS = 256, 8192
 TILE, WEIGHT = 1024, 1 << 20
 FIRST, LATER = 2, 8  # partners of a node in the first and the following rounds
@@ -53,8 +54,8 @@ _U = np.uint64
 
 # -- sets -------------------------------------------------------------------
 
-def grams(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text, ascending; only A-Z are lower-cased."""
+def all_grams(text: str | None) -> np.ndarray:
+    """The shingles of a text in its order; only A-Z are lower-cased."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
     n = len(words)
     if n == 0:
@@ -63,7 +64,12 @@ def grams(text: str | None) -> np.ndarray:
     h = np.full(n - width + 1, width, _U)
     for k in range(width):
         h = h * _U(0xFF51AFD7ED558CCD) + words[k: n - width + 1 + k]
-    return np.unique(mixed(h))
+    return mixed(h)
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text, ascending."""
+    return np.unique(all_grams(text))
 
 
 def set_name(names: np.ndarray) -> tuple[int, int]:
@@ -93,34 +99,39 @@ def parity(names: np.ndarray) -> bytes:
 # -- counts of the whole corpus ----------------------------------------------
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's counts, a byte a bin (255 stands for more: the order stays one order for all)."""
     from pyspark import TaskContext
 
-    total = np.zeros(1 << BIN_BITS, np.int32)
+    total = np.zeros(1 << BIN_BITS, np.uint8)
     for batch in batches:
-        for t in batch.column(0):
-            np.add.at(total, bins(grams(t.as_py())), 1)
-    cuts = [total[i: i + SLICE].astype("<i8").tobytes() for i in range(0, len(total), SLICE)]
+        for k in range(0, batch.num_rows, 256):
+            found, times = np.unique(bins(np.concatenate([all_grams(t.as_py()) for t in batch.column(0).slice(k, 256)])), return_counts=True)
+            total[found] = np.minimum(total[found] + times, 255)
+    cuts = [total[i: i + SLICE].tobytes() for i in range(0, len(total), SLICE)]
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()),
                                       pa.array(cuts, pa.binary())], ["part", "slice", "counts"])
 
 
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLICE, np.int64)
-    for c in pdf.counts:
-        total += np.frombuffer(c, "<i8")
-    return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // FAN_IN], "slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
+def _summer(wide: bool):
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLICE, np.int64)
+        for c in pdf.counts:
+            total += np.frombuffer(c, "<i8" if wide else np.uint8)
+        return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // FAN_IN], "slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
+
+    return add
 
 
 def bin_counts(docs: DataFrame) -> np.ndarray:
-    """How many documents' n-grams fall into each bin, added ``FAN_IN`` tasks at a time."""
+    """How many n-grams fall into each bin, added ``FAN_IN`` tasks at a time."""
     schema = "part long, slice int, counts binary"
     parts = docs.select("text").mapInArrow(_count, schema)
-    for _ in range(2):
-        parts = parts.groupBy("slice", F.expr(f"part div {FAN_IN}")).applyInPandas(_sum, schema)
+    for wide in (False, True):
+        parts = parts.groupBy("slice", F.expr(f"part div {FAN_IN}")).applyInPandas(_summer(wide), schema)
     total = np.zeros(1 << BIN_BITS, np.int64)
     for r in parts.select("slice", "counts").collect():  # 64 rows for each 262,144 tasks
         total[r["slice"] * SLICE: (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], "<i8")
-    return total
+    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
 
 
 # -- nodes and blocks --------------------------------------------------------
@@ -142,12 +153,20 @@ def named(docs: DataFrame, counts) -> DataFrame:
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
-    """(key, id) of the columns with two or more nodes, one of those with equal members, with m and weight of the block."""
+    """(key, id, n, parts) of the blocks with two or more nodes, one of those with equal members.
+
+    A block is a column within two neighbouring bands of sizes: sets of linked documents are at most one band apart.
+    """
     rows = nodes.select("id", "n", F.explode("prefix").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    band = F.floor(F.log("n") / F.lit(math.log(100 / SHARE) * (1 + 1e-9)))
+    rows = stored_narrow(rows.join(shared, "key").withColumn("band", F.explode(F.array(band, band + 1)))
+                         .select(F.xxhash64("key", "band").alias("key"), "id", "n"))
     part = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 16))
     columns = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), part(1).alias("s1"), part(2).alias("s2")).where("m > 1")
     one = columns.groupBy("m", "weight", "s1", "s2").agg(F.min("key").alias("key")).select("key", "m", "weight")
-    return stored_narrow(rows.select("key", "id").join(one, "key"))
+    parts = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("weight") / WEIGHT))
+    return stored_narrow(rows.join(one, "key").select("key", "id", "n", parts.alias("parts")))
 
 
 def sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,22 +190,21 @@ def sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def tiles(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(key, tile, id, class, part, seek) of the tiles with pairs left to compare.
+    """(key, tile, id, n, class, part, seek) of the tiles with pairs left to compare.
 
     Without labels: the first round, in which each part of a block meets itself.  With labels all nodes of a block
     that are not of its largest class seek, and a part with a seeker meets every part.
     """
-    parts = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("weight") / WEIGHT))
-    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")))
+    rows = members.withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")))
     if label is None:
-        return rows.select("key", F.col("part").alias("tile"), "id", F.col("id").alias("class"), "part", F.lit(True).alias("seek"))
+        return rows.select("key", F.col("part").alias("tile"), "id", "n", F.col("id").alias("class"), "part", F.lit(True).alias("seek"))
     rows = rows.join(label, "id")
     tops = rows.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("m"))
     left = rows.join(tops.where("top.c < m").select("key", F.col("top.class").alias("top")), "key").withColumn("seek", F.expr("class <> top"))
     active = left.groupBy("key").agg(F.collect_set(F.when(F.col("seek"), F.col("part"))).alias("active"))
     others = F.when(F.array_contains("active", F.col("part")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.col("active"))
     return left.join(active, "key").withColumn("other", F.explode(others)).select(
-        "key", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("tile"), "id", "class", "part", "seek")
+        "key", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("tile"), "id", "n", "class", "part", "seek")
 
 
 # -- products ----------------------------------------------------------------
@@ -203,11 +221,13 @@ def _rows(bits: list[bytes], width: int) -> np.ndarray:
 
 
 def close_pairs(n: np.ndarray, bits: list[bytes], group: np.ndarray, part: np.ndarray, seek: np.ndarray, ids: np.ndarray,
-                most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different classes that their sizes and folded rows allow: of every seeker the ``most`` closest, or all."""
+                most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of pairs of different classes that their sizes and folded rows allow: of every seeker the ``most`` closest,
+    or all; and whether any were left out."""
     across = len(np.unique(part)) > 1  # pairs inside a part are compared in the part's own tile
     widths = np.array([len(b) for b in bits])
     found: list[np.ndarray] = []
+    cut = False
     for w in np.unique(widths):
         mine, near = np.flatnonzero((widths == w) & seek), np.flatnonzero((widths == w) | (widths == 2 * w) | (widths == w // 2))
         for own, least in ((near[widths[near] >= w], w), (near[widths[near] < w], w // 2)):
@@ -227,7 +247,8 @@ def close_pairs(n: np.ndarray, bits: list[bytes], group: np.ndarray, part: np.nd
                 fits &= group[x, None] != group[None, own]
                 if across:
                     fits &= part[x, None] != part[None, own]
-                if most is not None and most < len(own):
+                if most is not None and (fits.sum(1) > most).any():
+                    cut = True
                     turn = (mixed(ids[x, None].astype(_U) ^ mixed(ids[None, own].astype(_U))) >> _U(50)).astype(np.int64)
                     rank = np.where(fits, apart * (1 << 14) + turn, np.iinfo(np.int64).max)
                     order = np.argpartition(rank, most - 1, 1)[:, :most]
@@ -240,7 +261,7 @@ def close_pairs(n: np.ndarray, bits: list[bytes], group: np.ndarray, part: np.nd
                 found.append(np.column_stack([x[i], own[j]]))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     pairs = np.unique(np.sort(pairs, 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], cut
 
 
 def overlapping(sets_of: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,18 +295,19 @@ def overlapping(sets_of: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
 
 
 def candidates(rows: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
-    """(key, tile, a, b): each pair in one tile that found it."""
+    """(key, tile, a, b, cut): each pair in one tile that found it, and whether a tile that found it left some out."""
 
     def search(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
-        a, b = close_pairs(table["n"].to_numpy(), table["bits"].to_pylist(), table["class"].to_numpy(), table["part"].to_numpy(),
+        a, b, cut = close_pairs(table["n"].to_numpy(), table["bits"].to_pylist(), table["class"].to_numpy(), table["part"].to_numpy(),
                            table["seek"].to_numpy(zero_copy_only=False), ids, most)
         low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         return pa.table({"key": pa.array(np.full(len(a), table["key"][0].as_py())), "tile": pa.array(np.full(len(a), table["tile"][0].as_py())),
-                         "a": pa.array(low), "b": pa.array(high)})
+                         "a": pa.array(low), "b": pa.array(high), "cut": pa.array(np.full(len(a), cut))})
 
-    found = rows.join(nodes.select("id", "n", "bits"), "id").groupBy("key", "tile").applyInArrow(search, "key long, tile long, a long, b long")
-    return stored_narrow(found.groupBy("a", "b").agg(F.min(F.struct("key", "tile")).alias("at")).select("at.key", "at.tile", "a", "b"))
+    found = rows.join(nodes.select("id", "bits"), "id").groupBy("key", "tile").applyInArrow(search, "key long, tile long, a long, b long, cut boolean")
+    return stored_narrow(found.groupBy("a", "b").agg(F.min(F.struct("key", "tile")).alias("at"), F.max("cut").alias("cut"))
+                         .select("at.key", "at.tile", "a", "b", "cut"))
 
 
 def links(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
@@ -308,19 +330,24 @@ def links(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
 def node_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, class) of the nodes that share a column with another."""
     members = blocks(nodes)
-    ids = stored_narrow(members.select("id").distinct())
-    sets_of = sets(docs, nodes, ids)
-    rows = stored(nodes.join(ids, "id", "left_semi").select("id", "n", "bits"))
-    label = ids.select("id", F.col("id").alias("class"))
-    first, whole = True, False
+    label = stored_narrow(members.select("id", F.col("id").alias("class")).distinct())
+    rows = stored(nodes.join(label, "id", "left_semi").select("id", "bits"))
+    sets_of, first, whole = None, True, False
     while True:
         pairs = candidates(tiles(members, None if first else label), rows, FIRST if first else None if whole else LATER)
-        tested = pairs.count()
-        found = links(pairs, sets_of) if tested else None
-        linked = found.count() if tested else 0
+        tested, linked = pairs.count(), 0
+        if tested:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            new = stored_narrow(ends if sets_of is None else ends.join(sets_of, "id", "left_anti"))
+            if not new.isEmpty():
+                more = sets(docs, nodes, new)
+                sets_of = more if sets_of is None else sets_of.unionByName(more)
+            found = links(pairs, sets_of)
+            linked = found.count()
         if linked:
             label = merged(label, found)
-        if whole or not (tested or first):  # no pair that its bounds allow is left between two classes of a block
+        # Done when every pair that its bounds allow, of two classes of a block, was tested.
+        if whole or (pairs.where("cut").isEmpty() and not (first and not members.where("parts > 1").isEmpty())):
             return label
         whole, first = not first and linked * RARE < tested, False
 

@@ -89,7 +89,7 @@ def test_bounds_lose_no_link():
             link = 100 * both >= 90 * (len(a) + len(b) - both)
             assert ngram_join.overlapping([a, b], np.array([0]), np.array([1]))[0] == link
             counts = rng.integers(0, 5, 1 << ngram_join.BIN_BITS)
-            i, _ = ngram_join.close_pairs(np.array([len(a), len(b)]), [ngram_join.parity(a), ngram_join.parity(b)], np.array([0, 1]),
+            i, _, _ = ngram_join.close_pairs(np.array([len(a), len(b)]), [ngram_join.parity(a), ngram_join.parity(b)], np.array([0, 1]),
                                           np.array([0, 0]), np.array([True, False]), np.array([4, 9]), None)
             if link:
                 assert len(i) == 1 and len(np.intersect1d(ngram_join.prefix(a, counts), ngram_join.prefix(b, counts)))
