@@ -295,7 +295,7 @@ def overlapping(sets_of: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
 
 
 def candidates(rows: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
-    """(key, tile, a, b, cut): each pair in one tile that found it, and whether a tile that found it left some out."""
+    """(key, tile, a, b, cut): pairs of a tile, and whether it left some out."""
 
     def search(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
@@ -306,8 +306,7 @@ def candidates(rows: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame
                          "a": pa.array(low), "b": pa.array(high), "cut": pa.array(np.full(len(a), cut))})
 
     found = rows.join(nodes.select("id", "bits"), "id").groupBy("key", "tile").applyInArrow(search, "key long, tile long, a long, b long, cut boolean")
-    return stored_narrow(found.groupBy("a", "b").agg(F.min(F.struct("key", "tile")).alias("at"), F.max("cut").alias("cut"))
-                         .select("at.key", "at.tile", "a", "b", "cut"))
+    return stored_narrow(found)
 
 
 def links(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
@@ -334,7 +333,9 @@ def node_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = stored(nodes.join(label, "id", "left_semi").select("id", "bits"))
     sets_of, first, whole = None, True, False
     while True:
-        pairs = candidates(tiles(members, None if first else label), rows, FIRST if first else None if whole else LATER)
+        found = candidates(tiles(members, None if first else label), rows, FIRST if first else None if whole else LATER)
+        pairs = found.groupBy("a", "b").agg(F.min(F.struct("key", "tile")).alias("at")).select("at.key", "at.tile", "a", "b")
+        pairs = stored_narrow(pairs)  # each pair in one of the tiles that found it
         tested, linked = pairs.count(), 0
         if tested:
             ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -342,13 +343,16 @@ def node_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             if not new.isEmpty():
                 more = sets(docs, nodes, new)
                 sets_of = more if sets_of is None else sets_of.unionByName(more)
-            found = links(pairs, sets_of)
-            linked = found.count()
+            close = links(pairs, sets_of)
+            linked = close.count()
         if linked:
-            label = merged(label, found)
-        # Done when every pair that its bounds allow, of two classes of a block, was tested.
-        if whole or (pairs.where("cut").isEmpty() and not (first and not members.where("parts > 1").isEmpty())):
+            label = merged(label, close)
+        # A block is done when all its parts have met and no tile left a pair of two classes out.
+        left = found.where("cut").select("key")
+        left = left.union(members.where("parts > 1").select("key")) if first else left
+        if whole or left.isEmpty():
             return label
+        members = stored_narrow(members.join(left.distinct(), "key", "left_semi"))
         whole, first = not first and linked * RARE < tested, False
 
 
