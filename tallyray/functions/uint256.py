@@ -19,12 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import D38, dlit, is_word
+from .words import dlit, is_word
 
 DIGITS = 27
 BASE = 10 ** DIGITS
 STEP = 10 ** 9
 MAX = 2 ** 256 - 1
+D38 = "decimal(38,0)"  # as text: one driver call a cast
 LIMBS = "struct<h:decimal(38,0),m:decimal(38,0),l:decimal(38,0)>"
 
 
@@ -47,7 +48,7 @@ def limbs(h, m, l) -> Column:
 
 
 def constant(n: int) -> Column:
-    return limbs(*[dlit(x) for x in split(n)])
+    return F.expr("named_struct(" + ", ".join(f"'{k}', CAST('{x}' AS DECIMAL(38, 0))" for k, x in zip("hml", split(n))) + ")")
 
 
 def carried(h: Column, m: Column, l: Column) -> Column:

@@ -5,12 +5,11 @@ consecutive 32-byte words of ``data`` (hex text with a ``0x`` prefix).  Spark's
 ``conv`` works on unsigned 64-bit values, so a uint256 word is read as 16-digit
 limbs: ``hi * 2^64 + lo`` is exact in ``decimal(38,0)`` whenever the upper 128
 bits are zero and ``hi < 2^62`` (the "fast path").  Anything wider yields null
-on the fast path and is handled by :func:`wide_uint_text`.
+on the fast path; :func:`tallyray.functions.uint256.of_word` reads it exactly.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +27,7 @@ def _c(x) -> Column:
 
 def dlit(n: int, precision: int = 38) -> Column:
     """An exact integer literal of any size up to 38 digits as decimal(p,0)."""
-    return F.lit(str(int(n))).cast(T.DecimalType(precision, 0))
+    return F.expr(f"CAST('{int(n)}' AS DECIMAL({precision}, 0))")
 
 
 def hex_body(x) -> Column:
@@ -122,16 +121,3 @@ def string_from_words(data, offset_word_index: int) -> Column:
                     F.conv(F.substring(len_word, 49, 16), 16, 10).cast("int"))
     text = body.substr(start + F.lit(64), length * 2)
     return F.when(F.length(text) == length * 2, F.decode(F.unhex(text), "UTF-8"))
-
-
-@F.pandas_udf(T.StringType())
-def wide_uint_text(words: pd.Series) -> pd.Series:
-    """Exact decimal text of any uint256 word (the wide path; Arrow batches)."""
-    def conv(w):
-        if w is None:
-            return None
-        try:
-            return str(int(w, 16))
-        except ValueError:
-            return None
-    return words.map(conv)

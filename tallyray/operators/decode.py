@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import uint256
 from ..functions.topics import EVENTS, FAMILY, TOPIC
-from ..functions.words import (D38, data_word, hex_body, string_from_words,
+from ..functions.words import (D38, data_word, hex_body, is_word, string_from_words,
                                topic_word, word_fits_fast, word_to_address, word_to_bool,
                                word_to_long, word_to_uint)
 
@@ -186,14 +187,38 @@ def _decode_columns(names: list[str]) -> tuple[list[Column], Column]:
     for loc, typ in _needed(names):
         users = [n for n in names if any(l2 == loc and t2 == typ for _, l2, t2 in SPECS[n])]
         need = ev.isin(*users)
-        ok = ok & (~need | F.col(_vcol(loc, typ)).isNotNull())
+        found = F.col(_vcol(loc, typ)).isNotNull()
+        if typ == "uint":  # amounts of token events may be wide: see _exact_amounts
+            found = found | (ev.isin(*AMOUNT_EVENTS) & is_word(F.col(f"__w_{loc}")))
+        ok = ok & (~need | found)
     ok = ev.isin(*names) & F.coalesce(ok, F.lit(False))
     return cols, ok
 
 
+AMOUNT_EVENTS = ("Mint", "Burn", "BalanceTransfer")
+
+
+def _exact_amounts() -> Column:
+    """The amounts of a token event as limbs when one of its words is beyond the 38-digit path, else null."""
+    ev = F.col("event")
+    w0, w1, w2 = (F.col(f"__w_w{k}") for k in range(3))
+    transfer = ev == "BalanceTransfer"
+    value, v1, v2 = (F.col(_vcol(f"w{k}", "uint")) for k in range(3))
+    wide = value.isNull() | v1.isNull() | (~transfer & v2.isNull())
+    none = F.lit(None).cast(uint256.LIMBS)
+    exact = F.struct(uint256.of_word(w0).alias("value"),
+                     F.when(transfer, none).otherwise(uint256.of_word(w1)).alias("balance_increase"),
+                     uint256.of_word(F.when(transfer, w1).otherwise(w2)).alias("idx"))
+    return F.when(ev.isin(*AMOUNT_EVENTS) & wide, exact)
+
+
 def decode_logs(logs: DataFrame, events: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Decode the given event types; rows that fail are dropped here and
-    reported by :func:`decode_rejects`."""
+    reported by :func:`decode_rejects`.
+
+    Token events also carry ``exact``: their amounts as limbs where one does
+    not fit the 38-digit columns (which are null there), else null.
+    """
     routed = route_events(logs).where(F.col("event").isin(*events))
     prepared = _with_values(routed, events)
     cols, ok = _decode_columns(events)
@@ -206,6 +231,8 @@ def decode_logs(logs: DataFrame, events: list[str], keep: tuple[str, ...] = ())
         ~strict | (F.col("block_number").isNotNull() & F.col("log_index").isNotNull()))
     base = ["address", F.coalesce("block_number", F.lit(0).cast("bigint")).alias("block_number"),
             F.coalesce("log_index", F.lit(0).cast("bigint")).alias("log_index"), "tx_hash", "event"]
+    if all(e in events for e in AMOUNT_EVENTS):
+        cols = [*cols, _exact_amounts().alias("exact")]
     return prepared.where(ok & has_pos).select(*base, *cols, *keep)
 
 

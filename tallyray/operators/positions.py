@@ -23,6 +23,14 @@ Set form (one big shuffle on ``(user, asset, block bucket)``):
 
 A hot pair (a pool or treasury account) is therefore spread over its block
 buckets instead of landing in a single task.
+
+Amounts: a leg whose delta stays below 10^27 is *narrow*, one decimal(38,0);
+10^11 of them sum without overflow.  Any other leg is *wide*: its exact delta
+and index travel as limbs (:mod:`tallyray.functions.uint256`) in the ``wide``
+column, null on narrow legs.  A pair with a wide leg is folded by the same plan
+over limb sums, all others over single decimals; both come from one pass over
+the legs.  An amount without a quotient (index zero, or beyond 256 bits) has a
+``fault`` and goes to :func:`ledger_rejects`.
 """
 
 from __future__ import annotations
@@ -31,32 +39,161 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import uint256 as u256
 from ..functions.raymath import burn_delta, mint_delta
-from ..functions.words import D38
+from ..functions.words import D38, dlit
 from ..session import reliable_checkpoint
 from .order import ord_block, ord_log, ordkey
 
 KEY = ["user_address", "asset_address"]
 DEFAULT_BUCKET_BLOCKS = 10_000
 
+NARROW = 10 ** 27
+CALM = 10 ** 36  # operands below this never overflow 38 digits
+
 LEG_FIELDS = ["user_address", "leg", "d_supply", "d_debt", "s_index", "d_index",
-              "is_up", "clear", "toggle", "is_self"]
+              "is_up", "clear", "toggle", "is_self", "wide", "fault"]
+WIDE_FIELDS = ["d_supply", "d_debt", "s_index", "d_index"]
+WIDE = "struct<" + ",".join(f"{c}:{u256.LIMBS}" for c in WIDE_FIELDS) + ">"
+COLLATERAL_EVENTS = ("ReserveUsedAsCollateralEnabled", "ReserveUsedAsCollateralDisabled")
+TOKEN_EVENTS = ("Mint", "Burn", "BalanceTransfer")
+
+
+class Narrow:
+    """Amounts as one decimal(38,0)."""
+
+    @staticmethod
+    def zero() -> Column:
+        return dlit(0)
+
+    @staticmethod
+    def total(*terms) -> Column:
+        acc = None
+        for sign, x in terms:
+            acc = (x if sign > 0 else dlit(0) - x) if acc is None else acc + x if sign > 0 else acc - x
+        return acc.cast(D38)
+
+    @staticmethod
+    def summed(x: Column, window=None) -> Column:
+        total = F.sum(x)
+        return F.coalesce(total if window is None else total.over(window), dlit(0)).cast(D38)
+
+    @staticmethod
+    def nonpositive(x) -> Column:
+        return x <= 0
+
+    @staticmethod
+    def of_seed(x) -> Column:
+        return x.try_cast(D38)
+
+
+class Wide:
+    """Amounts as normalised limbs; sums are sums per limb."""
+
+    @staticmethod
+    def zero() -> Column:
+        return u256.constant(0)
 
+    total = staticmethod(u256.total)
 
-def _leg(user, leg, d_s=None, d_d=None, s_idx=None, d_idx=None, is_up=False,
-         clear=None, toggle=None, is_self=False) -> Column:
-    zero = F.lit(0).cast(D38)
+    @staticmethod
+    def summed(x: Column, window=None) -> Column:
+        parts = [F.sum(x[k]) for k in "hml"]
+        return u256.carried(*[F.coalesce(p if window is None else p.over(window), dlit(0)) for p in parts])
+
+    @staticmethod
+    def nonpositive(x) -> Column:
+        return u256.is_negative(x) | u256.is_zero(x)
+
+    @staticmethod
+    def of_seed(x) -> Column:
+        return u256.of_text(x.cast("string"))
+
+
+def _with_deltas(events: DataFrame) -> DataFrame:
+    """Each token event's scaled delta: ``__d`` when narrow, else the limbs ``__w``; ``__iw`` the index as limbs when it
+    or the delta is wide; ``__fault`` when there is no delta.
+
+    ``exact`` (struct of limbs value, balance_increase, idx; null or absent when all fit) comes from the decoder.
+    """
+    ev = F.col("event")
+    v, b, i = F.col("value"), F.col("balance_increase"), F.col("idx")
+    limbs = {c: u256.of_decimal(c) for c in ("value", "balance_increase", "idx")}
+    calm = (F.coalesce(v, dlit(CALM)) < dlit(CALM)) & (F.coalesce(b, dlit(0)) < dlit(CALM))
+    if "exact" in events.columns:
+        limbs = {c: F.coalesce(F.col("exact")[c], x) for c, x in limbs.items()}
+        calm = calm & F.col("exact").isNull()
+    delta = F.when(calm, F.when(ev == "Mint", mint_delta(v, b, i)).when(ev == "Burn", dlit(0) - burn_delta(v, b, i))
+                   .when(ev == "BalanceTransfer", v)).cast(D38)
+    out = events.withColumn("__d0", delta)
+    small = F.coalesce((F.col("__d0") < dlit(NARROW)) & (F.col("__d0") > dlit(-NARROW)), F.lit(False))
+    wide = ev.isin(*TOKEN_EVENTS) & ~small
+    out = out.withColumn("__x", F.when(wide, F.struct(*[x.alias(c) for c, x in limbs.items()])))
+    x = F.col("__x")
+    zero = u256.constant(0)
+
+    def signed(args: Column) -> Column:
+        amount = F.when(ev == "Burn", u256.total((1, args["value"]), (1, args["balance_increase"]))).otherwise(
+            u256.total((1, args["value"]), (-1, args["balance_increase"])))
+
+        def scaled(a: Column) -> Column:
+            down = (ev == "Burn") | u256.is_negative(a)
+            size = u256.magnitude(a)
+            q = u256.let(u256.ray_div(size, args["idx"]), lambda y: F.when(down, u256.total((1, zero), (-1, y))).otherwise(y))
+            return F.struct(q.alias("w"), u256.ray_div_fault(size, args["idx"]).alias("fault"))
+
+        return u256.let(amount, scaled)
+
+    plain = F.struct(x["value"].alias("w"), F.lit(None).cast("string").alias("fault"))
+    got = F.when(x.isNotNull(), F.when(ev == "BalanceTransfer", plain).otherwise(u256.let(x, signed)))
+    out = out.withColumn("__y", got)
+    return out.select(*events.columns, F.when(x.isNull(), F.col("__d0")).alias("__d"), F.col("__y")["w"].alias("__w"),
+                      x["idx"].alias("__iw"), F.col("__y")["fault"].alias("__fault"))
+
+
+def _leg(user, leg, side=None, sign=1, idx=False, is_up=False, clear=None, toggle=None, is_self=None) -> Column:
+    """One leg: the event's delta (times ``sign``) on the supply ('s') or debt ('d') side."""
+    d, w = F.col("__d"), F.col("__w")
+    none = F.lit(None).cast(u256.LIMBS)
+    if sign < 0:
+        d, w = dlit(0) - d, F.when(w.isNotNull(), u256.total((1, u256.constant(0)), (-1, w)))
+    own = {"d_supply": side == "s", "d_debt": side == "d", "s_index": side == "s" and idx, "d_index": side == "d" and idx}
+    zero = u256.constant(0)
+    wide = F.struct(*[(w if own[c] else zero).alias(c) for c in ("d_supply", "d_debt")],
+                    *[(F.col("__iw") if own[c] else none).alias(c) for c in ("s_index", "d_index")])
     return F.struct(
         user.alias("user_address"), F.lit(leg).alias("leg"),
-        (d_s if d_s is not None else zero).cast(D38).alias("d_supply"),
-        (d_d if d_d is not None else zero).cast(D38).alias("d_debt"),
-        (s_idx if s_idx is not None else F.lit(None)).cast(D38).alias("s_index"),
-        (d_idx if d_idx is not None else F.lit(None)).cast(D38).alias("d_index"),
+        *[(F.coalesce(d, dlit(0)) if own[c] else dlit(0)).cast(D38).alias(c) for c in ("d_supply", "d_debt")],
+        *[(F.col("idx") if own[c] else F.lit(None)).cast(D38).alias(c) for c in ("s_index", "d_index")],
         (is_up if isinstance(is_up, Column) else F.lit(is_up)).alias("is_up"),
-        (F.lit(clear) if clear is None or isinstance(clear, str) else clear).cast("string").alias("clear"),
+        F.lit(clear).cast("string").alias("clear"),
         (toggle if toggle is not None else F.lit(None)).cast("boolean").alias("toggle"),
-        (is_self if isinstance(is_self, Column) else F.lit(is_self)).alias("is_self"),
-    )
+        (is_self if is_self is not None else F.lit(False)).alias("is_self"),
+        (F.when(w.isNotNull(), wide) if side else F.lit(None)).cast(WIDE).alias("wide"),
+        (F.col("__fault") if side else F.lit(None)).cast("string").alias("fault"))
+
+
+def _exploded(events: DataFrame, asset: Column) -> DataFrame:
+    """Events with ``token_type`` (null on collateral toggles) -> their legs."""
+    e = _with_deltas(events)
+    ev, tt = F.col("event"), F.col("token_type")
+    frm, to = F.col("from_address"), F.col("to_address")
+    is_a, is_d = tt == "atoken", tt == "vdebt"
+    up = F.when(F.col("value").isNotNull() & F.col("balance_increase").isNotNull(), F.col("value") >= F.col("balance_increase"))
+    if "exact" in events.columns:
+        x = F.col("exact")
+        up = F.coalesce(F.when(x.isNotNull(), x["value"] >= x["balance_increase"]), up)
+    up = F.coalesce(up, F.lit(False))
+    legs = (F.when(ev.isin(*COLLATERAL_EVENTS), F.array(_leg(F.col("user_address"), 0, toggle=ev == COLLATERAL_EVENTS[0])))
+            .when(is_a & (ev == "Mint"), F.array(_leg(to, 0, "s", idx=True, is_up=up)))
+            .when(is_a & (ev == "Burn"), F.array(_leg(frm, 0, "s", idx=True, clear="S")))
+            .when(is_a & (ev == "BalanceTransfer"), F.array(
+                _leg(frm, 0, "s", sign=-1, clear="S"), _leg(to, 1, "s", idx=True, is_up=True, is_self=(frm == to))))
+            .when(is_d & (ev == "Mint"), F.array(_leg(to, 0, "d", idx=True, is_up=up)))
+            .when(is_d & (ev == "Burn"), F.array(_leg(frm, 0, "d", idx=True, clear="D"))))
+    out = e.select(asset.alias("asset_address"), "block_number", "log_index", "tx_hash", F.explode(legs).alias("__l"))
+    return out.select(F.col("__l").getField("user_address").alias("user_address"), "asset_address", "block_number",
+                      "log_index", "tx_hash", *[F.col("__l").getField(c).alias(c) for c in LEG_FIELDS if c != "user_address"])
 
 
 def position_legs(token_events: DataFrame, collateral_events: DataFrame | None = None) -> DataFrame:
@@ -65,39 +202,13 @@ def position_legs(token_events: DataFrame, collateral_events: DataFrame | None =
     ``token_events`` carry ``asset_address`` and ``token_type`` from
     :func:`tallyray.operators.joins.resolve_token`.  Output columns:
     user_address, asset_address, block_number, log_index, tx_hash, leg,
-    d_supply, d_debt, s_index, d_index, is_up, clear, toggle, is_self.
-    A null delta marks an amount outside the exact ray-division domain.
+    d_supply, d_debt, s_index, d_index, is_up, clear, toggle, is_self, wide, fault.
     """
-    e = token_events
-    ev, tt = F.col("event"), F.col("token_type")
-    v, b, i = F.col("value"), F.col("balance_increase"), F.col("idx")
-    frm, to = F.col("from_address"), F.col("to_address")
-    is_a, is_d = tt == "atoken", tt == "vdebt"
-    up = v >= b
-    mint = mint_delta(v, b, i)
-    burn = -burn_delta(v, b, i)
-    legs = (F.when(is_a & (ev == "Mint"), F.array(_leg(to, 0, d_s=mint, s_idx=i, is_up=up)))
-            .when(is_a & (ev == "Burn"), F.array(_leg(frm, 0, d_s=burn, s_idx=i, clear="S")))
-            .when(is_a & (ev == "BalanceTransfer"), F.array(
-                _leg(frm, 0, d_s=-v, clear="S"),
-                _leg(to, 1, d_s=v, s_idx=i, is_up=True, is_self=(frm == to))))
-            .when(is_d & (ev == "Mint"), F.array(_leg(to, 0, d_d=mint, d_idx=i, is_up=up)))
-            .when(is_d & (ev == "Burn"), F.array(_leg(frm, 0, d_d=burn, d_idx=i, clear="D"))))
-    out = e.select("asset_address", "block_number", "log_index", "tx_hash",
-                   F.explode(legs).alias("__l"))
-    out = out.select("asset_address", "block_number", "log_index", "tx_hash",
-                     *[F.col("__l").getField(c).alias(c) for c in LEG_FIELDS])
+    out = _exploded(token_events.withColumn("user_address", F.lit(None).cast("string")), F.col("asset_address"))
     if collateral_events is not None:
-        c = collateral_events.select(
-            F.col("reserve").alias("asset_address"), "block_number", "log_index", "tx_hash",
-            F.explode(F.array(_leg(F.col("user_address"), 0,
-                                   toggle=F.col("event") == "ReserveUsedAsCollateralEnabled")))
-            .alias("__l"))
-        c = c.select("asset_address", "block_number", "log_index", "tx_hash",
-                     *[F.col("__l").getField(c).alias(c) for c in LEG_FIELDS])
-        out = out.unionByName(c)
-    return out.select("user_address", "asset_address", "block_number", "log_index", "tx_hash",
-                      *[c for c in LEG_FIELDS if c != "user_address"])
+        c = collateral_events.withColumn("token_type", F.lit(None).cast("string"))
+        out = out.unionByName(_exploded(c, F.col("reserve")))
+    return out
 
 
 def legs_from_events(events: DataFrame, tmap: DataFrame) -> DataFrame:
@@ -112,30 +223,26 @@ def legs_from_events(events: DataFrame, tmap: DataFrame) -> DataFrame:
     from .joins import dim_join
     t = tmap.withColumnRenamed("token", "__token").withColumnRenamed("asset_address", "__asset")
     j = dim_join(events, t, F.col("address") == F.col("__token"), "left")
-    is_coll = F.col("event").isin("ReserveUsedAsCollateralEnabled", "ReserveUsedAsCollateralDisabled")
-    j = j.where(is_coll | (F.col("event").isin("Mint", "Burn", "BalanceTransfer")
-                          & F.col("token_type").isNotNull()))
-    ev, tt = F.col("event"), F.col("token_type")
-    v, b, i = F.col("value"), F.col("balance_increase"), F.col("idx")
-    frm, to = F.col("from_address"), F.col("to_address")
-    is_a, is_d = tt == "atoken", tt == "vdebt"
-    up = v >= b
-    mint = mint_delta(v, b, i)
-    burn = -burn_delta(v, b, i)
-    legs = (F.when(is_coll, F.array(_leg(F.col("user_address"), 0,
-                                         toggle=ev == "ReserveUsedAsCollateralEnabled")))
-            .when(is_a & (ev == "Mint"), F.array(_leg(to, 0, d_s=mint, s_idx=i, is_up=up)))
-            .when(is_a & (ev == "Burn"), F.array(_leg(frm, 0, d_s=burn, s_idx=i, clear="S")))
-            .when(is_a & (ev == "BalanceTransfer"), F.array(
-                _leg(frm, 0, d_s=-v, clear="S"),
-                _leg(to, 1, d_s=v, s_idx=i, is_up=True, is_self=(frm == to))))
-            .when(is_d & (ev == "Mint"), F.array(_leg(to, 0, d_d=mint, d_idx=i, is_up=up)))
-            .when(is_d & (ev == "Burn"), F.array(_leg(frm, 0, d_d=burn, d_idx=i, clear="D"))))
-    out = j.select(F.when(is_coll, F.col("reserve")).otherwise(F.col("__asset")).alias("asset_address"),
-                   "block_number", "log_index", "tx_hash", F.explode(legs).alias("__l"))
-    return out.select(F.col("__l").getField("user_address").alias("user_address"), "asset_address",
-                      "block_number", "log_index", "tx_hash",
-                      *[F.col("__l").getField(c).alias(c) for c in LEG_FIELDS if c != "user_address"])
+    is_coll = F.col("event").isin(*COLLATERAL_EVENTS)
+    j = j.where(is_coll | (F.col("event").isin(*TOKEN_EVENTS) & F.col("token_type").isNotNull()))
+    return _exploded(j, F.when(is_coll, F.col("reserve")).otherwise(F.col("__asset")))
+
+
+def kept_legs(legs: DataFrame) -> DataFrame:
+    """The legs with an amount; the others are :func:`ledger_rejects`."""
+    return legs.where(F.col("fault").isNull()).drop("fault")
+
+
+def ledger_rejects(legs: DataFrame) -> DataFrame:
+    """Legs whose amount has no quotient, with the reason (``zero_index``, ``overflow``)."""
+    return legs.where(F.col("fault").isNotNull()).select(
+        *KEY, "block_number", "log_index", "tx_hash", "leg", F.col("fault").alias("reason"))
+
+
+def _as_wide(lr: DataFrame) -> DataFrame:
+    """Every leg's amounts as limbs."""
+    own = {c: F.coalesce(F.col("wide")[c], u256.of_decimal(c)) for c in WIDE_FIELDS}
+    return lr.select(*[own[c].alias(c) if c in own else F.col(c) for c in lr.columns])
 
 
 def _stale_pred(stale_before) -> Column:
@@ -145,12 +252,12 @@ def _stale_pred(stale_before) -> Column:
     return (F.col("block_number") < sb) | ((F.col("block_number") == sb) & (F.col("log_index") <= sl))
 
 
-def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int,
-                       seed: DataFrame | None = None) -> DataFrame:
-    zero = F.lit(0).cast(D38)
+def _prepared(legs: DataFrame, stale_before, bucket_blocks: int, seed: DataFrame | None) -> DataFrame:
+    """Legs with their ordkey, bucket and whether they are at or before the seed's cut-off."""
+    wide = F.col("wide") if "wide" in legs.columns else F.lit(None).cast(WIDE)
     base = legs.select(
         *KEY, "block_number", "log_index", "leg", "d_supply", "d_debt", "s_index", "d_index",
-        "is_up", "clear", "toggle", "is_self",
+        "is_up", "clear", "toggle", "is_self", wide.alias("wide"),
         ordkey("block_number", "log_index", "leg").alias("ok"),
         F.floor(F.col("block_number") / bucket_blocks).cast("bigint").alias("bkt"))
     if stale_before == "row":
@@ -161,77 +268,71 @@ def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int,
         cut = seed.join(pairs, KEY, "left_semi").select(
             *KEY, ordkey("last_updated_block", "last_updated_log_index").alias("__cut"))
         l0 = base.join(cut, KEY, "left").repartition(*KEY, "bkt")
-        l0 = l0.withColumn("pre", F.coalesce(
+        return l0.withColumn("pre", F.coalesce(
             ordkey("block_number", "log_index") <= F.col("__cut"), F.lit(False))).drop("__cut")
-    else:
-        l0 = base.withColumn("pre", _stale_pred(stale_before))
-    ds0 = F.when(F.col("is_self"), zero).otherwise(F.col("d_supply"))
-    dd0 = F.col("d_debt")
-    l1 = l0.withColumn("ds0", ds0).withColumn("dd0", dd0)
+    return base.withColumn("pre", _stale_pred(stale_before))
+
+
+def _running(l0: DataFrame, cut: bool, num) -> DataFrame:
+    """Running sums inside (user, asset, bucket), of all legs (ra_*) and of those after the cut-off (rp_*)."""
+    l1 = l0.withColumn("ds0", F.when(F.col("is_self"), num.zero()).otherwise(F.col("d_supply"))).withColumn("dd0", F.col("d_debt"))
     w = (Window.partitionBy(*KEY, "bkt").orderBy("ok")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = l1.select("*", F.sum("ds0").over(w).alias("ra_s"), F.sum("dd0").over(w).alias("ra_d"))
-    if stale_before is None:
+    out = l1.select("*", num.summed(F.col("ds0"), w).alias("ra_s"), num.summed(F.col("dd0"), w).alias("ra_d"))
+    if not cut:
         # no cut-off: the post-snapshot sums equal the plain ones
         return out.withColumn("rp_s", F.col("ra_s")).withColumn("rp_d", F.col("ra_d"))
-    post = lambda c: F.when(F.col("pre"), zero).otherwise(F.col(c))
-    return out.select("*", F.sum(post("ds0")).over(w).alias("rp_s"),
-                      F.sum(post("dd0")).over(w).alias("rp_d"))
+    post = lambda c: F.when(F.col("pre"), num.zero()).otherwise(F.col(c))
+    return out.select("*", num.summed(post("ds0"), w).alias("rp_s"), num.summed(post("dd0"), w).alias("rp_d"))
+
+
+def _legs_with_running(legs: DataFrame, stale_before, bucket_blocks: int, seed: DataFrame | None = None) -> DataFrame:
+    """The windowed legs, amounts as single decimals."""
+    return _running(_prepared(legs, stale_before, bucket_blocks, seed), stale_before is not None, Narrow)
 
 
-def _bucket_info(lr: DataFrame, seed_bal: DataFrame | None, bucket_blocks: int) -> DataFrame:
-    zero = F.lit(0).cast(D38)
+def _bucket_info(lr: DataFrame, seed_bal: DataFrame | None, bucket_blocks: int, num) -> DataFrame:
+    zero = num.zero()
     up_ok = F.when(F.col("is_up"), F.col("ok"))
     ba = lr.groupBy(*KEY, "bkt").agg(
         F.min(up_ok).alias("fu"),
-        F.min_by(F.col("ra_s") - F.col("ds0"), up_ok).alias("fu_before_s"),
-        F.min_by(F.col("ra_d") - F.col("dd0"), up_ok).alias("fu_before_d"),
+        F.min_by(num.total((1, F.col("ra_s")), (-1, F.col("ds0"))), up_ok).alias("fu_before_s"),
+        F.min_by(num.total((1, F.col("ra_d")), (-1, F.col("dd0"))), up_ok).alias("fu_before_d"),
         F.min_by(F.when(F.col("is_self"), F.col("d_supply")).otherwise(zero), up_ok).alias("fu_self_s"),
-        F.sum("ds0").alias("ta_s"), F.sum("dd0").alias("ta_d"),
-        F.sum(F.when(F.col("pre"), zero).otherwise(F.col("ds0"))).alias("tp_s"),
-        F.sum(F.when(F.col("pre"), zero).otherwise(F.col("dd0"))).alias("tp_d"))
+        num.summed(F.col("ds0")).alias("ta_s"), num.summed(F.col("dd0")).alias("ta_d"),
+        num.summed(F.when(F.col("pre"), zero).otherwise(F.col("ds0"))).alias("tp_s"),
+        num.summed(F.when(F.col("pre"), zero).otherwise(F.col("dd0"))).alias("tp_d"),
+        F.max(F.col("wide").isNotNull()).alias("has_wide"))
     if seed_bal is not None:
         ba = ba.join(seed_bal, KEY, "left")
     else:
         ba = ba.select("*", F.lit(None).cast("boolean").alias("seeded"),
                        zero.alias("s0"), zero.alias("d0"))
     ba = ba.withColumn("seeded", F.coalesce(F.col("seeded"), F.lit(False)))
+    if seed_bal is not None:
+        ba = ba.withColumn("has_wide", F.col("has_wide") | F.coalesce("wide_seed", F.lit(False)))
     pair = Window.partitionBy(*KEY)
-    ba = ba.withColumn("creation", F.min("fu").over(pair))
+    ba = ba.withColumn("creation", F.min("fu").over(pair)).withColumn("has_wide", F.max("has_wide").over(pair))
     ba = ba.withColumn("cbkt", F.floor(ord_block("creation") / bucket_blocks).cast("bigint"))
     before = F.col("bkt") < F.col("cbkt")
     at = F.col("bkt") == F.col("cbkt")
-    kept = lambda side: (
-        F.when(F.col("seeded"), F.col(f"tp_{side}"))
-        .when(F.col("creation").isNull() | before, zero)
-        .when(at, F.col(f"ta_{side}") - F.col(f"fu_before_{side}")
-              + (F.col("fu_self_s") if side == "s" else zero))
-        .otherwise(F.col(f"ta_{side}")))
+
+    def kept(side):
+        own = [(1, F.col(f"ta_{side}")), (-1, F.col(f"fu_before_{side}"))] + ([(1, F.col("fu_self_s"))] if side == "s" else [])
+        return (F.when(F.col("seeded"), F.col(f"tp_{side}"))
+                .when(F.col("creation").isNull() | before, zero)
+                .when(at, num.total(*own))
+                .otherwise(F.col(f"ta_{side}")))
+
     prev = pair.orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
     ba = ba.withColumn("kept_s", kept("s")).withColumn("kept_d", kept("d"))
-    ba = ba.withColumn("offset_s", F.coalesce(F.sum("kept_s").over(prev), zero)) \
-           .withColumn("offset_d", F.coalesce(F.sum("kept_d").over(prev), zero))
+    ba = ba.withColumn("offset_s", num.summed(F.col("kept_s"), prev)).withColumn("offset_d", num.summed(F.col("kept_d"), prev))
     return ba.select(*KEY, "bkt", "seeded", "s0", "d0", "creation", "cbkt", "offset_s",
-                     "offset_d", "fu_before_s", "fu_before_d", "fu_self_s")
+                     "offset_d", "fu_before_s", "fu_before_d", "fu_self_s", "has_wide")
 
 
-def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=None,
-                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
-    """Every leg with its fate (kept / stale), running balances after it, and
-    the flag events it produces.  This is the ``running_balance`` history."""
-    zero = F.lit(0).cast(D38)
-    lr = _legs_with_running(legs, stale_before, bucket_blocks, seed)
-    if materialize:
-        # Both the bucket aggregate and the join back consume the windowed legs;
-        # a reliable checkpoint computes them once, keeps their hash
-        # partitioning on (user, asset, bucket) and survives executor loss.
-        lr = reliable_checkpoint(lr)
-    seed_bal = None
-    if seed is not None:
-        seed_bal = seed.select(*KEY, F.lit(True).alias("seeded"),
-                               F.col("scaled_atoken_balance").cast(D38).alias("s0"),
-                               F.col("scaled_variable_debt").cast(D38).alias("d0"))
-    bi = _bucket_info(lr, seed_bal, bucket_blocks)
+def _effects(lr: DataFrame, bi: DataFrame, num) -> DataFrame:
+    zero = num.zero()
     j = lr.join(bi, KEY + ["bkt"], "inner")
     seeded, ok, creation = F.col("seeded"), F.col("ok"), F.col("creation")
     kept = F.when(seeded, ~F.col("pre") & ~F.col("is_self")).otherwise(
@@ -240,36 +341,87 @@ def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=Non
     at = F.col("bkt") == F.col("cbkt")
 
     def run(side):
-        s0 = F.col(f"{side}0")
-        return F.when(seeded, s0 + F.col(f"offset_{side}") + F.col(f"rp_{side}")).otherwise(
-            F.col(f"offset_{side}") + F.when(
-                at, F.col(f"ra_{side}") - F.col(f"fu_before_{side}")
-                + (F.col("fu_self_s") if side == "s" else zero)).otherwise(F.col(f"ra_{side}")))
+        offset, all_ = (1, F.col(f"offset_{side}")), (1, F.col(f"ra_{side}"))
+        own = [offset, all_, (-1, F.col(f"fu_before_{side}"))] + ([(1, F.col("fu_self_s"))] if side == "s" else [])
+        return F.when(seeded, num.total((1, F.col(f"{side}0")), offset, (1, F.col(f"rp_{side}")))) \
+            .when(at, num.total(*own)).otherwise(num.total(offset, all_))
 
     j = j.withColumn("kept", F.coalesce(kept, F.lit(False))) \
          .withColumn("is_creation", F.coalesce(is_creation, F.lit(False))) \
-         .withColumn("run_s", run("s").cast(D38)).withColumn("run_d", run("d").cast(D38))
+         .withColumn("run_s", run("s")).withColumn("run_d", run("d"))
     k = F.col("kept")
     clear = F.col("clear")
+    empty_s, empty_d = num.nonpositive(F.col("run_s")), num.nonpositive(F.col("run_d"))
     coll_ev = (F.when(~k, F.lit(None).cast("boolean"))
                .when(F.col("toggle").isNotNull(), F.col("toggle"))
                .when(F.col("is_creation"), F.lit(False))
-               .when((clear == "S") & (F.col("run_s") <= 0), F.lit(False)))
+               .when((clear == "S") & empty_s, F.lit(False)))
     act_ev = (F.when(~k, F.lit(None).cast("boolean"))
               .when(F.col("is_up"), F.lit(True))
-              .when(clear.isNotNull() & (F.col("run_s") <= 0) & (F.col("run_d") <= 0), F.lit(False)))
+              .when(clear.isNotNull() & empty_s & empty_d, F.lit(False)))
     sidx = F.when(k, F.when(F.col("is_creation"), F.coalesce("s_index", zero)).otherwise(F.col("s_index")))
     didx = F.when(k, F.when(F.col("is_creation"), F.coalesce("d_index", zero)).otherwise(F.col("d_index")))
     stale = seeded & F.col("pre")
     return j.select(
         *KEY, "block_number", "log_index", "leg", "ok", "bkt", "d_supply", "d_debt",
         "kept", "is_creation", "seeded", "creation", "run_s", "run_d",
-        coll_ev.alias("coll_ev"), act_ev.alias("act_ev"),
-        sidx.cast(D38).alias("sidx_ev"), didx.cast(D38).alias("didx_ev"),
+        coll_ev.alias("coll_ev"), act_ev.alias("act_ev"), sidx.alias("sidx_ev"), didx.alias("didx_ev"),
         (stale & (clear == "S")).alias("stale_clear_s"),
         (stale & clear.isNotNull()).alias("stale_clear"))
 
 
+def has(df: DataFrame, condition: Column) -> bool:
+    return not df.where(condition).isEmpty()
+
+
+def _both_effects(legs: DataFrame, seed, stale_before, bucket_blocks: int, materialize: bool) -> list[tuple[type, DataFrame]]:
+    """The effects of the legs of narrow pairs and, when legs can be wide, those of pairs with a wide leg."""
+    l0 = _prepared(legs, stale_before, bucket_blocks, seed)
+    cut = stale_before is not None
+    lr = _running(l0, cut, Narrow)
+    if materialize:
+        # Both the bucket aggregate and the join back consume the windowed legs;
+        # a reliable checkpoint computes them once, keeps their hash
+        # partitioning on (user, asset, bucket) and survives executor loss.
+        lr = reliable_checkpoint(lr)
+
+    def seed_of(num):
+        return None if seed is None else seed.select(
+            *KEY, F.lit(True).alias("seeded"), num.of_seed(F.col("scaled_atoken_balance")).alias("s0"),
+            num.of_seed(F.col("scaled_variable_debt")).alias("d0"), wide_seed().alias("wide_seed"))
+
+    bi = _bucket_info(lr, seed_of(Narrow), bucket_blocks, Narrow)
+    # Wide legs are rare: their part of the plan is built only when there is one (the checkpoint is read up to the first).
+    if not ("wide" in legs.columns and has(lr, F.col("wide").isNotNull())) and not (seed is not None and has(seed, wide_seed())):
+        return [(Narrow, _effects(lr, bi, Narrow))]
+    some = bi.where("has_wide").select(*KEY).distinct()
+    wl = _running(_as_wide(lr.select(*l0.columns).join(some, KEY, "left_semi")), cut, Wide)
+    wi = _bucket_info(wl, seed_of(Wide), bucket_blocks, Wide)
+    return [(Narrow, _effects(lr, bi.where("not has_wide"), Narrow)), (Wide, _effects(wl, wi, Wide))]
+
+
+def _shown(df: DataFrame, num, amounts: list[str]) -> DataFrame:
+    """Amounts as decimal(38,0) (null beyond) plus their exact texts in ``exact`` (null when all are narrow)."""
+    if num is Narrow:
+        return df.withColumn("exact", F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in amounts) + ">"))
+    texts = F.struct(*[u256.text(c).alias(c) for c in amounts])
+    return df.select(*[u256.decimal(c).alias(c) if c in amounts else F.col(c) for c in df.columns], texts.alias("exact"))
+
+
+def leg_effects(legs: DataFrame, seed: DataFrame | None = None, stale_before=None,
+                bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
+    """Every leg with its fate (kept / stale), running balances after it, and
+    the flag events it produces.  This is the ``running_balance`` history.
+
+    With wide legs, ``exact`` holds the exact texts of pairs that have one.
+    """
+    parts = _both_effects(legs, seed, stale_before, bucket_blocks, materialize)
+    if len(parts) == 1:
+        return parts[0][1]
+    shown = [_shown(df, num, ["d_supply", "d_debt", "run_s", "run_d", "sidx_ev", "didx_ev"]) for num, df in parts]
+    return shown[0].unionByName(shown[1])
+
+
 def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=None,
                    bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
     """Fold legs (optionally on top of seed ``user_positions`` rows) into the
@@ -282,12 +434,43 @@ def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=
     the price of joining the seed's ordkeys onto the legs).  Without it every
     leg is newer than the seed.
     """
-    zero = F.lit(0).cast(D38)
-    fx = leg_effects(legs, seed, stale_before, bucket_blocks, materialize)
+    parts = _both_effects(legs, seed, stale_before, bucket_blocks, materialize)
+    if seed is not None and len(parts) == 2:
+        # an untouched seed row goes by its own size
+        wide_pairs = parts[1][1].select(*KEY).distinct().withColumn("__wide", F.lit(True))
+        marked = seed.join(wide_pairs, KEY, "left").withColumn("__wide", F.coalesce("__wide", F.lit(False)) | wide_seed())
+        seeds = [marked.where("not __wide").drop("__wide"), marked.where("__wide").drop("__wide")]
+    else:
+        seeds = [seed, seed]
+    folds = [_folded(fx, own, num) for (num, fx), own in zip(parts, seeds)]
+    if len(folds) == 1:
+        return folds[0]
+    shown = [_shown(df, num, list(AMOUNTS)) for (num, _), df in zip(parts, folds)]
+    return shown[0].unionByName(shown[1])
+
+
+AMOUNTS = ("scaled_atoken_balance", "scaled_variable_debt", "atoken_last_index", "debt_last_index")
+
+
+def wide_seed() -> Column:
+    """Whether a seed row (decimals, or decimal texts) holds an amount of more than 36 digits."""
+    return F.greatest(*[F.coalesce(F.length(F.regexp_replace(F.col(c).cast("string"), "^-?0*", "")) > 36, F.lit(False)) for c in AMOUNTS])
+
+
+def exact_texts(positions: DataFrame) -> DataFrame:
+    """Folded positions with every amount as its exact decimal text."""
+    if "exact" not in positions.columns:
+        return positions.select(*[F.col(c).cast("string").alias(c) if c in AMOUNTS else F.col(c) for c in positions.columns])
+    return positions.select(*[F.coalesce(F.col("exact")[c], F.col(c).cast("string")).alias(c) if c in AMOUNTS else F.col(c)
+                              for c in positions.columns if c != "exact"])
+
+
+def _folded(fx: DataFrame, seed: DataFrame | None, num) -> DataFrame:
+    zero = num.zero()
     nn = lambda c: F.when(F.col(c).isNotNull(), F.col("ok"))
     pair = fx.groupBy(*KEY).agg(
-        F.sum(F.when(F.col("kept"), F.col("d_supply")).otherwise(zero)).alias("sum_s"),
-        F.sum(F.when(F.col("kept"), F.col("d_debt")).otherwise(zero)).alias("sum_d"),
+        num.summed(F.when(F.col("kept"), F.col("d_supply")).otherwise(zero)).alias("sum_s"),
+        num.summed(F.when(F.col("kept"), F.col("d_debt")).otherwise(zero)).alias("sum_d"),
         F.max_by("coll_ev", nn("coll_ev")).alias("coll"),
         F.max_by("act_ev", nn("act_ev")).alias("act"),
         F.max_by("sidx_ev", nn("sidx_ev")).alias("sidx"),
@@ -300,8 +483,8 @@ def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=
         out = pair.where(F.col("creation").isNotNull())
         return out.select(
             *KEY,
-            F.col("sum_s").cast(D38).alias("scaled_atoken_balance"),
-            F.col("sum_d").cast(D38).alias("scaled_variable_debt"),
+            F.col("sum_s").alias("scaled_atoken_balance"),
+            F.col("sum_d").alias("scaled_variable_debt"),
             F.coalesce("coll", F.lit(False)).alias("use_as_collateral"),
             F.col("sidx").alias("atoken_last_index"),
             F.col("didx").alias("debt_last_index"),
@@ -310,38 +493,37 @@ def fold_positions(legs: DataFrame, seed: DataFrame | None = None, stale_before=
             F.coalesce("act", F.lit(True)).alias("is_active"),
             ord_block("creation").alias("created_at_block"))
     s = seed.select(*KEY, F.lit(True).alias("__seeded"),
-                    *[F.col(c).alias(f"__{c}") for c in seed.columns if c not in KEY])
+                    *[(num.of_seed(F.col(c)) if c in AMOUNTS else F.col(c)).alias(f"__{c}") for c in seed.columns if c not in KEY])
     m = pair.join(s, KEY, "full_outer")
     seeded = F.coalesce(F.col("__seeded"), F.lit(False))
     touched = F.col("last_ok").isNotNull()
-    s0, d0 = F.col("__scaled_atoken_balance").cast(D38), F.col("__scaled_variable_debt").cast(D38)
-    out = m.where(seeded | F.col("creation").isNotNull()).select(
+    s0, d0 = F.col("__scaled_atoken_balance"), F.col("__scaled_variable_debt")
+    empty_s, empty_d = num.nonpositive(s0), num.nonpositive(d0)
+    plus = lambda x, own: F.when(seeded, num.total((1, x), (1, F.coalesce(F.col(own), zero)))).otherwise(F.col(own))
+    return m.where(seeded | F.col("creation").isNotNull()).select(
         *KEY,
-        F.when(seeded, s0 + F.coalesce("sum_s", zero)).otherwise(F.col("sum_s")).cast(D38)
-        .alias("scaled_atoken_balance"),
-        F.when(seeded, d0 + F.coalesce("sum_d", zero)).otherwise(F.col("sum_d")).cast(D38)
-        .alias("scaled_variable_debt"),
+        plus(s0, "sum_s").alias("scaled_atoken_balance"),
+        plus(d0, "sum_d").alias("scaled_variable_debt"),
         F.coalesce(F.col("coll"),
-                   F.when(F.coalesce("any_scs", F.lit(False)) & (s0 <= 0), F.lit(False)),
+                   F.when(F.coalesce("any_scs", F.lit(False)) & empty_s, F.lit(False)),
                    F.col("__use_as_collateral"), F.lit(False)).alias("use_as_collateral"),
-        F.coalesce("sidx", "__atoken_last_index").cast(D38).alias("atoken_last_index"),
-        F.coalesce("didx", "__debt_last_index").cast(D38).alias("debt_last_index"),
+        F.coalesce("sidx", "__atoken_last_index").alias("atoken_last_index"),
+        F.coalesce("didx", "__debt_last_index").alias("debt_last_index"),
         F.when(touched, ord_block("last_ok")).otherwise(F.col("__last_updated_block"))
         .alias("last_updated_block"),
         F.when(touched, ord_log("last_ok")).otherwise(F.col("__last_updated_log_index"))
         .alias("last_updated_log_index"),
         F.coalesce(F.col("act"),
-                   F.when(F.coalesce("any_sc", F.lit(False)) & (s0 <= 0) & (d0 <= 0), F.lit(False)),
+                   F.when(F.coalesce("any_sc", F.lit(False)) & empty_s & empty_d, F.lit(False)),
                    F.col("__is_active"), F.lit(True)).alias("is_active"),
         F.when(seeded, F.col("__created_at_block")).otherwise(ord_block("creation"))
         .alias("created_at_block"))
-    return out
 
 
 def balances(legs: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
     """Only the scaled balances per (user, asset): the minimum slice."""
-    return fold_positions(legs, bucket_blocks=bucket_blocks).select(
-        *KEY, "scaled_atoken_balance", "scaled_variable_debt")
+    out = exact_texts(fold_positions(legs, bucket_blocks=bucket_blocks))
+    return out.select(*KEY, "scaled_atoken_balance", "scaled_variable_debt")
 
 
 def touched_pairs(token_events: DataFrame) -> DataFrame:
@@ -353,8 +535,3 @@ def touched_pairs(token_events: DataFrame) -> DataFrame:
              .when(ev == "BalanceTransfer", F.array("from_address", "to_address")))
     x = token_events.select(F.explode(users).alias("user_address"), "asset_address")
     return x.where(F.col("user_address") != F.lit("0x" + "0" * 40)).distinct()
-
-
-def ledger_rejects(legs: DataFrame) -> DataFrame:
-    """Legs whose amount fell outside the exact ray-division domain."""
-    return legs.where(F.col("d_supply").isNull() | F.col("d_debt").isNull())

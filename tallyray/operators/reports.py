@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import uint256 as u256
 from ..functions.words import D38
 from .joins import dim_join
 
@@ -22,12 +23,18 @@ def positions_with_tokens(positions: DataFrame, reserves: DataFrame) -> DataFram
     return dim_join(positions, tok, "asset_address", "inner")
 
 
+def _above(df: DataFrame, column: str, least: int) -> Column:
+    """Whether an amount exceeds a small number; one without a decimal has over 38 digits, so its sign decides."""
+    over = F.col(column) > least
+    return F.coalesce(over, ~F.col("exact")[column].startswith("-")) if "exact" in df.columns else over
+
+
 def nonzero_positions(df: DataFrame) -> DataFrame:
-    return df.where((F.col("scaled_atoken_balance") > 0) | (F.col("scaled_variable_debt") > 0))
+    return above_dust(df, 0)
 
 
 def above_dust(df: DataFrame, dust: int = DUST) -> DataFrame:
-    return df.where((F.col("scaled_atoken_balance") > dust) | (F.col("scaled_variable_debt") > dust))
+    return df.where(_above(df, "scaled_atoken_balance", dust) | _above(df, "scaled_variable_debt", dust))
 
 
 def changed_after(df: DataFrame, min_block: int) -> DataFrame:
@@ -84,20 +91,32 @@ def systematic_sample(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
         .drop("rn")
 
 
+COMPARED = ("computed_supply", "computed_debt", "expected_supply", "expected_debt", "diff_supply", "diff_debt")
+
+
 def reconcile(computed: DataFrame, expected: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Computed vs expected scaled balances per (user, asset); missing = 0."""
-    c = computed.select(*KEY, F.col("scaled_atoken_balance").alias("computed_supply"),
-                        F.col("scaled_variable_debt").alias("computed_debt"))
-    e = expected.select(*KEY, F.col("scaled_atoken_balance").alias("expected_supply"),
-                        F.col("scaled_variable_debt").alias("expected_debt"))
-    j = c.join(e, KEY, "full_outer")
-    z = F.lit(0).cast(D38)
-    for col in ["computed_supply", "computed_debt", "expected_supply", "expected_debt"]:
-        j = j.withColumn(col, F.coalesce(F.col(col).cast(D38), z))
-    j = j.withColumn("diff_supply", F.abs(F.col("computed_supply") - F.col("expected_supply"))) \
-         .withColumn("diff_debt", F.abs(F.col("computed_debt") - F.col("expected_debt")))
-    return j.withColumn("within_tolerance",
-                        (F.col("diff_supply") <= tolerance) & (F.col("diff_debt") <= tolerance))
+    """Computed vs expected scaled balances per (user, asset); missing = 0.
+
+    Rows with an amount beyond 38 digits have their exact texts in ``exact``;
+    their differences are taken on limbs.
+    """
+    from .positions import exact_texts
+    names = (("supply", "scaled_atoken_balance"), ("debt", "scaled_variable_debt"))
+    side = lambda df, who: exact_texts(df).select(*KEY, *[F.col(c).alias(f"{who}_{s}") for s, c in names])
+    j = side(computed, "computed").join(side(expected, "expected"), KEY, "full_outer")
+    for c in COMPARED[:4]:
+        j = j.withColumn(c, F.coalesce(F.col(c), F.lit("0")))
+    for s, _ in names:
+        a, b = F.col(f"computed_{s}"), F.col(f"expected_{s}")
+        fits = (F.length(a) < 38) & (F.length(b) < 38)
+        j = j.withColumn(f"__fits_{s}", fits)
+        j = j.withColumn(f"diff_{s}", F.when(fits, F.abs(a.cast(D38) - b.cast(D38)).cast("string")).otherwise(
+            u256.text(u256.magnitude(u256.total((1, u256.of_text(a)), (-1, u256.of_text(b)))))))
+    close = lambda s: (F.length(f"diff_{s}") < 10) & (F.col(f"diff_{s}").try_cast("bigint") <= tolerance)
+    wide = ~(F.col("__fits_supply") & F.col("__fits_debt"))
+    return j.select(*KEY, *[F.col(c).try_cast(D38).alias(c) for c in COMPARED],
+                    F.coalesce(close("supply") & close("debt"), F.lit(False)).alias("within_tolerance"),
+                    F.when(wide, F.struct(*COMPARED)).alias("exact"))
 
 
 def pass_fail_summary(rec: DataFrame) -> DataFrame:
@@ -105,8 +124,8 @@ def pass_fail_summary(rec: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_pairs"),
         F.sum(F.when(F.col("within_tolerance"), 1).otherwise(0)).cast("bigint").alias("n_pass"),
         F.sum(F.when(~F.col("within_tolerance"), 1).otherwise(0)).cast("bigint").alias("n_fail"),
-        F.sum(F.when(F.col("diff_supply") > 0, 1).otherwise(0)).cast("bigint").alias("n_supply_diff"),
-        F.sum(F.when(F.col("diff_debt") > 0, 1).otherwise(0)).cast("bigint").alias("n_debt_diff"))
+        F.sum(F.when(_above(rec, "diff_supply", 0), 1).otherwise(0)).cast("bigint").alias("n_supply_diff"),
+        F.sum(F.when(_above(rec, "diff_debt", 0), 1).otherwise(0)).cast("bigint").alias("n_debt_diff"))
 
 
 def classify_drift(diff: Column, diff_at_created: Column, diff_at_updated: Column) -> Column:

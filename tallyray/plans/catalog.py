@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import uint256 as u256
 from ..functions.raymath import burn_delta, mint_delta, ray_div
 from ..operators import positions as pos
 from ..sources import fixtures as fx
 from . import stages as pl
-from .outputs import present, present_positions
+from .outputs import present, present_exact, present_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,18 +58,17 @@ def q_state_as_of(spark, sf, at_block: int = 7500):
 @query("running_balance")
 def q_running_balance(spark, sf):
     fx_ = pos.leg_effects(pl.ledger_legs(spark, sf)).where(F.col("kept"))
-    return present(fx_.select("user_address", "asset_address", "block_number", "log_index", "leg",
-                              F.col("run_s").alias("running_supply"),
-                              F.col("run_d").alias("running_debt")),
-                   bigint=("running_supply", "running_debt"))
+    shown = present_exact(fx_, ("run_s", "run_d"))
+    return shown.select("user_address", "asset_address", "block_number", "log_index", "leg",
+                        F.col("run_s").alias("running_supply"), F.col("run_d").alias("running_debt"))
 
 
 @query("position_legs")
 def q_position_legs(spark, sf):
     legs = pl.ledger_legs(spark, sf)
-    return present(legs.select("user_address", "asset_address", "block_number", "log_index", "leg",
-                               "d_supply", "d_debt", "is_up", "clear", "toggle", "is_self"),
-                   bigint=("d_supply", "d_debt"))
+    exact = lambda c: F.coalesce(u256.text(F.col("wide")[c]), F.col(c).cast("string")).alias(c)
+    return legs.select("user_address", "asset_address", "block_number", "log_index", "leg",
+                       exact("d_supply"), exact("d_debt"), "is_up", "clear", "toggle", "is_self")
 
 
 @query("touched_pairs")
@@ -95,7 +95,7 @@ def q_resolve_token(spark, sf):
 def q_ray_div(spark, sf):
     ev = pl.delivered_token_events(spark, sf).where(F.col("value").isNotNull())
     return present(ev.select("tx_hash", "log_index", ray_div("value", "idx").alias("scaled_value")),
-                   bigint=("scaled_value",))
+                   text=("scaled_value",))
 
 
 @query("mint_delta")
@@ -104,7 +104,7 @@ def q_mint_delta(spark, sf):
     return present(ev.select("tx_hash", "log_index",
                              (F.col("value") >= F.col("balance_increase")).alias("is_increase"),
                              mint_delta("value", "balance_increase", "idx").alias("delta")),
-                   bigint=("delta",))
+                   text=("delta",))
 
 
 @query("burn_delta")
@@ -112,7 +112,7 @@ def q_burn_delta(spark, sf):
     ev = pl.delivered_token_events(spark, sf).where(F.col("event") == "Burn")
     return present(ev.select("tx_hash", "log_index",
                              burn_delta("value", "balance_increase", "idx").alias("delta")),
-                   bigint=("delta",))
+                   text=("delta",))
 
 
 # ---------------------------------------------------------------- scan, route, decode
@@ -425,10 +425,9 @@ def seeded_positions(spark, sf):
 @query("positions_with_tokens")
 def q_positions_with_tokens(spark, sf):
     p = rp.positions_with_tokens(folded_positions(spark, sf), fx.fx_reserves(spark, sf))
-    return present(p.select("user_address", "asset_address", "scaled_atoken_balance",
-                            "scaled_variable_debt", "last_updated_block", "atoken_address",
-                            "v_debt_token_address"),
-                   bigint=("scaled_atoken_balance", "scaled_variable_debt"))
+    return present_positions(p).select("user_address", "asset_address", "scaled_atoken_balance",
+                                       "scaled_variable_debt", "last_updated_block", "atoken_address",
+                                       "v_debt_token_address")
 
 
 @query("above_dust")
@@ -481,8 +480,7 @@ def raw_path_positions(spark, sf):
 @query("reconcile")
 def q_reconcile(spark, sf):
     rec = rp.reconcile(raw_path_positions(spark, sf), folded_positions(spark, sf))
-    return present(rec, bigint=("computed_supply", "computed_debt", "expected_supply",
-                                "expected_debt", "diff_supply", "diff_debt"))
+    return present_exact(rec, rp.COMPARED)
 
 
 @query("pass_fail_summary")
@@ -535,8 +533,8 @@ def q_diagnose_drift(spark, sf, tolerance: int = rp.TOLERANCE):
         du = F.abs(F.col(comp_c) - F.coalesce(F.col(u_at), z))
         rows.append(both.where(F.col(diff_c) > tolerance).select(
             "user_address", "asset_address", F.lit(side).alias("side"),
-            F.col(diff_c).cast("bigint").alias("diff"), dc.cast("bigint").alias("diff_at_created"),
-            du.cast("bigint").alias("diff_at_updated"),
+            F.col(diff_c).cast("string").alias("diff"), dc.cast("string").alias("diff_at_created"),
+            du.cast("string").alias("diff_at_updated"),
             rp.classify_drift(F.col(diff_c), dc, du).alias("origin")))
     return rows[0].unionByName(rows[1])
 
@@ -548,6 +546,39 @@ def q_checksum_address(spark, sf):
     return with_checksum(users, "user_address", "user_checksum")
 
 
+# ---------------------------------------------------------------- wide amounts
+
+def wide_events(spark, sf):
+    """Token events decoded from logs with amounts beyond 38 digits, one copy per (tx_hash, log_index)."""
+    typed = dec.decode_logs(fx.fx_raw_wide_logs(spark, sf), dec.TOKEN_FAMILY, keep=("arrival",))
+    return dd.first_delivery(typed, ("tx_hash", "log_index"), order="arrival").drop("arrival")
+
+
+@query("decode_wide_amounts")
+def q_decode_wide_amounts(spark, sf):
+    d = dec.decode_logs(fx.fx_raw_wide_logs(spark, sf), dec.TOKEN_FAMILY).where(F.col("event").isin(*dec.AMOUNT_EVENTS))
+    exact = lambda c: F.coalesce(u256.text(F.col("exact")[c]), F.col(c).cast("string")).alias(c)
+    return d.select("tx_hash", "log_index", "event", exact("value"), exact("balance_increase"), exact("idx"))
+
+
+@query("fold_positions_wide")
+def q_fold_positions_wide(spark, sf):
+    return present_positions(pos.fold_positions(pl.ledger_legs(spark, sf, wide_events(spark, sf))))
+
+
+@query("running_balance_wide")
+def q_running_balance_wide(spark, sf):
+    runs = pos.leg_effects(pl.ledger_legs(spark, sf, wide_events(spark, sf))).where(F.col("kept"))
+    return present_exact(runs, ("run_s", "run_d")).select(
+        "user_address", "asset_address", "block_number", "log_index", "leg",
+        F.col("run_s").alias("running_supply"), F.col("run_d").alias("running_debt"))
+
+
+@query("ledger_rejects")
+def q_ledger_rejects(spark, sf):
+    return pos.ledger_rejects(pl.all_legs(spark, sf, wide_events(spark, sf)))
+
+
 # ---------------------------------------------------------------- streaming
 
 def _stream_source(spark, sf, n_ranges: int = 4):
@@ -575,8 +606,7 @@ def _legs_of(spark, sf):
         tm = jn.token_map(reserves)
         tokens = jn.resolve_token(events.where(F.col("event").isin(*pl.TOKEN_EVENTS)), tm)
         coll = events.where(F.col("event").isin(*pl.COLLATERAL_EVENTS))
-        legs = pos.position_legs(tokens, coll)
-        return legs.where(F.col("d_supply").isNotNull() & F.col("d_debt").isNotNull())
+        return pos.kept_legs(pos.position_legs(tokens, coll))
     return legs_of
 
 
@@ -623,7 +653,7 @@ def q_stateful_positions(spark, sf):
                  "batch_id").alias("r"))
     cols = [c for c in rows.columns if c not in ("user_address", "asset_address", "batch_id")]
     res = latest.select("user_address", "asset_address", *[F.col("r").getField(c).alias(c) for c in cols])
-    return present(res, bigint=("scaled_atoken_balance", "scaled_variable_debt"))
+    return res
 
 
 # ---------------------------------------------------------------- more inventory
@@ -658,9 +688,9 @@ def q_merge_overwrite_state(spark, sf):
 
 @query("insert_if_absent_positions")
 def q_insert_if_absent_positions(spark, sf):
-    existing = folded_positions(spark, sf)
+    existing = present_positions(folded_positions(spark, sf))
     incoming = sn.load_position_snapshot(fx.fx_snapshot_pages(spark, sf), fx.SNAPSHOT_BLOCK)
-    return present_positions(dd.insert_if_absent(existing, incoming, ["user_address", "asset_address"]))
+    return dd.insert_if_absent(existing, present_positions(incoming), ["user_address", "asset_address"])
 
 
 @query("late_guard")
@@ -749,7 +779,7 @@ def q_created_at(spark, sf):
 def q_parse_decimal(spark, sf):
     rows = sn.snapshot_rows(fx.fx_snapshot_pages(spark, sf))
     return present(rows.select("id", "scaled_atoken_balance", "scaled_variable_debt", "atoken_last_index"),
-                   bigint=("scaled_atoken_balance", "scaled_variable_debt"), text=("atoken_last_index",))
+                   text=("scaled_atoken_balance", "scaled_variable_debt", "atoken_last_index"))
 
 
 @query("write_state")

@@ -146,8 +146,8 @@ ev AS (
   FROM rl),
 fold AS (
   SELECT ua AS user_address, aa AS asset_address,
-    CAST(sum(d_s) AS BIGINT) AS scaled_atoken_balance,
-    CAST(sum(d_d) AS BIGINT) AS scaled_variable_debt,
+    CAST(sum(d_s) AS HUGEINT) AS scaled_atoken_balance,
+    CAST(sum(d_d) AS HUGEINT) AS scaled_variable_debt,
     arg_max(coll_ev, ok) FILTER (WHERE coll_ev IS NOT NULL) AS use_as_collateral,
     CAST(arg_max(sidx_ev, ok) FILTER (WHERE sidx_ev IS NOT NULL) AS VARCHAR) AS atoken_last_index,
     CAST(arg_max(didx_ev, ok) FILTER (WHERE didx_ev IS NOT NULL) AS VARCHAR) AS debt_last_index,
@@ -196,8 +196,8 @@ stale AS (
   FROM sl WHERE pre GROUP BY ua, aa),
 seeded AS (
   SELECT s.ua AS user_address, s.aa AS asset_address,
-    CAST(s.s0 + coalesce(a.sum_s, 0) AS BIGINT) AS scaled_atoken_balance,
-    CAST(s.d0 + coalesce(a.sum_d, 0) AS BIGINT) AS scaled_variable_debt,
+    CAST(s.s0 + coalesce(a.sum_s, 0) AS HUGEINT) AS scaled_atoken_balance,
+    CAST(s.d0 + coalesce(a.sum_d, 0) AS HUGEINT) AS scaled_variable_debt,
     coalesce(a.coll, CASE WHEN st.any_scs AND s.s0 <= 0 THEN false END, s.coll0) AS use_as_collateral,
     CAST(coalesce(a.sidx, s.idx0) AS VARCHAR) AS atoken_last_index,
     CAST(coalesce(a.didx, s.idx0) AS VARCHAR) AS debt_last_index,
@@ -225,8 +225,8 @@ uev AS (
   FROM url),
 unseeded AS (
   SELECT ua AS user_address, aa AS asset_address,
-    CAST(sum(d_s) AS BIGINT) AS scaled_atoken_balance,
-    CAST(sum(d_d) AS BIGINT) AS scaled_variable_debt,
+    CAST(sum(d_s) AS HUGEINT) AS scaled_atoken_balance,
+    CAST(sum(d_d) AS HUGEINT) AS scaled_variable_debt,
     arg_max(coll_ev, ok) FILTER (WHERE coll_ev IS NOT NULL) AS use_as_collateral,
     CAST(arg_max(sidx_ev, ok) FILTER (WHERE sidx_ev IS NOT NULL) AS VARCHAR) AS atoken_last_index,
     CAST(arg_max(didx_ev, ok) FILTER (WHERE didx_ev IS NOT NULL) AS VARCHAR) AS debt_last_index,
@@ -255,11 +255,11 @@ SQL["fold_positions_seeded"] = ledger_ctes() + "," + SNAPSHOT + "," + FOLD_SEEDE
 
 SQL["running_balance"] = ledger_ctes() + "," + FOLD_UNSEEDED + """
 SELECT ua AS user_address, aa AS asset_address, block_number, log_index, leg,
-       CAST(run_s AS BIGINT) AS running_supply, CAST(run_d AS BIGINT) AS running_debt FROM rl"""
+       CAST(run_s AS HUGEINT) AS running_supply, CAST(run_d AS HUGEINT) AS running_debt FROM rl"""
 
 SQL["position_legs"] = ledger_ctes() + """
 SELECT ua AS user_address, aa AS asset_address, block_number, log_index, leg,
-       CAST(d_s AS BIGINT) AS d_supply, CAST(d_d AS BIGINT) AS d_debt, is_up, clr AS clear,
+       CAST(d_s AS HUGEINT) AS d_supply, CAST(d_d AS HUGEINT) AS d_debt, is_up, clr AS clear,
        toggle, is_self FROM legs"""
 
 SQL["touched_pairs"] = ledger_ctes() + """
@@ -853,8 +853,8 @@ sides AS (
   SELECT user_address, asset_address, 'debt', diff_debt,
     abs(computed_debt - coalesce(c_d, 0)), abs(computed_debt - coalesce(u_d, 0))
   FROM atu WHERE diff_debt > 5)
-SELECT user_address, asset_address, side, CAST(diff AS BIGINT) AS diff,
-  CAST(dc AS BIGINT) AS diff_at_created, CAST(du AS BIGINT) AS diff_at_updated,
+SELECT user_address, asset_address, side, CAST(diff AS HUGEINT) AS diff,
+  CAST(dc AS HUGEINT) AS diff_at_created, CAST(du AS HUGEINT) AS diff_at_updated,
   CASE WHEN dc = diff THEN 'at_creation' WHEN du <> diff THEN 'after_creation'
        ELSE 'within_tolerance' END AS origin
 FROM sides"""
@@ -963,3 +963,83 @@ SELECT user_address || asset_address AS id, CAST(supply AS BIGINT) AS scaled_ato
   CAST(debt AS BIGINT) AS scaled_variable_debt, idx AS atoken_last_index FROM pg"""
 
 SQL["write_state"] = SQL["fold_positions"]
+
+
+# ------------------------------------------------------------- wide amounts
+
+# On every fifth asset each amount is n * (2^128 + 1): the folds run on n, the
+# product is written out in base 10^18.
+E18 = "CAST('1000000000000000000' AS HUGEINT)"
+
+
+def wide_text(n: str) -> str:
+    limbs = [(2 ** 128 + 1) // 10 ** (18 * k) % 10 ** 18 for k in range(3)]
+    c0, c1, c2 = (f"abs({n}) * CAST('{c}' AS HUGEINT)" for c in limbs)
+    l1 = f"({c1} + ({c0}) // {E18})"
+    l2 = f"({c2} + {l1} // {E18})"
+    return (f"CASE WHEN {n} = 0 THEN '0' ELSE CASE WHEN {n} < 0 THEN '-' ELSE '' END || ltrim(CAST({l2} AS VARCHAR) || "
+            f"lpad(CAST({l1} % {E18} AS VARCHAR), 18, '0') || lpad(CAST(({c0}) % {E18} AS VARCHAR), 18, '0'), '0') END")
+
+
+def amount_text(n: str, wide: str) -> str:
+    return f"CASE WHEN {wide} THEN {wide_text(n)} ELSE CAST({n} AS VARCHAR) END"
+
+
+_PLAIN_INDEX = f"CAST({RAY} + CAST(l_partkey AS HUGEINT) * {E21} AS HUGEINT)"
+WIDE_TOKEN_EVENTS = TOKEN_EVENTS.replace(_PLAIN_INDEX, f"CASE WHEN r % 5 = 0 THEN {RAY} ELSE {_PLAIN_INDEX} END")
+FAULT = """CASE WHEN r % 5 = 0 AND event = 'Mint' AND log_index = 7 THEN 'zero_index'
+              WHEN r % 5 = 0 AND event = 'Burn' AND log_index = 6 THEN 'overflow' END"""
+WIDE_RESOLVED = RESOLVED.replace("rtev AS (", "rtev0 AS (") + f""",
+rtev AS (SELECT * FROM rtev0 WHERE {FAULT} IS NULL)"""
+WIDE_LEDGER = "WITH " + ",".join([WIDE_TOKEN_EVENTS, RESERVES, TOKEN_MAP, WIDE_RESOLVED, LEGS])
+WIDE_ASSET = f"asset_address IN (SELECT {addr('x')} FROM range(0, 50, 5) t(x))"
+
+SQL["decode_wide_amounts"] = f"""
+WITH t AS (
+  SELECT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index, l_partkey % 5 = 0 AS wide,
+    CASE WHEN l_returnflag || l_linestatus IN ('RF', 'NF') THEN 'Mint'
+         WHEN l_returnflag || l_linestatus IN ('RO', 'NO') THEN 'Burn' ELSE 'BalanceTransfer' END AS event,
+    CAST(round(l_extendedprice * 100) AS HUGEINT) AS v,
+    CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) // 5 AS HUGEINT) AS inc,
+    {_PLAIN_INDEX} AS plain
+  FROM lineitem WHERE l_returnflag || l_linestatus <> 'AO')
+SELECT tx_hash, log_index, event,
+  CASE WHEN wide AND event = 'Burn' AND log_index = 6 THEN '{2 ** 256 - 1}' ELSE {amount_text('v', 'wide')} END AS value,
+  CASE WHEN event <> 'BalanceTransfer' THEN {amount_text('inc', 'wide')} END AS balance_increase,
+  CASE WHEN wide AND event = 'Mint' AND log_index = 7 THEN '0' WHEN wide THEN CAST({RAY} AS VARCHAR)
+       ELSE CAST(plain AS VARCHAR) END AS idx
+FROM t"""
+
+SQL["fold_positions_wide"] = WIDE_LEDGER + "," + FOLD_UNSEEDED + f"""
+SELECT * REPLACE ({amount_text('scaled_atoken_balance', WIDE_ASSET)} AS scaled_atoken_balance,
+                  {amount_text('scaled_variable_debt', WIDE_ASSET)} AS scaled_variable_debt) FROM fold"""
+
+SQL["running_balance_wide"] = WIDE_LEDGER + "," + FOLD_UNSEEDED + f"""
+SELECT ua AS user_address, aa AS asset_address, block_number, log_index, leg,
+       {amount_text('run_s', WIDE_ASSET.replace('asset_address', 'aa'))} AS running_supply,
+       {amount_text('run_d', WIDE_ASSET.replace('asset_address', 'aa'))} AS running_debt FROM rl"""
+
+SQL["ledger_rejects"] = WIDE_LEDGER + f"""
+SELECT u AS user_address, asset_address, block_number, log_index, tx_hash, 0 AS leg, {FAULT} AS reason
+FROM rtev0 WHERE {FAULT} IS NOT NULL"""
+
+
+# ------------------------------------------------------------- amounts as text
+
+# Amounts leave the queries as exact decimal text, whatever their size.
+_BALANCES = ("scaled_atoken_balance", "scaled_variable_debt")
+AMOUNT_TEXT: dict[str, tuple[str, ...]] = {
+    **{q: _BALANCES for q in (
+        "fold_positions", "position_balances", "fold_positions_seeded", "state_as_of", "load_position_snapshot",
+        "positions_with_tokens", "above_dust", "changed_after", "snapshot_only", "nonzero_positions", "lookup_keys",
+        "oldest_positions", "insert_if_absent_positions", "stream_apply", "resume", "write_state", "stateful_positions",
+        "parse_decimal")},
+    "running_balance": ("running_supply", "running_debt"),
+    "position_legs": ("d_supply", "d_debt"),
+    "reconcile": ("computed_supply", "computed_debt", "expected_supply", "expected_debt", "diff_supply", "diff_debt"),
+    "diagnose_drift": ("diff", "diff_at_created", "diff_at_updated"),
+    "ray_div": ("scaled_value",), "mint_delta": ("delta",), "burn_delta": ("delta",),
+}
+for _q, _cols in AMOUNT_TEXT.items():
+    _casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _cols)
+    SQL[_q] = f"SELECT * REPLACE ({_casts}) FROM (\n{SQL[_q]}\n)"

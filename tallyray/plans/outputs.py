@@ -1,12 +1,14 @@
-"""Result presentation: exact decimals become BIGINT when the values are
-bounded by the inputs, ray-scale values become decimal text.  A cast that
-overflows raises (ANSI mode) instead of wrapping."""
+"""Result presentation: amounts become exact decimal text, whatever their size;
+configuration values that are bounded by the inputs become BIGINT (a cast that
+overflows raises in ANSI mode instead of wrapping)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.positions import exact_texts
+
 
 def present(df: DataFrame, bigint: tuple[str, ...] = (), text: tuple[str, ...] = ()) -> DataFrame:
     cols = []
@@ -20,9 +22,14 @@ def present(df: DataFrame, bigint: tuple[str, ...] = (), text: tuple[str, ...] =
     return df.select(*cols)
 
 
-POSITION_BIGINT = ("scaled_atoken_balance", "scaled_variable_debt")
-POSITION_TEXT = ("atoken_last_index", "debt_last_index")
+def present_positions(df: DataFrame) -> DataFrame:
+    return exact_texts(df)
+
 
+def present_exact(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` as text: the exact text of wide rows, else the decimal's."""
+    def shown(c: str):
+        own = F.col(c).cast("string")
+        return F.coalesce(F.col("exact")[c], own) if "exact" in df.columns else own
 
-def present_positions(df: DataFrame) -> DataFrame:
-    return present(df, POSITION_BIGINT, POSITION_TEXT)
+    return df.select(*[shown(c).alias(c) if c in columns else F.col(c) for c in df.columns if c != "exact"])

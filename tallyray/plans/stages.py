@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import first_delivery
 from ..operators.joins import resolve_token, token_map
-from ..operators.positions import legs_from_events
+from ..operators.positions import kept_legs, legs_from_events
 from ..sources import fixtures as fx
 
 TOKEN_EVENTS = ("Mint", "Burn", "BalanceTransfer")
@@ -28,6 +28,10 @@ def resolved_token_events(spark: SparkSession, sf_dir: str, events: DataFrame |
 
 
 def ledger_legs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return kept_legs(all_legs(spark, sf_dir, events))
+
+
+def all_legs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Legs with their faults: those without an amount are still there."""
     ev = events if events is not None else delivered_token_events(spark, sf_dir)
-    legs = legs_from_events(ev, token_map(fx.fx_reserves(spark, sf_dir)))
-    return legs.where(F.col("d_supply").isNotNull() & F.col("d_debt").isNotNull())
+    return legs_from_events(ev, token_map(fx.fx_reserves(spark, sf_dir)))

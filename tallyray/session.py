@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # call-site capture costs several driver round trips for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -544,3 +544,22 @@ def fx_raw_token_logs_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame
     out = raw.select("address", topics.alias("topics"), data.alias("data"), "block_number",
                      "log_index", "tx_hash", "arrival", "block_bucket")
     return materialize(out, ("raw_token_logs_with_faults", sf_dir), partition_by="block_bucket")
+
+
+def fx_raw_wide_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw token logs whose amounts leave 38 digits on every fifth asset.
+
+    There an amount v becomes v * (2^128 + 1) and the index one ray; a Mint at
+    log index 7 has index zero and a Burn at log index 6 the value 2^256 - 1,
+    neither of which has a quotient.  All other assets keep their logs.
+    """
+    raw = _encode_token_events(fx_token_events(spark, sf_dir))
+    doubled = lambda c: F.repeat(F.lpad(F.lower(F.hex(c)), 32, "0"), 2)
+    t0, li = F.get("topics", 0), F.col("log_index")
+    mint, burn, move = (t0 == TOPIC[n] for n in ("Mint", "Burn", "BalanceTransfer"))
+    value = F.when(burn & (li == 6), F.lit("f" * 64)).otherwise(doubled(F.col("arrival.v")))
+    idx = F.when(mint & (li == 7), F.lit("0" * 64)).otherwise(F.lit(f"{RAY:064x}"))
+    data = F.when(move, F.concat(F.lit("0x"), value, idx)).when(
+        mint | burn, F.concat(F.lit("0x"), value, doubled(F.col("arrival.i")), idx)).otherwise(F.col("data"))
+    out = raw.withColumn("data", F.when(F.col("arrival.p") % 5 == 0, data).otherwise(F.col("data")))
+    return materialize(out, ("raw_wide_logs", sf_dir), partition_by="block_bucket")
