@@ -391,8 +391,9 @@ def _both_effects(legs: DataFrame, seed, stale_before, bucket_blocks: int, mater
             num.of_seed(F.col("scaled_variable_debt")).alias("d0"), wide_seed().alias("wide_seed"))
 
     bi = _bucket_info(lr, seed_of(Narrow), bucket_blocks, Narrow)
-    # Wide legs are rare: their part of the plan is built only when there is one (the checkpoint is read up to the first).
-    if not ("wide" in legs.columns and has(lr, F.col("wide").isNotNull())) and not (seed is not None and has(seed, wide_seed())):
+    # Wide legs are rare: their part of the plan is built only when there is one (the checkpoint, or the caller's
+    # persisted legs, are read up to the first).
+    if not ("wide" in legs.columns and has(lr if materialize else legs, F.col("wide").isNotNull())) and not (seed is not None and has(seed, wide_seed())):
         return [(Narrow, _effects(lr, bi, Narrow))]
     some = bi.where("has_wide").select(*KEY).distinct()
     wl = _running(_as_wide(lr.select(*l0.columns).join(some, KEY, "left_semi")), cut, Wide)
