@@ -9,7 +9,7 @@ sum of n (mean * mean + deviation * deviation).  Candidates are filtered with
 it from coarse to fine against the query's k-th best score so far, and the
 survivors get their exact integer score.
 
-Queries meet all rows in blocks: rows are dealt by a hash of their id into
+Queries meet all rows in blocks: rows are dealt by a hash of their number into
 blocks of about ``BLOCK_ROWS``, queries into blocks of about ``BLOCK_QUERIES``,
 and each pair of blocks is one group of a cogroup, so that what a task holds is
 bounded and nothing is broadcast.  The best k of a query in each block are
@@ -17,9 +17,11 @@ ranked together at the end.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components, and rows without id, take no part; vectors of different lengths
-have no score with each other; ids are keys: of rows with the same id the one
-with the least vector counts; ties go to the smaller id; a query with fewer
-than k candidates gets all of them; scores beyond a long are cut to its range.
+have no score with each other; rows that repeat an id are candidates of their
+own, and no candidates of a query with that id; of queries with one id the best
+k of all their scores are returned; ties go to the smaller id; a query with
+fewer than k candidates gets all of them; scores beyond a long are cut to its
+range.
 """
 
 from __future__ import annotations
@@ -110,12 +112,12 @@ def _search(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFra
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score for every row of (vec_id, embedding) that ``is_query`` marks."""
     rows = (vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("vec"))
-            .where("vec is not null").groupBy("vec_id").agg(F.min("vec").alias("vec"))
-            .withColumn("dim", F.size("vec")).withColumn("query", is_query))
-    rows = stored(rows)
+            .where("vec is not null").withColumn("dim", F.size("vec")).withColumn("query", is_query)
+            .withColumn("n", F.monotonically_increasing_id()))
+    rows = stored(rows)  # written once: later reads see the same numbers
     n = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("query").cast("int")), F.lit(0)).alias("queries")).first()
     row_blocks, query_blocks = -(-n.rows // block_rows) or 1, -(-n.queries // block_queries) or 1
-    deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = (rows.where("query").select("vec_id", "vec", "dim", deal(query_blocks).alias("qb"), every(row_blocks).alias("rb")))
     right = rows.select("vec_id", "vec", "dim", deal(row_blocks).alias("rb"), every(query_blocks).alias("qb"))
