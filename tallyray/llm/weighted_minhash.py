@@ -544,10 +544,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each class only one row, that of the least doc_id and then the least text name; classes
-    without any doc_id go."""
+    """Pipeline form: of each class only one row, that of the least doc_id (none comes last) and then the least text name."""
     rows, named = _named_classes(docs.select("doc_id", "text"))
-    keep = (named.where("doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "x1", "x2")).alias("k")).select("k.*"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("kept_id"), "x1", "x2")).alias("k")
+    keep = named.groupBy("class").agg(first).select("k.kept_id", "k.x1", "k.x2")
 
     @F.arrow_udf("struct<x1:bigint,x2:bigint>")
     def name(texts: pa.Array) -> pa.Array:
@@ -555,7 +555,10 @@ def representatives(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)], ["x1", "x2"])
 
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = (found.withColumn("name", name("row.text")).select("row", "doc_id", "name.x1", "name.x2")
-            .join(keep, ["doc_id", "x1", "x2"], "left_semi").dropDuplicates(["doc_id", "x1", "x2"]))
+    found = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    ids = keep.select("kept_id").distinct()
+    found = found.join(ids, found["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    found = found.withColumn("name", name("row.text")).select("row", "doc_id", F.col("name.x1").alias("n1"), F.col("name.x2").alias("n2"))
+    same = found["doc_id"].eqNullSafe(keep["kept_id"]) & (found["n1"] == keep["x1"]) & (found["n2"] == keep["x2"])
+    kept = found.join(keep, same, "left_semi").dropDuplicates(["doc_id", "n1", "n2"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

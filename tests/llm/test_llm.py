@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 import corpus_pipeline
 from tallyray.llm import (bpe, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts, topk_search,
@@ -176,7 +177,7 @@ def test_near_duplicates(docs):
     assert len(rows) == docs.count() and cls[1] == cls[2] == cls[3] == 1 and cls[4] == cls[5] == 4 and cls[6] == 6
     assert len({cls[20 + i] for i in range(30)}) == 30
     kept = weighted_minhash.representatives(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id < 7) == [1, 4, 6]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None and r.doc_id < 7) == [1, 4, 6]
 
 
 def test_block_search_skips_tested_and_own_class():
@@ -283,7 +284,26 @@ def test_texts_under_one_id_and_without_id(spark):
     got = collections.Counter(map(tuple, weighted_minhash.classes(docs).collect()))
     assert got == collections.Counter([(1, 1)] * 3 + [(2, 1), (3, 3), (None, 3), (None, None), (None, None), (9, 9), (None, 8), (8, 8)])
     kept = collections.Counter(map(tuple, weighted_minhash.representatives(docs).collect()))
-    assert kept == collections.Counter([(1, long[0]), (1, long[1]), (3, long[2]), (9, long[4]), (8, long[5] + " end")])
+    without = [t for i, t in kept if i is None]  # a class without any id keeps one row
+    assert len(without) == 1 and without[0] in (long[3], long[3] + " end")
+    assert kept == collections.Counter([(1, long[0]), (1, long[1]), (3, long[2]), (9, long[4]), (8, long[5] + " end"), (None, without[0])])
+
+
+def test_rows_without_id_stay(spark):
+    rows = [(i if i % 3 == 0 else None, _text(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(4)
+    assert collections.Counter(map(tuple, weighted_minhash.representatives(docs).collect())) == collections.Counter(rows)
+
+
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 1.0]), (2, [0.75, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, functions.col("vec_id") % 100 == 0).collect()
+    want = []
+    for q in (0, 100):
+        scores = [(-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, y)), i) for j, x in rows if j == q for i, y in rows if i != q]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(sorted(scores)[:10], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_shingle_hashes_follow_words():
@@ -300,7 +320,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [float(v) for v in x[i]], "extra") for i in range(700)] + [(900, None, "n"), (901, [1.0, None], "n"), (902, [float("nan")] * 24, "n"), (None, [0.1] * 24, "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string")
     from pyspark.sql import functions as F
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 100 == 0, block_rows=150, block_queries=3).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(df, df.vec_id % 100 == 0, block_rows=150, block_queries=3).collect()}
     q = np.floor(1024 * x).astype(np.int64)
     for i in range(0, 700, 100):
         s = q @ q[i]
