@@ -121,3 +121,9 @@ def string_from_words(data, offset_word_index: int) -> Column:
                     F.conv(F.substring(len_word, 49, 16), 16, 10).cast("int"))
     text = body.substr(start + F.lit(64), length * 2)
     return F.when(F.length(text) == length * 2, F.decode(F.unhex(text), "UTF-8"))
+
+
+def wide_uint_text(w) -> Column:
+    """Exact decimal text of any uint256 word; null if malformed."""
+    from . import uint256
+    return uint256.text(uint256.of_word(w))
