@@ -377,6 +377,12 @@ def q_bitmap_members(spark, sf):
     return fo.bitmap_members(emode_flag_events(spark, sf), fx.fx_reserves(spark, sf))
 
 
+@query("emode_categories")
+def q_emode_categories(spark, sf):
+    return fo.emode_categories(fx.fx_emode_category_events(spark, sf), emode_flag_events(spark, sf),
+                               fx.fx_reserves(spark, sf))
+
+
 @query("missing_categories")
 def q_missing_categories(spark, sf):
     cats = fo.fold_categories(fx.fx_emode_category_events(spark, sf)).select("category_id")
@@ -413,6 +419,13 @@ def q_orphan_check(spark, sf):
     return rej
 
 
+@query("orphan_state")
+def q_orphan_state(spark, sf):
+    """Loaded reserve-state rows whose reserve is not in the reserves table."""
+    _, st = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))
+    return jn.orphan_check(st, fx.fx_reserves(spark, sf)).select("asset_address")
+
+
 def folded_positions(spark, sf):
     return pos.fold_positions(pl.ledger_legs(spark, sf))
 
@@ -456,6 +469,22 @@ def q_lookup_keys(spark, sf):
     return present_positions(rp.lookup_keys(folded_positions(spark, sf), users, ["user_address"]))
 
 
+@query("lookup_keys_categories")
+def q_lookup_keys_categories(spark, sf):
+    """The category rows of all categories that users are in."""
+    users = fo.active_emode_users(fo.fold_user_emode(fx.fx_user_emode(spark, sf)))
+    return rp.lookup_keys(fo.fold_categories(fx.fx_emode_category_events(spark, sf)),
+                          users.select(F.col("emode_category_id").alias("category_id")), ["category_id"])
+
+
+@query("lookup_keys_reserve_ids")
+def q_lookup_keys_reserve_ids(spark, sf):
+    """The reserves behind the ids that are set in any bitmap."""
+    reserves = fx.fx_reserves(spark, sf)
+    ids = fo.bitmap_members(emode_flag_events(spark, sf), reserves)
+    return rp.lookup_keys(reserves, ids, ["reserve_id"]).select("asset_address", "reserve_id", "symbol")
+
+
 @query("oldest_positions")
 def q_oldest_positions(spark, sf, n: int = 100):
     p = rp.above_dust(folded_positions(spark, sf))
@@ -690,6 +719,8 @@ def q_merge_overwrite_state(spark, sf):
 def q_insert_if_absent_positions(spark, sf):
     existing = present_positions(folded_positions(spark, sf))
     incoming = sn.load_position_snapshot(fx.fx_snapshot_pages(spark, sf), fx.SNAPSHOT_BLOCK)
+    # a row of an unknown reserve breaks the foreign key: it is an orphan (orphan_check), not a position
+    incoming = jn.known_reserves(incoming, fx.fx_reserves(spark, sf), "asset_address")
     return dd.insert_if_absent(existing, present_positions(incoming), ["user_address", "asset_address"])
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 RAY = "CAST('1000000000000000000000000000' AS HUGEINT)"
 E20 = "CAST('100000000000000000000' AS HUGEINT)"
 E21 = "CAST('1000000000000000000000' AS HUGEINT)"
+UNLISTED = 10 ** 9
+ATOKEN_BASE, S_DEBT_BASE, STRATEGY_BASE = 10 ** 10, 2 * 10 ** 10, 3 * 10 ** 10
 
 
 def addr(expr: str) -> str:
@@ -20,6 +22,19 @@ def txh(expr: str) -> str:
     return f"('0x' || lpad(lower(hex(CAST({expr} AS BIGINT))), 64, '0'))"
 
 
+def asset(key: str) -> str:
+    """The asset id a key names (the reserve of that part, or an unlisted asset)."""
+    return f"(CAST({key} AS BIGINT) + CASE WHEN ({key}) % 50 >= 45 THEN {UNLISTED} ELSE 0 END)"
+
+
+def atok(r: str) -> str:
+    return addr(f"{ATOKEN_BASE} + 2 * {r}")
+
+
+def vdebt(r: str) -> str:
+    return addr(f"{ATOKEN_BASE + 1} + 2 * {r}")
+
+
 def raydiv(a: str, i: str) -> str:
     return f"((CAST({a} AS HUGEINT) * {RAY} + CAST({i} AS HUGEINT) // 2) // CAST({i} AS HUGEINT))"
 
@@ -44,7 +59,7 @@ li AS (
          l_returnflag || l_linestatus AS kind,
          CAST(round(l_extendedprice * 100) AS BIGINT) AS v,
          CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) // 5 AS inc,
-         l_partkey % 50 AS r
+         {asset('l_partkey % 50')} AS r
   FROM lineitem),
 dd AS (
   SELECT * FROM (
@@ -58,9 +73,9 @@ tev AS (
          {addr('(l_suppkey * 7 + l_partkey) % 100')} AS peer,
          (l_suppkey * 7 + l_partkey) % 100 = l_suppkey AS self_tr,
          CAST({RAY} + CAST(l_partkey AS HUGEINT) * {E21} AS HUGEINT) AS idx,
-         CASE WHEN kind IN ('RF', 'RO', 'AF') THEN {addr('1000 + 2 * r')}
+         CASE WHEN kind IN ('RF', 'RO', 'AF') THEN {atok('r')}
               WHEN kind = 'AO' THEN {addr(0xA11CE)}
-              ELSE {addr('1001 + 2 * r')} END AS emitter,
+              ELSE {vdebt('r')} END AS emitter,
          CASE WHEN kind IN ('RF', 'NF') THEN 'Mint' WHEN kind IN ('RO', 'NO') THEN 'Burn'
               WHEN kind = 'AF' THEN 'BalanceTransfer'
               WHEN l_discount >= 0.05 THEN 'ReserveUsedAsCollateralEnabled'
@@ -70,9 +85,9 @@ tev AS (
 RESERVES = f"""
 res AS (
   SELECT {addr('p_partkey')} AS asset_address, p_partkey AS r, p_name, p_size, p_retailprice,
-         {addr('1000 + 2 * p_partkey')} AS atoken_address,
-         {addr('1001 + 2 * p_partkey')} AS v_debt_token_address
-  FROM part WHERE p_partkey < 45)"""
+         {atok('p_partkey')} AS atoken_address,
+         {vdebt('p_partkey')} AS v_debt_token_address
+  FROM part)"""
 
 TOKEN_MAP = """
 tmap AS (
@@ -309,14 +324,14 @@ ZERO = "'0x0000000000000000000000000000000000000000'"
 TOPIC_DIM = "topic_dim(event, family, topic0) AS (VALUES " + ", ".join(
     f"('{n}', '{f}', '{TOPIC[n]}')" for n, _, f in EVENTS) + ")"
 
-EVX = """
+EVX = f"""
 evx AS (
   SELECT event_id, event_type, user_id, value,
          CAST(floor(epoch(ts) / 12) AS BIGINT) AS block_number,
          CAST(event_id AS BIGINT) AS log_index,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          CAST(round(value * 100) AS BIGINT) AS amount,
-         user_id % 50 AS r
+         {asset('user_id % 50')} AS r
   FROM events)"""
 
 CFG = f"""
@@ -362,9 +377,9 @@ RAW_TOKEN = f"""
 rawtok AS (
   SELECT l_orderkey AS block_number, CAST(l_linenumber AS BIGINT) AS log_index,
     {txh('l_orderkey')} AS tx_hash, l_quantity, l_returnflag || l_linestatus AS kind,
-    CASE WHEN l_returnflag || l_linestatus IN ('RF', 'RO', 'AF') THEN {addr('1000 + 2 * (l_partkey % 50)')}
+    CASE WHEN l_returnflag || l_linestatus IN ('RF', 'RO', 'AF') THEN {atok(asset('l_partkey % 50'))}
          WHEN l_returnflag || l_linestatus = 'AO' THEN {POOL}
-         ELSE {addr('1001 + 2 * (l_partkey % 50)')} END AS address,
+         ELSE {vdebt(asset('l_partkey % 50'))} END AS address,
     CASE WHEN l_returnflag || l_linestatus IN ('RF', 'NF') THEN 'Mint'
          WHEN l_returnflag || l_linestatus IN ('RO', 'NO') THEN 'Burn'
          WHEN l_returnflag || l_linestatus = 'AF' THEN 'BalanceTransfer'
@@ -422,8 +437,8 @@ y AS (
   SELECT l.*, l.l_returnflag || l.l_linestatus AS kind2 FROM lineitem l)
 SELECT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index,
   l_orderkey AS block_number,
-  CASE WHEN kind2 IN ('RF', 'RO', 'AF') THEN {addr('1000 + 2 * (l_partkey % 50)')}
-       WHEN kind2 = 'AO' THEN {POOL} ELSE {addr('1001 + 2 * (l_partkey % 50)')} END AS address,
+  CASE WHEN kind2 IN ('RF', 'RO', 'AF') THEN {atok(asset('l_partkey % 50'))}
+       WHEN kind2 = 'AO' THEN {POOL} ELSE {vdebt(asset('l_partkey % 50'))} END AS address,
   CASE WHEN kind2 IN ('RF', 'NF') THEN 'Mint' WHEN kind2 IN ('RO', 'NO') THEN 'Burn'
        WHEN kind2 = 'AF' THEN 'BalanceTransfer'
        WHEN l_discount >= 0.05 THEN 'ReserveUsedAsCollateralEnabled'
@@ -435,7 +450,7 @@ SELECT {txh('l_orderkey')} AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index
   CASE WHEN kind2 NOT IN ('AO', 'AF') THEN
     CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) // 5 END
     AS balance_increase,
-  CASE WHEN kind2 = 'AO' THEN {addr('l_partkey % 50')} END AS reserve,
+  CASE WHEN kind2 = 'AO' THEN {addr(asset('l_partkey % 50'))} END AS reserve,
   CASE WHEN kind2 = 'AO' THEN {addr('l_suppkey')} END AS user_address
 FROM y WHERE NOT (l_quantity = 49 OR (l_quantity = 50 AND kind2 <> 'AO'))"""
 
@@ -476,8 +491,8 @@ SELECT tx_hash, log_index, CAST(v AS VARCHAR) AS word0,
 FROM tev WHERE kind <> 'AO'"""
 
 SQL["config_bit"] = f"""
-SELECT {addr('p_partkey')} AS asset_address, p_partkey % 3 = 0 AS is_paused
-FROM part WHERE p_partkey < 50"""
+SELECT {addr(asset('p_partkey'))} AS asset_address, p_partkey % 3 = 0 AS is_paused
+FROM part"""
 
 SQL["normalize_address"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL
@@ -516,10 +531,10 @@ resf AS (
     false AS is_stable_borrow_enabled, true AS is_flash_loan_enabled, CAST(0 AS BIGINT) AS debt_ceiling,
     CAST(1000 AS BIGINT) AS liquidation_protocol_fee, false AS is_siloed_borrowing,
     CAST(0 AS BIGINT) AS unbacked_mint_cap,
-    {addr('1000 + 2 * p_partkey')} AS atoken_address, {addr('1001 + 2 * p_partkey')} AS v_debt_token_address,
+    {atok('p_partkey')} AS atoken_address, {vdebt('p_partkey')} AS v_debt_token_address,
     {addr(3)} AS s_debt_token_address, {addr(4)} AS interest_rate_strategy_address,
     CAST(0 AS BIGINT) AS last_updated_block, CAST(-1 AS BIGINT) AS last_updated_log_index
-  FROM part WHERE p_partkey < 45)"""
+  FROM part)"""
 
 RESERVE_COLS = ["asset_address", "symbol", "decimals", "reserve_id", "liquidation_threshold",
                 "liquidation_bonus", "ltv", "is_active", "is_frozen", "is_paused",
@@ -597,7 +612,7 @@ SQL["active_emode_users"] = SQL["fold_user_emode"] + " WHERE emode_category_id >
 
 SNAP_RES = f"""
 snapres AS (
-  SELECT {addr('p_partkey')} AS asset_address,
+  SELECT {addr(asset('p_partkey'))} AS asset_address,
     CASE WHEN p_partkey % 5 = 0 THEN 'UNKNOWN' ELSE p_name END AS symbol,
     CAST(p_size AS BIGINT) AS decimals, CAST(p_partkey AS INTEGER) AS reserve_id,
     7000 + p_partkey AS ltv, 7500 + p_partkey AS liquidation_threshold, 10500 + p_partkey AS liquidation_bonus,
@@ -611,12 +626,12 @@ snapres AS (
     CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 10 END AS liquidation_protocol_fee,
     CASE WHEN p_partkey % 7 = 0 THEN false ELSE p_partkey % 2 = 1 END AS is_siloed_borrowing,
     CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 100 END AS unbacked_mint_cap,
-    {addr('1000 + 2 * p_partkey')} AS atoken_address, {addr('1001 + 2 * p_partkey')} AS v_debt_token_address,
-    CASE WHEN p_partkey % 2 = 0 THEN {ZERO} ELSE {addr('2000 + p_partkey')} END AS s_debt_token_address,
-    {addr('4000 + p_partkey')} AS interest_rate_strategy_address,
+    {atok(asset('p_partkey'))} AS atoken_address, {vdebt(asset('p_partkey'))} AS v_debt_token_address,
+    CASE WHEN p_partkey % 2 = 0 THEN {ZERO} ELSE {addr(str(S_DEBT_BASE) + ' + ' + asset('p_partkey'))} END AS s_debt_token_address,
+    {addr(str(STRATEGY_BASE) + ' + ' + asset('p_partkey'))} AS interest_rate_strategy_address,
     CAST(5000 AS BIGINT) AS last_updated_block, CAST(-1 AS BIGINT) AS last_updated_log_index,
     p_partkey AS r, p_size, p_retailprice
-  FROM part WHERE p_partkey < 50)"""
+  FROM part)"""
 
 SQL["load_reserve_snapshot"] = "WITH " + SNAP_RES + "\nSELECT " + ", ".join(RESERVE_COLS) + " FROM snapres"
 
@@ -635,7 +650,8 @@ FROM snapres"""
 
 SQL["merge_overwrite"] = "WITH " + SNAP_RES + "," + RES_FULL + "\nSELECT " + ", ".join(
     [f"CASE WHEN e.asset_address IS NOT NULL THEN e.{c} ELSE n.{c} END AS {c}"
-     if c.startswith("last_updated") else f"n.{c} AS {c}" for c in RESERVE_COLS]) + \
+     if c.startswith("last_updated") else f"CASE WHEN n.asset_address IS NOT NULL THEN n.{c} ELSE e.{c} END AS {c}"
+     for c in RESERVE_COLS]) + \
     "\nFROM snapres n FULL OUTER JOIN resf e ON n.asset_address = e.asset_address"
 
 SQL["known_reserves"] = "WITH " + ",".join([EVX, CFG]) + """
@@ -708,7 +724,7 @@ SELECT category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label
 
 PAGES = f"""
 pg AS (
-  SELECT {addr('s_suppkey')} AS user_address, {addr('r')} AS asset_address, r,
+  SELECT {addr('s_suppkey')} AS user_address, {addr(asset('r'))} AS asset_address, r,
     (s_suppkey * 31 + r * 17) % 1000 * 100 AS supply, (s_suppkey * 13 + r * 29) % 700 * 100 AS debt,
     (s_suppkey + r) % 2 = 0 AS coll,
     CAST({RAY} + CAST(r AS HUGEINT) * {E21} AS VARCHAR) AS idx
@@ -752,6 +768,25 @@ SQL["lookup_keys"] = FOLD_SQL + "," + UE + "," + USER_EMODE_FOLD + f"""
 SELECT {POSITION_COLS} FROM fold
 WHERE user_address IN (SELECT user_address FROM uef WHERE emode_category_id > 0)"""
 
+SQL["lookup_keys_categories"] = "WITH " + ",".join([EVX, CAT, CAT_FOLD, UE, USER_EMODE_FOLD]) + f"""
+SELECT category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label,
+  {ok_block('last_ok')} AS last_updated_block, {ok_log('last_ok')} AS last_updated_log_index
+FROM catf WHERE category_id IN (SELECT emode_category_id FROM uef WHERE emode_category_id > 0)"""
+
+SQL["lookup_keys_reserve_ids"] = "WITH " + ",".join([EVX, EMA, FLAGS]) + f"""
+SELECT {addr('p_partkey')} AS asset_address, CAST(p_partkey AS INTEGER) AS reserve_id, p_name AS symbol
+FROM part WHERE p_partkey IN (SELECT reserve_id FROM members WHERE flag)"""
+
+SQL["emode_categories"] = "WITH " + ",".join([EVX, EMA, FLAGS, CAT, CAT_FOLD]) + f""",
+bms AS (SELECT category_id, {_bm('collateral')}, {_bm('borrowable')}, {_bm('ltvzero')} FROM members GROUP BY category_id)
+SELECT c.category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, label,
+  {ok_block('last_ok')} AS last_updated_block, {ok_log('last_ok')} AS last_updated_log_index,
+  bms.* EXCLUDE (category_id)
+FROM catf c LEFT JOIN bms ON c.category_id = bms.category_id"""
+
+SQL["orphan_state"] = f"""
+SELECT {addr(asset('p_partkey'))} AS asset_address FROM part WHERE p_partkey % 50 >= 45"""
+
 SQL["oldest_positions"] = FOLD_SQL + f"""
 SELECT {POSITION_COLS} FROM fold WHERE scaled_atoken_balance > 5 OR scaled_variable_debt > 5
 ORDER BY last_updated_block, user_address, asset_address LIMIT 100"""
@@ -881,8 +916,10 @@ FROM ema e ASOF LEFT JOIN reads r ON e.category_id = r.category_id AND e.block_n
 
 SQL["merge_overwrite_state"] = SQL["load_reserve_state_snapshot"].replace(
     "last_updated_block, last_updated_log_index\nFROM snapres",
-    "CASE WHEN r < 45 THEN 0 ELSE last_updated_block END AS last_updated_block,\n"
-    "  CASE WHEN r < 45 THEN -1 ELSE last_updated_log_index END AS last_updated_log_index\nFROM snapres")
+    "CASE WHEN r % 50 < 45 THEN 0 ELSE last_updated_block END AS last_updated_block,\n"
+    "  CASE WHEN r % 50 < 45 THEN -1 ELSE last_updated_log_index END AS last_updated_log_index\nFROM snapres") + f"""
+UNION ALL
+SELECT {addr('p_partkey')}, '1', '1', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, -1 FROM part WHERE p_partkey % 50 >= 45"""
 
 SQL["insert_if_absent_positions"] = FOLD_SQL + "," + PAGES + f""",
 snaprows AS (
@@ -890,7 +927,7 @@ snaprows AS (
     CAST(debt AS BIGINT) AS scaled_variable_debt, coll AS use_as_collateral, idx AS atoken_last_index,
     idx AS debt_last_index, CAST(5000 AS BIGINT) AS last_updated_block,
     CAST(-1 AS BIGINT) AS last_updated_log_index, true AS is_active, CAST(5000 AS BIGINT) AS created_at_block
-  FROM pg WHERE supply > 0 OR debt > 0)
+  FROM pg WHERE (supply > 0 OR debt > 0) AND r < 45)
 SELECT {POSITION_COLS} FROM fold
 UNION ALL
 SELECT {POSITION_COLS} FROM snaprows s
@@ -992,7 +1029,7 @@ FAULT = """CASE WHEN r % 5 = 0 AND event = 'Mint' AND log_index = 7 THEN 'zero_i
 WIDE_RESOLVED = RESOLVED.replace("rtev AS (", "rtev0 AS (") + f""",
 rtev AS (SELECT * FROM rtev0 WHERE {FAULT} IS NULL)"""
 WIDE_LEDGER = "WITH " + ",".join([WIDE_TOKEN_EVENTS, RESERVES, TOKEN_MAP, WIDE_RESOLVED, LEGS])
-WIDE_ASSET = f"asset_address IN (SELECT {addr('x')} FROM range(0, 50, 5) t(x))"
+WIDE_ASSET = f"asset_address IN (SELECT {addr(asset('x'))} FROM range(0, 50, 5) t(x))"
 
 SQL["decode_wide_amounts"] = f"""
 WITH t AS (

@@ -18,8 +18,9 @@ from ..session import checkpoint_dir
 from .tables import read_table
 
 RAY = 10 ** 27
-N_ASSETS = 50          # asset id r = key % 50
-N_KNOWN_RESERVES = 45  # reserves 0..44 exist, 45..49 are missing
+N_ASSETS = 50          # an event's key k is on the asset of k % 50
+N_KNOWN_RESERVES = 45  # of 50 consecutive keys, the first 45 name listed reserves, the others unlisted assets
+UNLISTED = 10 ** 9     # asset ids from here on are unlisted
 SNAPSHOT_BLOCK = 5000
 POOL_ID = 0xA11CE      # synthetic pool / configurator emitter
 
@@ -41,12 +42,22 @@ def pool_address() -> Column:
     return address_of(F.lit(POOL_ID))
 
 
+def asset_id(key) -> Column:
+    """The asset a key names: the reserve of that ``p_partkey``, or an unlisted asset."""
+    key = key.cast("bigint")
+    return F.when(key % N_ASSETS < N_KNOWN_RESERVES, key).otherwise(key + UNLISTED)
+
+
+# Token addresses lie beyond every asset id, each kind in a range of its own.
+ATOKEN_BASE, S_DEBT_BASE, STRATEGY_BASE = 10 ** 10, 2 * 10 ** 10, 3 * 10 ** 10
+
+
 def atoken_of(r) -> Column:
-    return address_of(F.lit(1000) + r * 2)
+    return address_of(F.lit(ATOKEN_BASE) + r * 2)
 
 
 def debt_token_of(r) -> Column:
-    return address_of(F.lit(1001) + r * 2)
+    return address_of(F.lit(ATOKEN_BASE + 1) + r * 2)
 
 
 def ray_index_of(partkey) -> Column:
@@ -66,7 +77,7 @@ def fx_token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     kind = F.concat("l_returnflag", "l_linestatus")
-    r = F.col("l_partkey") % N_ASSETS
+    r = asset_id(F.col("l_partkey") % N_ASSETS)
     value = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     user = address_of(F.col("l_suppkey"))
     peer = address_of((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 100)
@@ -114,9 +125,8 @@ def fx_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- reserves
 
 def fx_reserves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part (p_partkey < 45) -> seed rows of the ``reserves`` table at ordkey (0, -1)."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice") \
-        .where(F.col("p_partkey") < N_KNOWN_RESERVES)
+    """part -> seed rows of the ``reserves`` table at ordkey (0, -1), one per part."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     r = F.col("p_partkey")
     return p.select(
         address_of(r).alias("asset_address"),
@@ -188,7 +198,7 @@ def fx_config_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec = lambda c: c.cast(D38)
     return e.select(
         *_event_clock(e),
-        address_of(F.col("user_id") % N_ASSETS).alias("asset"),
+        address_of(asset_id(F.col("user_id") % N_ASSETS)).alias("asset"),
         name.alias("event"),
         F.when(et == "purchase", dec(amount)).alias("new_amount"),
         F.when(et == "view", k % 2 == 0).alias("flag"),
@@ -229,7 +239,7 @@ def fx_emode_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("event_type").isin("click", "view", "signup")).select(
         *_event_clock(e),
         (k % 8).cast("int").alias("category_id"),
-        address_of(F.col("user_id") % N_ASSETS).alias("asset"),
+        address_of(asset_id(F.col("user_id") % N_ASSETS)).alias("asset"),
         kind.alias("bitmap"),
         (F.col("event_id") % 2 == 1).alias("flag"),
     )
@@ -289,7 +299,7 @@ def fx_snapshot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = s.select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                    F.lit(N_ASSETS - 1).cast("bigint"))).alias("r"))
     user = address_of(F.col("s_suppkey"))
-    asset = address_of(F.col("r"))
+    asset = address_of(asset_id(F.col("r")))
     idx = ray_index_of(F.col("r")).cast("string")
     item = F.struct(
         F.concat(user, asset).alias("id"),
@@ -344,16 +354,16 @@ def fx_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part (p_partkey < 50) -> per-asset contract reads at one block.
+    """part -> contract reads at one block, one per part: of its reserve, or of the unlisted asset its key names.
 
     Columns mirror the reads of a reserve load: token addresses, configuration,
     caps, pool reserve data (packed configuration word), optional group and
     token supplies.  Every 7th asset has no optional group (read failed) and
     even assets have no stable debt token.
     """
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice") \
-        .where(F.col("p_partkey") < N_ASSETS)
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     r = F.col("p_partkey")
+    asset = asset_id(r)
     dec = lambda c: c.cast(D38)
     paused = (r % 3 == 0)
     # configuration word: bit 60 = paused, low 16 bits = ltv
@@ -361,14 +371,14 @@ def fx_reserve_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit("00000000000"), F.lpad(F.lower(F.hex(F.lit(7000) + r)), 4, "0"))
     no_opt = (r % 7 == 0)
     return p.select(
-        address_of(r).alias("asset_address"),
+        address_of(asset).alias("asset_address"),
         F.lit(SNAPSHOT_BLOCK).cast("bigint").alias("block_number"),
         F.when(r % 5 == 0, None).otherwise(F.col("p_name")).alias("symbol"),
-        atoken_of(r).alias("atoken_address"),
-        debt_token_of(r).alias("v_debt_token_address"),
-        F.when(r % 2 == 0, F.lit("0x" + "0" * 40)).otherwise(address_of(F.lit(2000) + r))
+        atoken_of(asset).alias("atoken_address"),
+        debt_token_of(asset).alias("v_debt_token_address"),
+        F.when(r % 2 == 0, F.lit("0x" + "0" * 40)).otherwise(address_of(F.lit(S_DEBT_BASE) + asset))
          .alias("s_debt_token_address"),
-        address_of(F.lit(4000) + r).alias("interest_rate_strategy_address"),
+        address_of(F.lit(STRATEGY_BASE) + asset).alias("interest_rate_strategy_address"),
         F.col("p_size").cast("bigint").alias("decimals"),
         (F.lit(7000) + r).cast("bigint").alias("ltv"),
         (F.lit(7500) + r).cast("bigint").alias("liquidation_threshold"),
