@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .joins import dim_join
-from .order import ord_block, ord_log, ordkey
+from .order import asof_join, ord_block, ord_log, ordkey
 
 # Event -> {reserves column: SQL expression over the decoded event}.
 # ReserveStableRateBorrowing changes only the flag: its address update shares
@@ -171,13 +172,16 @@ BITMAPS = {"AssetCollateralInEModeChanged": "collateral",
            "AssetLtvzeroInEModeChanged": "ltvzero"}
 
 
+def _named_bitmaps(flag_events: DataFrame) -> DataFrame:
+    if "bitmap" in flag_events.columns:
+        return flag_events
+    return flag_events.withColumn("bitmap", F.create_map(*[x for kv in BITMAPS.items()
+                                                             for x in map(F.lit, kv)])[F.col("event")])
+
+
 def asset_flags(flag_events: DataFrame) -> DataFrame:
     """Latest flag per (category, asset, bitmap), chain order."""
-    ev = flag_events
-    if "bitmap" not in ev.columns:
-        ev = ev.withColumn("bitmap", F.create_map(*[x for kv in BITMAPS.items()
-                                                      for x in map(F.lit, kv)])[F.col("event")])
-    return ev.groupBy("category_id", "asset", "bitmap").agg(
+    return _named_bitmaps(flag_events).groupBy("category_id", "asset", "bitmap").agg(
         F.max_by("flag", ordkey()).alias("flag"))
 
 
@@ -210,6 +214,66 @@ def bitmap_members(flag_events: DataFrame, reserves: DataFrame) -> DataFrame:
     return dim_join(flags, ids, "asset", "inner").select("category_id", "bitmap", "reserve_id")
 
 
+WORD_BITS, N_WORDS = 32, 4
+
+
+def bitmap_history(flag_events: DataFrame, reserves: DataFrame, bucket_blocks: int = 10_000) -> DataFrame:
+    """The three bitmaps of every category after each block that changes one of them.
+
+    A bitmap is a running sum: a flag that turns a member on adds its bit, one
+    that turns it off takes it away, a repeated flag adds nothing.  Only the
+    last flag of a member in a block counts.  The 128 bits are four words of 32
+    bits, so sums stay exact longs.  Time is cut into buckets of
+    ``bucket_blocks``; a bucket's first flags and sums continue from a table
+    with one row per (member, bucket) or (category, bucket), so that a hot
+    category or member is spread over its buckets.
+
+    Columns: category_id, block_number, log_index (0), ``<bitmap>_<word>``.
+    Assets without a reserve id below 128 are ignored, as in :func:`fold_bitmaps`.
+    """
+    ids = reserves.select(F.col("asset_address").alias("asset"), "reserve_id") \
+        .where(F.col("reserve_id").isNotNull() & (F.col("reserve_id") < WORD_BITS * N_WORDS))
+    member = ["category_id", "bitmap", "reserve_id"]
+    bkt = F.floor(F.col("block_number") / bucket_blocks).cast("bigint").alias("bkt")
+    per_block = dim_join(_named_bitmaps(flag_events), ids, "asset", "inner") \
+        .groupBy(*member, "block_number").agg(F.max_by("flag", ordkey()).alias("flag")).select("*", bkt)
+    in_bucket = Window.partitionBy(*member, "bkt").orderBy("block_number")
+    last = per_block.groupBy(*member, "bkt").agg(F.max_by("flag", "block_number").alias("last"))
+    carry = last.select(*member, "bkt", F.lag("last").over(Window.partitionBy(*member).orderBy("bkt")).alias("carry"))
+    turned = per_block.withColumn("before", F.lag("flag").over(in_bucket)).join(carry, [*member, "bkt"])
+    sign = F.col("flag").cast("bigint") - F.coalesce("before", "carry", F.lit(False)).cast("bigint")
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(reserve_id % {WORD_BITS} AS INT))")
+    words = {f"{b}_{k}": F.sum(F.when((F.col("bitmap") == b) & (F.floor(F.col("reserve_id") / WORD_BITS) == k), sign * bit)
+                               .otherwise(F.lit(0).cast("bigint"))) for b in BITMAPS.values() for k in range(N_WORDS)}
+    steps = turned.groupBy("category_id", "block_number", "bkt").agg(*[x.alias(c) for c, x in words.items()])
+    totals = steps.groupBy("category_id", "bkt").agg(*[F.sum(c).alias(c) for c in words])
+    earlier = Window.partitionBy("category_id").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("category_id", "bkt", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in words])
+    upto = Window.partitionBy("category_id", "bkt").orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select("category_id", "bkt", "block_number", *[F.sum(c).over(upto).alias(c) for c in words])
+    return sums.join(offsets, ["category_id", "bkt"]).select(
+        "category_id", "block_number", F.lit(0).cast("bigint").alias("log_index"),
+        *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in words])
+
+
+def bitmaps_as_of(probes: DataFrame, flag_events: DataFrame, reserves: DataFrame,
+                  bucket_blocks: int = 10_000) -> DataFrame:
+    """``probes`` (category_id, block_number, ...) with the category's three
+    bitmaps as of the end of that block, as 32-digit hex text, and their member
+    counts; all zero before the first flag."""
+    words = [f"{b}_{k}" for b in BITMAPS.values() for k in range(N_WORDS)]
+    j = asof_join(probes, bitmap_history(flag_events, reserves, bucket_blocks), "category_id", words,
+                  bucket_blocks=bucket_blocks)
+    word = lambda b, k: F.coalesce(F.col(f"{b}_{k}"), F.lit(0))
+    out = []
+    for b in BITMAPS.values():
+        parts = [F.lpad(F.lower(F.hex(word(b, k))), WORD_BITS // 4, "0") for k in reversed(range(N_WORDS))]
+        out.append(F.concat(F.lit("0x"), *parts).alias(f"{b}_bitmap"))
+        out.append(sum((F.bit_count(word(b, k)) for k in range(1, N_WORDS)), F.bit_count(word(b, 0))).cast("bigint")
+                   .alias(f"{b}_members"))
+    return j.select(*probes.columns, *out)
+
+
 def emode_categories(category_events: DataFrame, flag_events: DataFrame,
                      reserves: DataFrame) -> DataFrame:
     """The ``emode_categories`` table: folded rows plus bitmaps.  Bitmap writes

@@ -660,6 +660,25 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/dedup")
 
 
+@query("stream_once")
+def q_stream_once(spark, sf, n_ranges: int = 4):
+    """Deliveries in the worst order: block ranges from the newest to the oldest, all of them twice."""
+    import uuid
+
+    from ..session import state_root
+    from ..streaming.apply import stream_once
+    root = state_root(spark, f"once-{uuid.uuid4().hex[:12]}")
+    ev = fx.materialize(fx.fx_token_events(spark, sf), ("token_events", sf))
+    width = (ev.select(F.max("block_number")).first()[0] or 0) // n_ranges + 1
+    for turn in range(2):
+        for i in reversed(range(n_ranges)):
+            ev.where(F.floor(F.col("block_number") / width) == i) \
+                .write.mode("overwrite").parquet(f"{root}/src/delivery={turn}{n_ranges - i:04d}")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/src/*")
+    stream_once(src, f"{root}/kept", f"{root}/ckpt", order="arrival").awaitTermination()
+    return spark.read.parquet(f"{root}/kept").select("tx_hash", "log_index", "block_number")
+
+
 @query("stateful_positions")
 def q_stateful_positions(spark, sf):
     from ..streaming.apply import stateful_positions, stream_dedup
@@ -708,6 +727,13 @@ def q_load_bitmap_as_of(spark, sf):
     return asof_join(probes, reads, "category_id", ["ltv", "label"])
 
 
+@query("bitmaps_as_of")
+def q_bitmaps_as_of(spark, sf):
+    """The three bitmaps of a category at the block of every category event."""
+    probes = fx.fx_emode_category_events(spark, sf).select("category_id", "block_number", "log_index")
+    return fo.bitmaps_as_of(probes, emode_flag_events(spark, sf), fx.fx_reserves(spark, sf))
+
+
 @query("merge_overwrite_state")
 def q_merge_overwrite_state(spark, sf):
     _, st = sn.load_reserve_snapshot(fx.fx_reserve_reads(spark, sf))

@@ -784,6 +784,21 @@ SELECT c.category_id, ltv, liquidation_threshold, liquidation_bonus, oracle, lab
   bms.* EXCLUDE (category_id)
 FROM catf c LEFT JOIN bms ON c.category_id = bms.category_id"""
 
+SQL["bitmaps_as_of"] = "WITH " + ",".join([EVX, EMA, CAT]) + f""",
+flags AS (
+  SELECT p.category_id, p.block_number, bitmap, CAST(r AS INTEGER) AS reserve_id,
+    arg_max(flag, {ordk('e.block_number', 'e.raw_log')}) AS flag
+  FROM (SELECT DISTINCT category_id, block_number FROM cat) p
+  JOIN ema e ON e.category_id = p.category_id AND e.block_number <= p.block_number
+  WHERE r < 45 GROUP BY ALL),
+bms AS (
+  SELECT category_id, block_number, {_bm('collateral')}, {_bm('borrowable')}, {_bm('ltvzero')}
+  FROM flags GROUP BY category_id, block_number)
+SELECT c.category_id, c.block_number, c.raw_log AS log_index,
+  """ + ", ".join(f"coalesce({b}_bitmap, '0x{'0' * 32}') AS {b}_bitmap, coalesce({b}_members, 0) AS {b}_members"
+                  for b in ("collateral", "borrowable", "ltvzero")) + """
+FROM cat c LEFT JOIN bms b ON c.category_id = b.category_id AND c.block_number = b.block_number"""
+
 SQL["orphan_state"] = f"""
 SELECT {addr(asset('p_partkey'))} AS asset_address FROM part WHERE p_partkey % 50 >= 45"""
 
@@ -898,6 +913,7 @@ FROM sides"""
 SQL["stream_apply"] = SQL["fold_positions"]
 SQL["stateful_positions"] = SQL["fold_positions"]
 SQL["stream_dedup"] = SQL["insert_if_absent"]
+SQL["stream_once"] = SQL["insert_if_absent"]
 
 SQL["entity_key"] = "WITH " + ",".join([EVX, CFG, EMA, CAT]) + """
 SELECT tx_hash, log_index, event, asset AS entity FROM cfg
