@@ -168,8 +168,12 @@ def figures(text: Column | str) -> Column:
 
 
 def verdict(text: Column | str) -> Column:
-    """The cleaned text and whether the document is kept, as a struct."""
-    return _judge(["kept", "clean_text"])(text)
+    """The cleaned text and whether the document is kept, as a struct.
+
+    Marked nondeterministic (it is not) so that a filter on ``kept`` is not
+    pushed below it as a second evaluation of every text.
+    """
+    return _judge(["kept", "clean_text"]).asNondeterministic()(text)
 
 
 def judged(docs: DataFrame) -> DataFrame:

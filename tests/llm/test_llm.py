@@ -386,3 +386,14 @@ def test_empty_tables(spark, empty):
 def test_stages_keep_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_every_text_is_judged_once(docs):
+    out = quality_rules.kept_documents(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = collections.Counter()
+    for r in docs.collect():
+        v = quality_rules.judge(r.text)
+        if v.kept:
+            want[r.doc_id, v.clean_text] += 1
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == want
