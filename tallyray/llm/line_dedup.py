@@ -1,16 +1,17 @@
 """Removal of lines that spread over many sites.
 
 A line counts if it has at least three words and 20 characters (blanks at its
-ends set aside).  Lines are named by 128 bits of hashes.  Aggregation first
-keeps one row per (line, site); for each line a HyperLogLog sketch of its sites
-is merged from these.  Lines estimated clearly above ``min_sites`` are
-boilerplate, those clearly below are not, and those near the threshold get an
+ends set aside).  Lines are named by 128 bits of hashes.  Aggregation merges a
+HyperLogLog sketch of the sites of every line straight from the lines, partial
+sketches before the shuffle.  Lines estimated clearly above ``min_sites`` are
+boilerplate, those clearly below are not; only those near the threshold get an
 exact count of distinct sites.  Boilerplate stays where it is first (least
 doc_id, first place there), so that no text is lost, and goes everywhere else.
 
 The site is the document's source.  Built with DataFrame functions only.  The
-hash of a very common line is salted before the join that looks lines up; a
-document's lines are looked up by hash, and its text moves once.
+names to look up are salted before they meet the lines, so that a very common
+line is many tasks; what comes back to a document are the places of the lines
+that go, taken from its places as a set: linear in its lines.
 
 Defined results: a null text is left null and has no lines; an empty text has
 one line; a null source is a site of its own; a null doc_id is never the first
@@ -45,45 +46,61 @@ def _counts(line: Column) -> Column:
     return (F.length(line) >= MIN_CHARS) & line.rlike(THREE_WORDS)
 
 
-def spread(pairs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """The boilerplate among (l1, l2, site, first) rows, distinct by line and site: l1, l2, first."""
-    margin = max(1, round(4 * 1.04 / 2 ** (lg_k / 2) * min_sites))
-    lines = (pairs.groupBy("l1", "l2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
-                                           F.min("first").alias("first"))
-             .where(F.col("sites") >= min_sites - margin))
-    lines = stored(lines)
-    near = lines.where(F.col("sites") <= min_sites + margin).select("l1", "l2")
-    exact = (pairs.join(near, ["l1", "l2"], "left_semi").groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-             .where(F.col("n") >= min_sites).select("l1", "l2", "first"))
-    return lines.where(F.col("sites") > min_sites + margin).select("l1", "l2", "first").union(exact)
+def counted_lines(docs: DataFrame) -> DataFrame:
+    """The lines that count, with their places: id, th (names the text), site, place, l1, l2."""
+    l1, l2 = _names(F.col("line"))
+    # named before the lines are dealt out: a row of a line must not carry the whole text
+    return (docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"),
+                        F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("site"),
+                        F.transform(F.split("text", "\n", -1), _trimmed).alias("lines"))
+            .select("id", "th", "site", F.posexplode("lines").alias("place", "line"))
+            .where(_counts(F.col("line"))).select("id", "th", "site", "place", l1.alias("l1"), l2.alias("l2")))
+
+
+def sketched(lines: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """l1, l2, sites (estimated by a HyperLogLog sketch of 2 ** lg_k registers), first (least id)."""
+    return lines.groupBy("l1", "l2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
+                                         F.min("id").alias("first"))
+
+
+def margin(min_sites: int, lg_k: int) -> int:
+    """Four standard errors of a sketch at ``min_sites``, one at least."""
+    return max(1, round(4 * 1.04 / 2 ** (lg_k / 2) * min_sites))
+
+
+def _salted(names: DataFrame) -> DataFrame:
+    return names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def boilerplate_places(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """The lines found on at least ``min_sites`` sites: id, th, place, l1, l2, first."""
+    m = margin(min_sites, lg_k)
+    likely = stored(sketched(lines, lg_k).where(F.col("sites") >= min_sites - m)
+                    .select("l1", "l2", "first", (F.col("sites") <= min_sites + m).alias("near")))
+    salt = F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")
+    found = stored(lines.withColumn("salt", salt).join(_salted(likely), ["l1", "l2", "salt"]))
+    exact = (found.where("near").groupBy("l1", "l2").agg(F.count_distinct("site").alias("n"))
+             .where(F.col("n") >= min_sites).select("l1", "l2"))
+    sure = found.where("not near").unionByName(found.where("near").join(_salted(exact), ["l1", "l2", "salt"], "left_semi"))
+    return sure.select("id", "th", "place", "l1", "l2", "first")
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """``docs`` as column ``row``, with ``lines`` (array), ``left`` (the lines that stay) of every document."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    key = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")]
-    l1, l2 = _names(F.col("line"))
-    # array_distinct: a line counts once in a document, and the last join looks it up once.
-    lines = (docs.select(*key, F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("site"),
-                         F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _trimmed))).alias("line"))
-             .where(_counts(F.col("line"))).select("id", "th", "site", l1.alias("l1"), l2.alias("l2")))
-    pairs = stored(lines.groupBy("l1", "l2", "site").agg(F.min("id").alias("first")))
-    bad = stored(spread(pairs, min_sites, lg_k)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    here = (lines.withColumn("salt", F.pmod("th", F.lit(SALTS)).cast("int")).join(bad, ["l1", "l2", "salt"])
-            .groupBy("id", "th").agg(F.collect_set(F.when(~F.col("first").eqNullSafe(F.col("id")), F.struct("l1", "l2"))).alias("gone"),
-                                     F.collect_set(F.when(F.col("first") == F.col("id"), F.struct("l1", "l2"))).alias("once")))
-    d, h = docs.select(row, *key).alias("d"), here.alias("h")
+    bad = boilerplate_places(counted_lines(docs), min_sites, lg_k)
+    # rows that repeat a document share their places: the set holds them once
+    per_line = bad.groupBy("id", "th", "l1", "l2", "first").agg(F.collect_set("place").alias("places"))
+    goes = (F.when(F.col("first") == F.col("id"), F.array_remove("places", F.array_min("places")))
+            .when(~F.col("first").eqNullSafe(F.col("id")), F.col("places")))
+    here = per_line.select("id", "th", F.explode(goes).alias("place")).groupBy("id", "th").agg(F.collect_list("place").alias("gone"))
+    d = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines")).alias("d")
+    h = here.alias("h")
     joined = (d.join(h, F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
-              .select("row", "gone", "once", F.split("row.text", "\n", -1).alias("lines")))
-
-    def stays(line: Column, i: Column) -> Column:
-        t = _trimmed(line)
-        n1, n2 = _names(t)
-        name = F.struct(n1.alias("l1"), n2.alias("l2"))
-        again = F.exists(F.slice("lines", 1, i), lambda x: _trimmed(x) == t)
-        return ~_counts(t) | ~(F.array_contains("gone", name) | (F.array_contains("once", name) & again))
-
-    return joined.select("row", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)).alias("left"))
+              .select("row", "lines", "gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.transform(stay, lambda i: F.get(F.col("lines"), i))
+    return joined.select("row", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left).alias("left"))
 
 
 def deduped(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
