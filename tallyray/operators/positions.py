@@ -466,33 +466,31 @@ def exact_texts(positions: DataFrame) -> DataFrame:
                               for c in positions.columns if c != "exact"])
 
 
+def _leg_totals(num) -> list[Column]:
+    """What a group of leg effects amounts to: sums, the latest flags and indexes, the last kept leg, the creation."""
+    zero = num.zero()
+    kept = lambda c: F.when(F.col("kept"), F.col(c)).otherwise(zero)
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ok")))
+    return [num.summed(kept("d_supply")).alias("sum_s"), num.summed(kept("d_debt")).alias("sum_d"),
+            latest("coll_ev").alias("coll"), latest("act_ev").alias("act"),
+            latest("sidx_ev").alias("sidx"), latest("didx_ev").alias("didx"),
+            F.max(F.when(F.col("kept"), F.col("ok"))).alias("last_ok"), F.min("creation").alias("creation")]
+
+
+def _unseeded_columns() -> list[Column]:
+    """The position columns of a pair that began with its creation leg, from its totals."""
+    return [F.col("sum_s").alias("scaled_atoken_balance"), F.col("sum_d").alias("scaled_variable_debt"),
+            F.coalesce("coll", F.lit(False)).alias("use_as_collateral"),
+            F.col("sidx").alias("atoken_last_index"), F.col("didx").alias("debt_last_index"),
+            ord_block("last_ok").alias("last_updated_block"), ord_log("last_ok").alias("last_updated_log_index"),
+            F.coalesce("act", F.lit(True)).alias("is_active"), ord_block("creation").alias("created_at_block")]
+
+
 def _folded(fx: DataFrame, seed: DataFrame | None, num) -> DataFrame:
     zero = num.zero()
-    nn = lambda c: F.when(F.col(c).isNotNull(), F.col("ok"))
-    pair = fx.groupBy(*KEY).agg(
-        num.summed(F.when(F.col("kept"), F.col("d_supply")).otherwise(zero)).alias("sum_s"),
-        num.summed(F.when(F.col("kept"), F.col("d_debt")).otherwise(zero)).alias("sum_d"),
-        F.max_by("coll_ev", nn("coll_ev")).alias("coll"),
-        F.max_by("act_ev", nn("act_ev")).alias("act"),
-        F.max_by("sidx_ev", nn("sidx_ev")).alias("sidx"),
-        F.max_by("didx_ev", nn("didx_ev")).alias("didx"),
-        F.max(F.when(F.col("kept"), F.col("ok"))).alias("last_ok"),
-        F.min("creation").alias("creation"),
-        F.max("stale_clear_s").alias("any_scs"),
-        F.max("stale_clear").alias("any_sc"))
+    pair = fx.groupBy(*KEY).agg(*_leg_totals(num), F.max("stale_clear_s").alias("any_scs"), F.max("stale_clear").alias("any_sc"))
     if seed is None:
-        out = pair.where(F.col("creation").isNotNull())
-        return out.select(
-            *KEY,
-            F.col("sum_s").alias("scaled_atoken_balance"),
-            F.col("sum_d").alias("scaled_variable_debt"),
-            F.coalesce("coll", F.lit(False)).alias("use_as_collateral"),
-            F.col("sidx").alias("atoken_last_index"),
-            F.col("didx").alias("debt_last_index"),
-            ord_block("last_ok").alias("last_updated_block"),
-            ord_log("last_ok").alias("last_updated_log_index"),
-            F.coalesce("act", F.lit(True)).alias("is_active"),
-            ord_block("creation").alias("created_at_block"))
+        return pair.where(F.col("creation").isNotNull()).select(*KEY, *_unseeded_columns())
     s = seed.select(*KEY, F.lit(True).alias("__seeded"),
                     *[(num.of_seed(F.col(c)) if c in AMOUNTS else F.col(c)).alias(f"__{c}") for c in seed.columns if c not in KEY])
     m = pair.join(s, KEY, "full_outer")
@@ -521,6 +519,54 @@ def _folded(fx: DataFrame, seed: DataFrame | None, num) -> DataFrame:
         .alias("created_at_block"))
 
 
+def anchor_spans(anchors: DataFrame) -> DataFrame:
+    """anchor, n (its place, from 0), prev (the anchor before, -1 for the first) and anchors (their number), one row per
+    distinct ``anchor`` that is not null.  One row per anchor, whatever the ledger's size."""
+    order, whole = Window.orderBy("anchor"), Window.partitionBy()
+    return (anchors.select(F.col("anchor").cast("bigint").alias("anchor")).where("anchor >= 0").distinct()
+            .select("anchor", (F.row_number().over(order) - 1).alias("n"),
+                    F.coalesce(F.lag("anchor").over(order), F.lit(-1)).alias("prev"), F.count("*").over(whole).alias("anchors")))
+
+
+def states_at(legs: DataFrame, anchors: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS, materialize: bool = True) -> DataFrame:
+    """The positions as of every block in ``anchors`` (column ``anchor``), from one pass over the legs.
+
+    A leg's effect hangs on earlier legs only, so the effects are computed once.
+    They are summed per (user, asset, span between two anchors) with partial
+    aggregation, carried over a pair's touched spans by a window of one row per
+    span, and every such row stands for the anchors up to the pair's next
+    touched span.  A pair has a row at an anchor once it was created at or
+    before it.  Null, negative and repeated anchors give nothing of their own.
+    A leg meets its span by its block bucket, so anchors cost one small row per
+    bucket they span, also beyond the last leg.
+    """
+    from .joins import dim_join
+    spans = anchor_spans(anchors)
+    bucket = lambda b: F.floor(b / bucket_blocks).cast("bigint")
+    by_bucket = spans.select("n", "prev", "anchor", "anchors", F.explode(
+        F.sequence(bucket(F.col("prev") + 1), bucket(F.col("anchor")))).alias("span_bkt"))
+    inside = (F.col("bkt") == F.col("span_bkt")) & (F.col("block_number") > F.col("prev")) & (F.col("block_number") <= F.col("anchor"))
+    touched = Window.partitionBy(*KEY).orderBy("n")
+    upto = touched.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def states(fx: DataFrame, num) -> DataFrame:
+        part = (dim_join(fx, by_bucket, inside).groupBy(*KEY, "n", "anchors").agg(*_leg_totals(num))
+                .where(F.col("last_ok").isNotNull()))
+        carried = part.select(
+            *KEY, *[num.summed(F.col(c), upto).alias(c) for c in ("sum_s", "sum_d")],
+            *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("coll", "act", "sidx", "didx")],
+            "last_ok", "creation", "n", F.coalesce(F.lead("n").over(touched), F.col("anchors").cast("int")).alias("until"))
+        carried = carried.withColumn("n", F.explode(F.sequence(F.col("n"), F.col("until") - 1)))
+        return dim_join(carried, spans.select("n", "anchor"), "n").select("anchor", *KEY, *_unseeded_columns())
+
+    parts = _both_effects(legs, None, None, bucket_blocks, materialize)
+    folds = [states(fx, num) for num, fx in parts]
+    if len(folds) == 1:
+        return folds[0]
+    shown = [_shown(df, num, list(AMOUNTS)) for (num, _), df in zip(parts, folds)]
+    return shown[0].unionByName(shown[1])
+
+
 def balances(legs: DataFrame, bucket_blocks: int = DEFAULT_BUCKET_BLOCKS) -> DataFrame:
     """Only the scaled balances per (user, asset): the minimum slice."""
     out = exact_texts(fold_positions(legs, bucket_blocks=bucket_blocks))

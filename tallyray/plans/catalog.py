@@ -15,6 +15,7 @@ from ..functions import uint256 as u256
 from ..functions.raymath import burn_delta, mint_delta, ray_div
 from ..operators import positions as pos
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 from . import stages as pl
 from .outputs import present, present_exact, present_positions
 
@@ -55,6 +56,15 @@ def q_state_as_of(spark, sf, at_block: int = 7500):
     return present_positions(pos.fold_positions(legs))
 
 
+@query("states_as_of")
+def q_states_as_of(spark, sf, steps: int = 8):
+    """All positions at the ends of ``steps`` equal parts of the chain."""
+    head = read_table(spark, sf, "lineitem").agg(F.max("l_orderkey").alias("head"))
+    anchors = head.select("head", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k")).select(
+        F.expr(f"head * k div {steps}").alias("anchor"))
+    return present_positions(pos.states_at(pl.ledger_legs(spark, sf), anchors))
+
+
 @query("running_balance")
 def q_running_balance(spark, sf):
     fx_ = pos.leg_effects(pl.ledger_legs(spark, sf)).where(F.col("kept"))

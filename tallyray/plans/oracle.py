@@ -265,6 +265,17 @@ SQL["position_balances"] = ledger_ctes() + "," + FOLD_UNSEEDED + \
 SQL["state_as_of"] = ledger_ctes("block_number <= 7500") + "," + FOLD_UNSEEDED + \
     f"\nSELECT {POSITION_COLS} FROM fold"
 
+ANCHORS = """
+anchors AS (
+  SELECT DISTINCT (SELECT max(l_orderkey) FROM lineitem) * k // 8 AS anchor FROM range(1, 9) t(k))"""
+
+# every anchor folds its own copy of the legs up to it
+SQL["states_as_of"] = "WITH " + ",".join([TOKEN_EVENTS, RESERVES, TOKEN_MAP, RESOLVED, ANCHORS, LEGS.replace(
+    "FROM legs0)", "FROM (SELECT l.* REPLACE (ua || '@' || anchor AS ua) FROM legs0 l JOIN anchors ON block_number <= anchor))"),
+    FOLD_UNSEEDED]) + f"""
+SELECT {POSITION_COLS}, CAST(anchor AS BIGINT) AS anchor
+FROM (SELECT * REPLACE (split_part(user_address, '@', 1) AS user_address), split_part(user_address, '@', 2) AS anchor FROM fold)"""
+
 SQL["fold_positions_seeded"] = ledger_ctes() + "," + SNAPSHOT + "," + FOLD_SEEDED + \
     f"\nSELECT {POSITION_COLS} FROM seeded UNION ALL SELECT {POSITION_COLS} FROM unseeded"
 
@@ -1083,7 +1094,7 @@ FROM rtev0 WHERE {FAULT} IS NOT NULL"""
 _BALANCES = ("scaled_atoken_balance", "scaled_variable_debt")
 AMOUNT_TEXT: dict[str, tuple[str, ...]] = {
     **{q: _BALANCES for q in (
-        "fold_positions", "position_balances", "fold_positions_seeded", "state_as_of", "load_position_snapshot",
+        "fold_positions", "position_balances", "fold_positions_seeded", "state_as_of", "states_as_of", "load_position_snapshot",
         "positions_with_tokens", "above_dust", "changed_after", "snapshot_only", "nonzero_positions", "lookup_keys",
         "oldest_positions", "insert_if_absent_positions", "stream_apply", "resume", "write_state", "stateful_positions",
         "parse_decimal")},

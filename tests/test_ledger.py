@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from model import model_fold, random_legs, random_seed_rows
-from tallyray.operators.positions import fold_positions, leg_effects
+from tallyray.operators.positions import exact_texts, fold_positions, leg_effects, states_at
 
 D = T.DecimalType(38, 0)
 LEG_SCHEMA = T.StructType([
@@ -170,3 +170,33 @@ def test_hot_pair_is_spread_over_buckets(spark):
     # and the fold over the hot pair is still exact
     got = as_model(fold_positions(legs_df(spark, hot + cold), bucket_blocks=50))
     assert got == model_fold(hot + cold)
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+@pytest.mark.parametrize("bucket", [7, 1000])
+def test_states_at_many_anchors(spark, seed, bucket):
+    legs = random_legs(seed)
+    last = max(l["block_number"] for l in legs)
+    blocks = [0, 3, 4, last // 3, last // 2, last - 1, last, last + 50]
+    anchors = spark.createDataFrame([(b,) for b in blocks + [None, -5, 3]], "anchor long")
+    got = states_at(legs_df(spark, legs), anchors, bucket_blocks=bucket).cache()
+    assert {r.anchor for r in got.select("anchor").distinct().collect()} <= set(blocks)
+    for b in blocks:
+        assert as_model(got.where(F.col("anchor") == b)) == model_fold([l for l in legs if l["block_number"] <= b])
+    none = spark.createDataFrame([], "anchor long")
+    assert states_at(legs_df(spark, legs), none, bucket_blocks=bucket).count() == 0
+
+
+def test_states_at_with_wide_amounts(spark):
+    legs = random_legs(23)
+    legs_ = legs_df(spark, legs)
+    pair = (F.col("user_address") == legs[0]["user_address"]) & (F.col("asset_address") == legs[0]["asset_address"])
+    big = lambda c: F.when(F.col(c).isNull(), None).otherwise(
+        F.struct(F.lit(7).cast(D).alias("h"), F.lit(0).cast(D).alias("m"), F.col(c).alias("l")))
+    wide = F.struct(big("d_supply").alias("d_supply"), big("d_debt").alias("d_debt"), big("s_index").alias("s_index"), big("d_index").alias("d_index"))
+    legs_ = legs_.withColumn("wide", F.when(pair & F.col("is_up"), wide))
+    blocks = sorted({l["block_number"] for l in legs})[:: 7]
+    got = exact_texts(states_at(legs_, spark.createDataFrame([(b,) for b in blocks], "anchor long"), bucket_blocks=9))
+    rows = sorted(map(tuple, got.collect()), key=str)
+    want = [(b, *r) for b in blocks for r in map(tuple, exact_texts(fold_positions(legs_.where(F.col("block_number") <= b), bucket_blocks=9)).collect())]
+    assert rows == sorted(want, key=str) and any(len(r[3]) > 50 for r in rows)
