@@ -48,8 +48,9 @@ STAGES = [
     ("bpe", encode),
 ]
 
-# SQL cannot express byte-pair merges or weighted sampling; tests/llm compares
-# every stage with a brute-force version instead.
+# SQL cannot express byte-pair merges or weighted sampling.  tests/llm holds the
+# rows of quality_rules and line_dedup (its operator) against brute force, and
+# checks planted cases of the other stages.
 ORACLE_SQL = None
 
 
