@@ -271,7 +271,7 @@ def at_most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, text, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
+    """doc_id, x1, x2 (the text's name), bands and samples (null without words); ``idf`` is a broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +284,22 @@ def signed(docs: DataFrame, idf) -> DataFrame:
                 for out, v in zip((bands, samples), signature(names, counts * idf.value[_bins(names)]) if len(names) else (None, None)):
                     out.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(samples, pa.binary())], ["doc_id", "text", "x1", "x2", "bands", "samples"])
+                [batch.column(0), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(samples, pa.binary())], ["doc_id", "x1", "x2", "bands", "samples"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
-        .mapInArrow(sign, "doc_id long, text string, x1 long, x2 long, bands array<long>, samples binary")
+        .mapInArrow(sign, "doc_id long, x1 long, x2 long, bands array<long>, samples binary")
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """x1, x2, text: names are cheap beside signatures, so that texts need not be stored with them."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [text_names(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*[pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)], batch.column(0)], ["x1", "x2", "text"])
+
+    return docs.select("text").mapInArrow(name, "x1 long, x2 long, text string")
 
 
 # -- candidates, links, classes ----------------------------------------------
@@ -519,7 +530,7 @@ def node_classes(nodes: DataFrame, docs: DataFrame, idf) -> DataFrame:
 
 
 def _named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text, x1 and x2 of every row, and x1, x2, doc_id (the least of the text) and class of every text.
+    """doc_id, x1 and x2 of every row, and x1, x2, doc_id (the least of the text) and class of every text.
 
     A node is a text: it has a number of its own, so that texts without doc_id and different texts under one doc_id
     are nodes like any other.
@@ -529,7 +540,7 @@ def _named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(signed(docs, idf))
     equal = stored(rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
                    .withColumn("id", F.monotonically_increasing_id()))  # written once: later reads see the same numbers
-    texts = rows.select("x1", "x2", "text").join(equal.select("x1", "x2", F.col("id").alias("doc_id")), ["x1", "x2"]).select("doc_id", "text")
+    texts = named_texts(docs).join(equal.select("x1", "x2", F.col("id").alias("doc_id")), ["x1", "x2"]).select("doc_id", "text")
     label = node_classes(equal.where("bands is not null").select("id", "bands", "samples"), texts, idf)
     return rows, stored(equal.select("x1", "x2", "doc_id", "id").join(label, "id", "left")
                         .select("x1", "x2", "doc_id", F.coalesce("class", "id").alias("class")))

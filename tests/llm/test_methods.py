@@ -121,3 +121,12 @@ def test_runs_take_their_quotas(spark):
         if size[r.skey].target < mixing.MAX_PASSES * size[r.skey].source_size:
             assert abs(r.passes * (r.high - r.low) + r.rest - n * size[r.skey].words / blocks) <= 4
     assert all(ends[k] == size[k].source_size for k in ends)
+
+
+def test_near_duplicates_store_names_without_texts(spark):
+    from tallyray.llm import weighted_minhash as wm
+    words = [" ".join(f"w{(i * k) % 97}" for k in range(60)) for i in (3, 5, 7)]
+    docs = spark.createDataFrame([(1, words[0]), (2, words[0] + " more"), (3, words[1]), (4, words[2]), (5, words[2]), (6, None)], "doc_id long, text string")
+    rows, _ = wm._named_classes(docs)
+    assert rows.columns == ["doc_id", "x1", "x2", "bands", "samples"]
+    assert {r.doc_id: r.class_id for r in wm.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
