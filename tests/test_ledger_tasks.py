@@ -9,6 +9,7 @@ from tallyray.functions.raymath import RAY, ray_div, with_ray_div
 from tallyray.operators import dedup, joins
 from tallyray.operators import positions as pos
 from tallyray.plans import stages
+from tallyray.plans.catalog import QUERIES
 from tallyray.session import tasks_for
 from test_ledger import legs_df, seed_df
 from test_ledger_by_pair import initial_plan
@@ -75,3 +76,8 @@ def test_pairs_are_sorted_in_tasks_by_their_legs(spark, monkeypatch):
     plan = initial_plan(pos.fold_positions(legs_df(spark, legs), seed=seed_df(spark, random_seed_rows(61, 30)), stale_before=(30, -1)))
     legs_side = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("REPARTITION_BY_NUM" in line for line in legs_side) == 1 and len(legs_side) <= 3
+
+
+def test_positions_for_an_insert_are_folded_once(spark):
+    plan = initial_plan(QUERIES["insert_if_absent_positions"](spark, SF_SMALL))
+    assert "creation" not in plan and plan.count("Location: ") >= 2
