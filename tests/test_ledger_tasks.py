@@ -81,3 +81,21 @@ def test_pairs_are_sorted_in_tasks_by_their_legs(spark, monkeypatch):
 def test_positions_for_an_insert_are_folded_once(spark):
     plan = initial_plan(QUERIES["insert_if_absent_positions"](spark, SF_SMALL))
     assert "creation" not in plan and plan.count("Location: ") >= 2
+
+
+def test_seed_rows_are_neither_broadcast_nor_joined_onto_the_legs(spark, monkeypatch):
+    legs, seeds = random_legs(63), random_seed_rows(63, 30)
+    fold = lambda rows: pos.fold_positions(legs_df(spark, legs), seed=seed_df(spark, rows), stale_before=(30, -1))
+    plan = initial_plan(fold(seeds))
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+    once = sorted(map(str, fold(seeds).collect()))
+    monkeypatch.setattr(pos, "HOT_LEGS", 3)
+    assert "BroadcastHashJoin" not in "".join(x for x in initial_plan(fold(seeds)).splitlines(True) if "LeftOuter" in x)
+    assert sorted(map(str, fold(seeds).collect())) == once
+
+
+def test_hashes_of_keys_are_not_shuffled(spark):
+    shuffled = lambda df: [x for x in initial_plan(df).splitlines() if "REPARTITION_BY_NUM" in x]
+    for df in (dedup.first_delivery(copies(spark), ["tx_hash", "log_index"], order="arrival", tasks=5),
+               pos.fold_positions(legs_df(spark, random_legs(64)))):
+        assert len(shuffled(df)) == 1 and "hash#" not in shuffled(df)[0].replace("tx_hash#", "") and "ph#" not in shuffled(df)[0]
