@@ -14,7 +14,7 @@ Scale: texts are hashed where they are read and are not shuffled.  Ranks come
 from range partitions (a source may be a third of all rows: it spans many of
 them) and a window over one row per (source, partition).  A tree level groups
 runs of at most ``ARITY`` rows.  The loops run over heights (9 for 10^10 leaves);
-only counts of levels and the one root reach the driver.
+only counts of levels, the one root and a row per source reach the driver.
 
 Defined results: a null field counts as ``-``; a row without doc_id is first in
 its source and never tampered with; rows with equal doc_id are ordered by leaf;
@@ -144,18 +144,21 @@ def descended(tree: Tree, at: DataFrame, heights: dict[int, DataFrame], wanted:
 
     at: (grp, digest, height, path) of the groups' roots.  ``heights`` maps a height to its records;
     wanted: (grp, idx) of requested leaves, None for all.
+
+    Its joins are never broadcast: the planner does not see that a node has ``ARITY`` children and how long paths are,
+    takes a front for some hundred times smaller than it is and would gather it in the driver.
     """
     front = None
     for h in range(max(heights, default=least), least, -1):
         here = at.where(F.col("height") == h).select("grp", F.lit(0).cast("long").alias("idx"), "digest", "path")
         here = here if front is None else front.unionByName(here)
-        kids = here.join(heights[h], "digest").select("grp", "idx", "path", "children", F.posexplode("children").alias("digit", "child"))
+        kids = here.join(heights[h].hint("merge"), "digest").select("grp", "idx", "path", "children", F.posexplode("children").alias("digit", "child"))
         left = F.array_join(F.slice("children", F.lit(1), F.col("digit")), "")
         right = F.array_join(F.slice("children", F.col("digit") + 2, F.lit(ARITY)), "")
         front = kids.select("grp", (F.col("idx") * ARITY + F.col("digit")).alias("idx"), F.col("child").alias("digest"),
                             F.concat("path", F.array(F.struct(left.alias("left"), right.alias("right")))).alias("path"))
         if wanted is not None:
-            front = front.join(wanted.select("grp", F.expr(f"idx div {ARITY ** (h - 1)}").alias("idx")).distinct(), ["grp", "idx"], "left_semi")
+            front = front.join(wanted.select("grp", F.expr(f"idx div {ARITY ** (h - 1)}").alias("idx")).distinct().hint("merge"), ["grp", "idx"], "left_semi")
     here = at.where(F.col("height") <= least).select("grp", F.lit(0).cast("long").alias("idx"), "digest", "path")
     return here if front is None else front.unionByName(here)
 
@@ -173,13 +176,13 @@ def proofs(m: Manifest, requests: DataFrame | None = None) -> DataFrame:
     some = None if wanted is None else m.ordinals.join(wanted.select("grp").distinct(), "grp", "left_semi") \
         .select(F.lit("").alias("grp"), F.col("ordinal").alias("idx"))
     subs = descended(m.sources, start, dict(enumerate(m.sources.records, 1)), some, 0)
-    subs = subs.select(F.col("idx").alias("ordinal"), F.col("digest").alias("subroot"), "path").join(m.ordinals, "ordinal")
+    subs = subs.select(F.col("idx").alias("ordinal"), F.col("digest").alias("subroot"), "path").join(m.ordinals.hint("merge"), "ordinal")
     if wanted is not None:
         subs = subs.join(wanted.select("grp").distinct(), "grp", "left_semi")
-    at = stored(subs.join(m.rows.tops.select("grp", "height"), "grp").select("grp", F.col("subroot").alias("digest"), "height", "path"))
+    at = stored(subs.join(m.rows.tops.select("grp", "height").hint("merge"), "grp").select("grp", F.col("subroot").alias("digest"), "height", "path"))
     front = descended(m.rows, at, dict(enumerate(m.rows.records, 2)), wanted, 1)
     # Height 1: the record of a run is the run, looked up by its digest and place.
-    runs = m.runs.join(front, ["grp", "idx", "digest"])
+    runs = m.runs.join(front.hint("merge"), ["grp", "idx", "digest"])
     left = F.array_join(F.slice("all", F.lit(1), F.col("digit")), "")
     right = F.array_join(F.slice("all", F.col("digit") + 2, F.lit(ARITY)), "")
     own = F.when(F.col("height") == 1, F.array(F.struct(left.alias("left"), right.alias("right")))).otherwise(empty)
@@ -187,7 +190,7 @@ def proofs(m: Manifest, requests: DataFrame | None = None) -> DataFrame:
     found = found.select("grp", F.col("l.idx").alias("idx"), F.col("l.doc_id").alias("doc_id"), F.col("l.leaf").alias("leaf"),
                          F.col("l.tampered").alias("tampered"), F.reverse(F.concat("path", own)).alias("path"))
     if wanted is not None:
-        found = found.join(wanted, ["grp", "idx"], "left_semi")
+        found = found.join(wanted.hint("merge"), ["grp", "idx"], "left_semi")
     return found.join(at.select("grp", F.col("digest").alias("subroot")), "grp").select("doc_id", "leaf", "tampered", "subroot", "path")
 
 
